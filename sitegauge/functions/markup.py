@@ -4,6 +4,8 @@ One regex walks the html once. Comments, scripts and style sheets are tokens of
 so nothing inside them is taken for a tag. All repeated groups are possessive: a page of any
 size is matched without recursion. Every pattern starts with a literal ``<``, which lets the
 matcher skip text quickly.
+
+Arguments named ``html``, ``clean`` and ``head`` are column names or SQL expressions.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitegauge.functions.text import strip, unescape
+from sitegauge.functions.sqltext import lit, struct
+from sitegauge.functions.text import strip_sql, unescape_sql
 
 _SKIP = (
     r"!--.*?(?:-->|\z)"
@@ -21,104 +24,101 @@ _SKIP = (
 # Inside a tag a quote opens a value only right after an equals sign.
 _INNER = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+"""
 _ATTR = r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
-CLEAN = rf"(?s)<(?:{_SKIP})"
-COMMENT_OR_BLOCK = rf"(?s)<(?:{_SKIP})"
+NOT_CONTENT = rf"(?s)<(?:{_SKIP})"
 _JSONLD = r"""(?is)^<script\s[^>]*type\s*=\s*["']?application/ld\+json[\s"'>/]"""
+ANY_TAG = "[a-z][a-z0-9:-]*+"
+HEAD_FIELDS = ("name", "property", "content", "rel", "href")
+HEAD_TYPE = "array<struct<el:string," + ",".join(f"{f}:string" for f in HEAD_FIELDS) + ">>"
 
 
-def _tag_pattern(names: str) -> str:
-    return rf"(?s)<(?:{_SKIP}|(?i:{names})(?:[\s/]{_INNER})?+>)"
-
-
-def _is_tag(token: Column) -> Column:
-    return ~(token.startswith("<!") | token.rlike(r"(?i)^<(?:script|style)[\s/>]"))
+def raw_tags_sql(html: str, names: str = ANY_TAG, where: str | None = None) -> str:
+    pattern = rf"(?s)<(?:{_SKIP}|(?i:{names})(?:[\s/]{_INNER})?+>)"
+    keep = f"NOT (startswith(t, '<!') OR t RLIKE {lit('(?i)^<(?:script|style)[' + chr(92) + 's/>]')})"
+    if where:
+        keep += f" AND t RLIKE {lit(where)}"
+    return f"filter(regexp_extract_all({html}, {lit(pattern)}, 0), t -> {keep})"
 
 
-def raw_tags(html: Column, names: str = "[a-z][a-z0-9:-]*+") -> Column:
+def raw_tags(html: str, names: str = ANY_TAG) -> Column:
     """Opening tags with these names (a regex alternation), as written, in document order."""
-    return F.filter(F.regexp_extract_all(html, F.lit(_tag_pattern(names)), F.lit(0)), _is_tag)
-
-
-def tag_name(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, r"^<([^\s/>]+)", 1))
-
-
-def _unquote(value: Column) -> Column:
-    quoted = value.startswith('"') | value.startswith("'")
-    return unescape(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
-
-
-def attributes(tag: Column) -> Column:
-    """``array<struct<k, v>>`` of a tag as written, names in lower case."""
-    inner = F.regexp_extract(tag, r"(?s)^<[^\s/>]+(.*)>$", 1)
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(inner, F.lit(_ATTR), F.lit(1)).alias("k"),
-        F.regexp_extract_all(inner, F.lit(_ATTR), F.lit(2)).alias("v"),
+    return F.expr(raw_tags_sql(html, names))
+
+
+def parsed_tags_sql(raw: str) -> str:
+    """``array<struct<el, attrs: array<struct<k, v>>>>``; names in lower case, values unquoted."""
+    value = "p.v"
+    unquoted = f"CASE WHEN left({value}, 1) IN ('\"', '\\'') THEN substring({value}, 2, length({value}) - 2) ELSE {value} END"
+    cut = struct(el=r"lower(regexp_extract(t, '^<([^\\s/>]+)', 1))", inner=r"regexp_extract(t, '(?s)^<[^\\s/>]+(.*)>$', 1)")
+    parts = struct(el="t.el", k=f"regexp_extract_all(t.inner, {lit(_ATTR)}, 1)", v=f"regexp_extract_all(t.inner, {lit(_ATTR)}, 2)")
+    pairs = f"zip_with(t.k, t.v, (k, v) -> {struct(k='lower(k)', v='v')})"
+    plain = f"transform({pairs}, p -> {struct(k='p.k', v=unquoted)})"
+    attrs = f"transform({plain}, p -> {struct(k='p.k', v=unescape_sql('p.v'))})"
+    return (
+        f"transform(transform(transform({raw}, t -> {cut}), t -> {parts}), t -> {struct(el='t.el', attrs=attrs)})"
     )
-    return F.transform(pairs, lambda p: F.struct(F.lower(p["k"]).alias("k"), _unquote(p["v"]).alias("v")))
-
 
-def tags(raw: Column) -> Column:
-    """``array<struct<el, attrs>>`` from raw tags."""
-    return F.transform(raw, lambda t: F.struct(tag_name(t).alias("el"), attributes(t).alias("attrs")))
 
-
-def attr(tag: Column, name: str) -> Column:
+def attr_sql(tag: str, name: str) -> str:
     """Value of an attribute of a parsed tag; the last one counts, null if there is none."""
-    return F.try_element_at(F.filter(tag["attrs"], lambda a: a["k"] == name), F.lit(-1))["v"]
+    return f"try_element_at(filter({tag}.attrs, a -> a.k = {lit(name)}), -1).v"
 
 
-def project_tags(html: Column, names: str, fields: list[str], where: str | None = None) -> Column:
+def project_tags_sql(html: str, names: str, fields: tuple | list, where: str | None = None) -> str:
     """Tags as ``array<struct<el, field...>>``: the narrow form that operators work on.
 
     ``where`` is a regex a raw tag must match before its attributes are read at all.
     """
-    raw = raw_tags(html, names)
-    if where:
-        raw = F.filter(raw, lambda t: t.rlike(where))
-    return F.transform(
-        tags(raw), lambda t: F.struct(t["el"].alias("el"), *[attr(t, f).alias(f.replace("-", "_")) for f in fields])
-    )
+    columns = {f.replace("-", "_"): attr_sql("t", f) for f in fields}
+    return f"transform({parsed_tags_sql(raw_tags_sql(html, names, where))}, t -> {struct(el='t.el', **columns)})"
 
 
-def head_tags(html: Column) -> Column:
+def project_tags(html: str, names: str, fields: tuple | list, where: str | None = None) -> Column:
+    return F.expr(project_tags_sql(html, names, fields, where))
+
+
+def head_tags(html: str = "html") -> Column:
     """``meta`` and ``link`` tags with the attributes the audits read."""
-    return project_tags(html, "meta|link", ["name", "property", "content", "rel", "href"])
+    return project_tags(html, "meta|link", HEAD_FIELDS)
+
 
+def meta_first_sql(name: str, head: str = "head") -> str:
+    """First ``meta`` tag of that name, ignoring case; null if there is none. ``name`` is SQL."""
+    return f"get(filter({head}, t -> t.el = 'meta' AND lower(t.name) = {name}), 0)"
 
-def meta_first(head: Column, name: str) -> Column:
-    """First ``meta`` tag of that name, ignoring case; null if there is none."""
-    return F.get(F.filter(head, lambda t: (t["el"] == "meta") & (F.lower(t["name"]) == name)), F.lit(0))
 
+def has_token_sql(value: str, token: str) -> str:
+    """Whether a blank-separated list such as ``rel`` holds a token exactly."""
+    return f"array_contains(split({strip_sql(value)}, '\\\\s+'), {lit(token)})"
 
-def link_first(head: Column, rel: str) -> Column:
+
+def link_first_sql(rel: str, head: str = "head") -> str:
     """First ``link`` tag with that exact token in ``rel``."""
-    return F.get(
-        F.filter(head, lambda t: (t["el"] == "link") & F.array_contains(F.split(strip(t["rel"]), r"\s+"), rel)),
-        F.lit(0),
-    )
+    return f"get(filter({head}, t -> t.el = 'link' AND {has_token_sql('t.rel', rel)}), 0)"
 
 
-def clean_html(html: Column) -> Column:
+def clean_html(html: str = "html") -> Column:
     """Html without comments, scripts and style sheets."""
-    return F.regexp_replace(html, CLEAN, " ")
+    return F.regexp_replace(F.expr(html), NOT_CONTENT, " ")
 
 
-def element_names(clean: Column) -> Column:
+def element_names(clean: str = "clean") -> Column:
     """Lower-cased names of all opening tags, in order."""
-    return F.transform(F.regexp_extract_all(clean, F.lit("<([A-Za-z][A-Za-z0-9]*+)"), F.lit(1)), F.lower)
+    return F.expr(f"transform(regexp_extract_all({clean}, '<([A-Za-z][A-Za-z0-9]*+)', 1), t -> lower(t))")
 
 
-def visible_text(clean: Column) -> Column:
+def visible_text_sql(clean: str) -> str:
     """Text between tags, white space collapsed."""
-    text = unescape(F.regexp_replace(clean, r"</?[A-Za-z!][^>]*+>", " "))
-    return F.trim(F.regexp_replace(text, r"[\s\x{a0}]+", " "))
+    text = f"regexp_replace({clean}, '</?[A-Za-z!][^>]*+>', ' ')"
+    return f"trim(regexp_replace({unescape_sql_once(text)}, {lit(r'[' + chr(92) + 's' + chr(92) + 'x{a0}]+')}, ' '))"
+
 
+def unescape_sql_once(text: str) -> str:
+    """Entity decoding without the containment test, which would repeat a costly argument."""
+    return unescape_sql(text).removeprefix(f"CASE WHEN contains({text}, '&') THEN ").removesuffix(f" ELSE {text} END")
 
-def jsonld_blocks(html: Column) -> Column:
+
+def jsonld_blocks(html: str = "html") -> Column:
     """Bodies of JSON-LD scripts that are not commented out."""
-    tokens = F.regexp_extract_all(html, F.lit(COMMENT_OR_BLOCK), F.lit(0))
-    scripts = F.filter(tokens, lambda t: t.rlike(_JSONLD))
-    return F.transform(
-        scripts, lambda t: strip(F.regexp_replace(t, r"(?is)^<script[^>]*+>|</script\s*+>$", ""))
-    )
+    tokens = f"filter(regexp_extract_all({html}, {lit(NOT_CONTENT)}, 0), t -> t RLIKE {lit(_JSONLD)})"
+    body = "regexp_replace(t, " + lit(r"(?is)^<script[^>]*+>|</script\s*+>$") + ", '')"
+    return F.expr(f"transform({tokens}, t -> {strip_sql(body)})")

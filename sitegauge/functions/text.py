@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitegauge.functions.sqltext import lit
+
 # The characters that count as white space at the ends of a text.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
@@ -34,26 +36,30 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def split_lines(text: Column) -> Column:
-    return F.split(text, NEWLINE)
-
-
-def split_trimmed(text: Column, separator: str = ",") -> Column:
-    """Split on a plain separator and trim every part."""
-    return F.transform(F.split(text, separator), strip)
+def strip_sql(text: str) -> str:
+    return f"btrim({text}, {lit(WHITESPACE)})"
 
 
-def number(text: Column) -> Column:
-    """The text as a double, or null if it is not a number as a whole."""
-    return F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+def split_trimmed_sql(text: str) -> str:
+    """Split on commas and trim every part."""
+    return f"transform(split({text}, ','), part -> {strip_sql('part')})"
 
 
-def unescape(text: Column) -> Column:
+def unescape_sql(text: str) -> str:
     """Decode the common character references; ``&amp;`` last, so nothing is decoded twice."""
     out = text
     for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+        out = f"replace({out}, {lit(name)}, {lit(char)})"
+    return f"CASE WHEN contains({text}, '&') THEN {out} ELSE {text} END"
+
+
+def split_lines(text: Column) -> Column:
+    return F.split(text, NEWLINE)
+
+
+def number(text: Column) -> Column:
+    """The text as a double, or null if it is not a number as a whole."""
+    return F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def title_case(name: Column) -> Column:
@@ -68,8 +74,3 @@ def half_even(value: Column) -> Column:
 
 def clamp(value: Column, low: int = 0, high: int = 100) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
-
-
-def join_sorted(items: Column, separator: str = ", ") -> Column:
-    """Join an array of ``struct(ord, text)`` in the order of ``ord``."""
-    return F.array_join(F.transform(F.array_sort(items), lambda s: s["text"]), separator)

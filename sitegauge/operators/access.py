@@ -9,106 +9,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.functions.text import half_even, strip
-from sitegauge.sources.bots import bot_array
+from sitegauge.functions.sqltext import struct
+from sitegauge.operators.robots import GROUP_TYPE
+from sitegauge.sources.bots import bot_array_sql
 
 
-def group_match(requests: Column, groups: Column) -> Column:
+def group_match_sql(requests: str, groups: str = "groups") -> str:
     """Adds the number of the group that speaks for each bot.
 
     An exact agent beats ``*``; within each class the last group in the file wins.
     ``requests`` is an array of structs with a ``bot`` field.
     """
 
-    def last_group(agent: Column) -> Column:
-        hits = F.filter(groups, lambda g: F.array_contains(g["agents"], agent))
-        return F.array_max(F.transform(hits, lambda g: g["group_id"]))
-
-    return F.transform(
-        requests,
-        lambda r: F.struct(
-            r.alias("request"),
-            last_group(F.lower(r["bot"])).alias("specific_id"),
-            last_group(F.lit("*")).alias("wildcard_id"),
-        ),
-    )
-
+    def last_group(agent: str) -> str:
+        return f"array_max(transform(filter({groups}, g -> array_contains(g.agents, {agent})), g -> g.group_id))"
 
-def _rule_for(matched: Column, groups: Column, path: Column) -> Column:
-    chosen = F.get(
-        F.filter(groups, lambda g: g["group_id"] == F.coalesce(matched["specific_id"], matched["wildcard_id"])),
-        F.lit(0),
-    )
-    hits = F.filter(
-        chosen["rules"], lambda r: F.startswith(path, r["path"]) | (r["path"] == "/") | (r["path"] == "")
-    )
-    # longest path first, then the earliest line
-    return F.array_max(
-        F.transform(
-            hits,
-            lambda r: F.struct(
-                F.length(r["path"]).alias("len"), (-r["pos"]).alias("neg_pos"), r["allow"].alias("allow"),
-                r["path"].alias("path"),
-            ),
-        )
-    )
+    matched = struct(request="r", specific_id=last_group("lower(r.bot)"), wildcard_id=last_group("'*'"))
+    return f"transform({requests}, r -> {matched})"
 
 
-def resolve(requests: Column, groups: Column, path: Column) -> Column:
-    """``array<struct<ord, bot, operator, weight, high_impact, allowed, reason, matching_rule>>``."""
-    matched = group_match(requests, groups)
-    ruled = F.transform(
-        matched,
-        lambda m: F.struct(
-            m["request"].alias("request"),
-            F.when(m["specific_id"].isNotNull(), "specific").when(m["wildcard_id"].isNotNull(), "wildcard").alias("kind"),
-            _rule_for(m, groups, path).alias("rule"),
-        ),
-    )
-    return F.transform(ruled, _directive)
+def group_match(requests: str | None = None, groups: str = "groups") -> Column:
+    return F.expr(group_match_sql(requests or bot_array_sql(), groups))
 
 
-def _directive(r: Column) -> Column:
-    rule, kind = r["rule"], r["kind"]
+def resolve_sql(requests: str, path: str = "'/'", groups: str = "groups") -> str:
+    """``array<struct<ord, bot, operator, weight, high_impact, allowed, reason, matching_rule>>``."""
+    rules = f"get(filter({groups}, g -> g.group_id = coalesce(m.specific_id, m.wildcard_id)), 0).rules"
+    hits = f"filter({rules}, r -> startswith({path}, r.path) OR r.path IN ('/', ''))"
+    # longest path first, then the earliest line
+    best = f"array_max(transform({hits}, r -> {struct(len='length(r.path)', neg_pos='-r.pos', allow='r.allow', path='r.path')}))"
+    kind = "CASE WHEN m.specific_id IS NOT NULL THEN 'specific' WHEN m.wildcard_id IS NOT NULL THEN 'wildcard' END"
+    ruled = f"transform({group_match_sql(requests, groups)}, m -> {struct(q='m.request', kind=kind, rule=best)})"
     # Fixed formats: the reasons and rules as they are reported.
     reason = (
-        F.when(kind.isNull(), F.lit("no matching rule (default allow)"))
-        .when(rule.isNull(), F.concat(kind, F.lit(" group, no matching path rule (default allow)")))
-        .when(rule["allow"], F.concat(kind, F.lit(" allow (path: "), rule["path"], F.lit(")")))
-        .otherwise(F.concat(kind, F.lit(" block (path: "), rule["path"], F.lit(")")))
+        "CASE WHEN d.kind IS NULL THEN 'no matching rule (default allow)' "
+        "WHEN d.rule IS NULL THEN concat(d.kind, ' group, no matching path rule (default allow)') "
+        "ELSE concat(d.kind, if(d.rule.allow, ' allow (path: ', ' block (path: '), d.rule.path, ')') END"
     )
-    matching = F.when(rule["allow"], F.concat(F.lit("Allow: "), rule["path"])).when(
-        ~rule["allow"], F.concat(F.lit("Disallow: "), rule["path"])
-    )
-    q = r["request"]
-    return F.struct(
-        *[q[f].alias(f) for f in ("ord", "bot", "operator", "weight", "high_impact")],
-        F.coalesce(rule["allow"], F.lit(True)).alias("allowed"),
-        reason.alias("reason"),
-        matching.alias("matching_rule"),
+    matching = "concat(if(d.rule.allow, 'Allow: ', 'Disallow: '), d.rule.path)"
+    out = struct(
+        **{f: f"d.q.{f}" for f in ("ord", "bot", "operator", "weight", "high_impact")},
+        allowed="coalesce(d.rule.allow, true)", reason=reason, matching_rule=matching,
     )
+    return f"transform({ruled}, d -> {out})"
 
 
-def star_request() -> Column:
-    return F.struct(
-        F.lit(0).alias("ord"), F.lit("*").alias("bot"), F.lit("*").alias("operator"), F.lit(0).alias("weight"),
-        F.lit(False).alias("high_impact"),
-    )
+STAR = "named_struct('ord', 0, 'bot', '*', 'operator', '*', 'weight', 0, 'high_impact', false)"
 
 
-def named_requests(bots: Column) -> Column:
+def named_requests_sql(bots: str) -> str:
     """Requests for any bot names (array of string); an unknown bot is its own operator."""
-    registry = bot_array()
-
-    def one(name: Column) -> Column:
-        known = F.get(F.filter(registry, lambda b: b["bot"] == name), F.lit(0))
-        return F.struct(
-            F.coalesce(known["ord"], F.lit(99)).alias("ord"), name.alias("bot"),
-            F.coalesce(known["operator"], name).alias("operator"), F.coalesce(known["weight"], F.lit(0)).alias("weight"),
-            F.coalesce(known["high_impact"], F.lit(False)).alias("high_impact"),
-        )
-
-    return F.transform(bots, one)
+    known = f"get(filter({bot_array_sql()}, b -> b.bot = n.bot), 0)"
+    found = f"transform(transform({bots}, x -> named_struct('bot', x)), n -> named_struct('bot', n.bot, 'k', {known}))"
+    out = struct(
+        ord="coalesce(f.k.ord, 99)", bot="f.bot", operator="coalesce(f.k.operator, f.bot)",
+        weight="coalesce(f.k.weight, 0)", high_impact="coalesce(f.k.high_impact, false)",
+    )
+    return f"transform({found}, f -> {out})"
 
 
 def site_facts(policies: DataFrame) -> DataFrame:
@@ -116,30 +73,24 @@ def site_facts(policies: DataFrame) -> DataFrame:
 
     ``bots`` holds the twelve registry bots at path ``/``.
     """
-    requests = F.concat(F.array(star_request()), bot_array())
-    seen = policies.select(
-        "origin", "robots_found", "tdmrep", "ai_txt",
-        resolve(requests, F.col("groups"), F.lit("/")).alias("resolved"),
-    )
+    requests = f"concat(array({STAR}), {bot_array_sql()})"
+    flags = ["origin", "robots_found", "tdmrep", "ai_txt"]
+    seen = policies.select(*flags, F.expr(resolve_sql(requests)).alias("resolved"))
     bots = seen.select(
-        "origin", "robots_found", "tdmrep", "ai_txt",
-        F.get("resolved", F.lit(0))["allowed"].alias("star_allowed"),
-        F.filter("resolved", lambda b: b["ord"] > 0).alias("bots"),
-    )
-    weight = F.aggregate(
-        "bots", F.struct(F.lit(0).alias("ok"), F.lit(0).alias("all")),
-        lambda a, b: F.struct(
-            (a["ok"] + F.when(b["allowed"], b["weight"]).otherwise(0)).alias("ok"), (a["all"] + b["weight"]).alias("all")
-        ),
-        lambda a: F.when(a["all"] == 0, F.lit(100)).otherwise(half_even(a["ok"] * 100 / a["all"])),
+        *flags,
+        F.expr("resolved[0].allowed").alias("star_allowed"),
+        F.expr("slice(resolved, 2, size(resolved) - 1)").alias("bots"),
     )
-    specific = F.transform(
-        F.filter("bots", lambda b: b["allowed"] & F.startswith(b["reason"], F.lit("specific"))), lambda b: b["bot"]
+    weight = (
+        "aggregate(bots, named_struct('ok', 0, 'total', 0), (a, b) -> named_struct("
+        "'ok', a.ok + if(b.allowed, b.weight, 0), 'total', a.total + b.weight), "
+        "a -> if(a.total = 0, 100, CAST(bround(a.ok * 100 / a.total, 0) AS INT)))"
     )
+    specific = "transform(filter(bots, b -> b.allowed AND startswith(b.reason, 'specific')), b -> b.bot)"
     return bots.select(
         "*",
-        weight.alias("allowed_weight"),
-        F.when(F.col("star_allowed"), F.array().cast("array<string>")).otherwise(specific).alias("specifically_allowed"),
+        F.expr(weight).alias("allowed_weight"),
+        F.expr(f"if(star_allowed, CAST(array() AS ARRAY<STRING>), {specific})").alias("specifically_allowed"),
     )
 
 
@@ -150,40 +101,38 @@ def bot_access(facts: DataFrame) -> DataFrame:
 
 def wildcard_access(policies: DataFrame) -> DataFrame:
     """What the site says to ``*`` itself."""
-    return policies.select("origin", F.inline_outer(resolve(F.array(star_request()), F.col("groups"), F.lit("/")))).select(
+    return policies.select("origin", F.inline_outer(F.expr(resolve_sql(f"array({STAR})")))).select(
         "origin", "bot", "allowed", "reason", "matching_rule"
     )
 
 
-def access_for(df: DataFrame, bots: Column | None = None, path: Column | None = None) -> DataFrame:
-    """Access for any bots and any path over rows that carry ``groups``."""
-    requests = bot_array() if bots is None else named_requests(bots)
-    base = [c for c in df.columns if c != "groups"]
-    target = F.lit("/") if path is None else path
-    out = df.select(*base, resolve(requests, F.coalesce("groups", F.array()), target).alias("_resolved"))
-    return out.select(*base, F.inline_outer("_resolved"))
+def access_for(df: DataFrame, bots: str | None = None, path: str = "'/'") -> DataFrame:
+    """Access for any bots and any path over rows that carry ``groups``.
+
+    ``bots`` (array of string) and ``path`` are SQL; without ``bots`` the registry is asked.
+    """
+    requests = bot_array_sql() if bots is None else named_requests_sql(bots)
+    keep = [c for c in df.columns if c != "groups"]
+    ready = df.withColumn("groups", F.expr(f"coalesce(groups, CAST(array() AS {GROUP_TYPE}))"))
+    return ready.select(*keep, F.expr(resolve_sql(requests, path)).alias("_r")).select(*keep, F.inline_outer("_r"))
 
 
 def over_restrictive(facts: DataFrame, allowed_at_most: int = 50) -> DataFrame:
     """Sites that shut out at least half of the crawler weight."""
     return facts.filter(F.col("allowed_weight") <= allowed_at_most).select(
-        "origin", "allowed_weight", F.size(F.filter("bots", lambda b: ~b["allowed"])).alias("n_blocked")
+        "origin", "allowed_weight", F.expr("size(filter(bots, b -> NOT b.allowed))").alias("n_blocked")
     )
 
 
 def vendor_conflict(facts: DataFrame) -> DataFrame:
     """Operators with one crawler let in and another kept out by the same site."""
-    vendor = lambda b: strip(F.substring_index(b["operator"], "(", 1))
-    pairs = F.transform(
-        "bots", lambda b: F.struct(vendor(b).alias("vendor"), b["allowed"].alias("allowed"), b["bot"].alias("bot"))
-    )
-    staged = facts.select("origin", pairs.alias("pairs"))
-    names = staged.select("origin", "pairs", F.explode(F.array_distinct(F.transform("pairs", lambda p: p["vendor"]))).alias("vendor"))
+    pair = struct(vendor="trim(substring_index(b.operator, '(', 1))", allowed="b.allowed", bot="b.bot")
+    pairs = facts.select("origin", F.expr(f"transform(bots, b -> {pair})").alias("pairs"))
+    names = pairs.select("origin", "pairs", F.explode_outer(F.expr("array_distinct(pairs.vendor)")).alias("vendor"))
 
-    def bots_with(flag: bool) -> Column:
-        hits = F.filter("pairs", lambda p: (p["vendor"] == F.col("vendor")) & (p["allowed"] == F.lit(flag)))
-        return F.array_join(F.transform(hits, lambda p: p["bot"]), ", ")
+    def bots_with(condition: str) -> Column:
+        return F.expr(f"array_join(transform(filter(pairs, p -> p.vendor = vendor AND {condition}), p -> p.bot), ', ')")
 
     return names.select(
-        "origin", "vendor", bots_with(True).alias("allowed_bots"), bots_with(False).alias("blocked_bots")
+        "origin", "vendor", bots_with("p.allowed").alias("allowed_bots"), bots_with("NOT p.allowed").alias("blocked_bots")
     ).filter("allowed_bots <> '' AND blocked_bots <> ''")

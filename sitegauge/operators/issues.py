@@ -6,12 +6,10 @@ order in which issues are reported.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitegauge.functions.text import strip
+from sitegauge.functions.sqltext import lit, string_map, struct
 from sitegauge.operators import signals as sig
 
 SEVERITIES = ("high", "medium", "low", "info")
@@ -21,16 +19,16 @@ TITLES = {
     "robots_missing": ("low", "robots.txt not found or inaccessible"),
     "bot_blocked": (None, "{bot} blocked — {operator}"),
     "robots_conflict": ("medium", "Conflicting directives: wildcard block with specific allows"),
-    "meta_noindex": ("high", "meta {name}: noindex directive found"),
-    "meta_nofollow": ("medium", "meta {name}: nofollow directive found"),
-    "meta_noai": ("medium", "meta {name}: {word} directive found"),
+    "meta_noindex": ("high", "meta {meta_name}: noindex directive found"),
+    "meta_nofollow": ("medium", "meta {meta_name}: nofollow directive found"),
+    "meta_noai": ("medium", "meta {meta_name}: {_word} directive found"),
     "xrt_noindex": ("high", "X-Robots-Tag: noindex header found"),
-    "xrt_noai": ("medium", "X-Robots-Tag: {word} header found"),
+    "xrt_noai": ("medium", "X-Robots-Tag: {_word} header found"),
     "tdm_header_invalid": ("medium", "Invalid TDM-Reservation header value"),
     "tdm_meta_invalid": ("medium", "Invalid TDM meta tag value"),
     "tdm_conflict": ("high", "Conflicting TDM signals — reservation status unclear"),
     "tdm_none": ("medium", "No TDM policy declared"),
-    "tdm_declared": ("info", "TDM policy declared: {label}"),
+    "tdm_declared": ("info", "TDM policy declared: {_label}"),
 }
 # Our own wording: rule -> (what was seen, what to do about it).
 ADVICE = {
@@ -39,23 +37,23 @@ ADVICE = {
         "Publish a robots.txt that says which AI crawlers are welcome.",
     ),
     "bot_blocked": (
-        "{bot} is kept out by robots.txt ({reason}), so {vendor} cannot use this site.",
+        "{bot} is kept out by robots.txt ({reason}), so {_vendor} cannot use this site.",
         "Add a group for {bot} with \"Allow: /\" if it should be let in.",
     ),
     "robots_conflict": (
-        "All crawlers are shut out by the * group while these have their own way in: {bots}.",
+        "All crawlers are shut out by the * group while these have their own way in: {_bots}.",
         "Valid as it stands; check that the list of exceptions is the intended one.",
     ),
     "meta_noindex": (
-        "The meta tag {name} asks engines to leave this page out of their index.",
+        "The meta tag {meta_name} asks engines to leave this page out of their index.",
         "Drop noindex from the tag if the page should be found.",
     ),
     "meta_nofollow": (
-        "The meta tag {name} asks crawlers to ignore the links of this page.",
+        "The meta tag {meta_name} asks crawlers to ignore the links of this page.",
         "Drop nofollow from the tag if linked pages should be found from here.",
     ),
     "meta_noai": (
-        "The meta tag {name} carries {word}: no use for AI is wanted.",
+        "The meta tag {meta_name} carries {_word}: no use for AI is wanted.",
         "Keep it to opt out; not every engine honours it.",
     ),
     "xrt_noindex": (
@@ -63,19 +61,19 @@ ADVICE = {
         "Drop noindex from the header if the page should be found.",
     ),
     "xrt_noai": (
-        "The response header carries {word}: no use for AI is wanted.",
+        "The response header carries {_word}: no use for AI is wanted.",
         "Keep it to opt out; not every provider honours it.",
     ),
     "tdm_header_invalid": (
-        "The TDM-Reservation header holds \"{value}\", which is neither 0 nor 1.",
+        "The TDM-Reservation header holds \"{raw_value}\", which is neither 0 nor 1.",
         "Send 1 to reserve mining rights or 0 to permit mining.",
     ),
     "tdm_meta_invalid": (
-        "The tdm-reservation meta tag holds \"{value}\", which is neither 0 nor 1.",
+        "The tdm-reservation meta tag holds \"{raw_value}\", which is neither 0 nor 1.",
         "Set its content to 1 to reserve mining rights or 0 to permit mining.",
     ),
     "tdm_conflict": (
-        "Mining rights are reserved by {reserved} and at the same time given up by {allowed}.",
+        "Mining rights are reserved by {_reserved} and at the same time given up by {_allowed}.",
         "Make every channel say the same.",
     ),
     "tdm_none": (
@@ -83,175 +81,139 @@ ADVICE = {
         "Declare a policy, first of all with the TDM-Reservation header.",
     ),
     "tdm_declared": (
-        "The mining policy \"{label}\" is stated by: {sources}.",
-        "{advice}",
+        "The mining policy \"{_label}\" is stated by: {_sources}.",
+        "{_advice}",
     ),
 }
+ADVICE_MANY = "Nothing to do: the policy is stated in more than one place."
+ADVICE_ONE = "State the policy in a second channel as well, such as header and meta tag."
 CATEGORY = {rule: ("tdm" if rule.startswith("tdm") else "crawlability") for rule in TITLES}
 
-ISSUE_TYPE = (
-    "struct<ord:int,severity:string,category:string,rule:string,key:string,title:string,"
-    "description:string,recommendation:string,details:map<string,string>>"
-)
-BRIEF_TYPE = "struct<ord:int,severity:string,category:string,rule:string,key:string>"
-
-
-def _render(template: str, args: dict[str, Column]) -> Column:
-    parts = re.split(r"\{(\w+)\}", template)
-    cols = [args[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p]
-    return cols[0] if len(cols) == 1 else F.concat(*cols)
+FIELDS = ("ord", "severity", "category", "rule", "key", "title", "description", "recommendation", "details")
 
 
 def issue(
-    category: str,
-    rule: str,
-    severity: str | Column,
-    title: str,
-    description: str,
-    recommendation: str,
-    *,
-    ord: int | Column = 0,
-    key: Column | None = None,
-    args: dict[str, Column] | None = None,
-    details: dict[str, Column] | None = None,
-    brief: bool = False,
+    severity: str, category: str, title: str, description: str, recommendation: str,
+    *, rule: str = "custom", ord: int = 0, key: str = "", **details: Column,
 ) -> Column:
-    """An issue struct. Texts may hold ``{name}`` placeholders filled from ``args``.
-
-    ``brief`` leaves out the texts: counts and roll-ups need only the codes.
-    """
-    if isinstance(severity, str) and severity not in SEVERITIES:
+    """An issue struct for rules of one's own."""
+    if severity not in SEVERITIES:
         raise ValueError(f"unknown severity: {severity}")
-    fields = [
-        (ord if isinstance(ord, Column) else F.lit(ord)).cast("int").alias("ord"),
-        (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"),
-        F.lit(category).alias("category"),
-        F.lit(rule).alias("rule"),
-        (F.lit("") if key is None else key).alias("key"),
-    ]
-    if brief:
-        return F.struct(*fields)
-    args = args or {}
-    pairs = [x for k, v in (details or {}).items() for x in (F.lit(k), v.cast("string"))]
-    return F.struct(
-        *fields,
-        _render(title, args).alias("title"),
-        _render(description, args).alias("description"),
-        _render(recommendation, args).alias("recommendation"),
-        (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("details"),
+    texts = dict(
+        severity=severity, category=category, rule=rule, key=key, title=title, description=description,
+        recommendation=recommendation,
     )
+    pairs = [x for k, v in details.items() for x in (F.lit(k), v.cast("string"))]
+    cols = {"ord": F.lit(ord), **{k: F.lit(v) for k, v in texts.items()}}
+    cols["details"] = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return F.struct(*[cols[f].alias(f) for f in FIELDS])
+
 
+def seed(rule: str, ord: str, *, when: str | None = None, severity: str | None = None, key: str = "''",
+         args: dict[str, str] | None = None, brief: bool = False) -> str:
+    """SQL for the codes of an issue plus the values its texts need.
 
-def _known(rule: str, ord, brief: bool, severity: Column | None = None, key=None, args=None, details=None) -> Column:
-    fixed, title = TITLES[rule]
-    seen, advice = ADVICE[rule]
-    return issue(
-        CATEGORY[rule], rule, severity if severity is not None else fixed, title, seen, advice,
-        ord=ord, key=key, args=args, details=details, brief=brief,
+    Values whose name starts with an underscore go into texts only, not into the details.
+    ``brief`` leaves the values out: counts and roll-ups need only the codes.
+    """
+    fields = dict(
+        ord=f"CAST({ord} AS INT)", severity=severity or lit(TITLES[rule][0]), category=lit(CATEGORY[rule]),
+        rule=lit(rule), key=key,
     )
+    if not brief:
+        fields["args"] = string_map(args or {})
+    made = struct(**fields)
+    return f"CASE WHEN {when} THEN {made} END" if when else made
+
+
+def render(seeds: str, brief: bool = False) -> str:
+    """Fill in the texts of an array of seeds, all rules at once."""
+    if brief:
+        return seeds
 
+    def text(position: int) -> str:
+        texts = {r: (TITLES[r][1], *ADVICE[r])[position] for r in TITLES}
+        templates = "map(" + ", ".join(f"{lit(r)}, {lit(t)}" for r, t in texts.items()) + ")"
+        fill = "replace(acc, concat('{', e.key, '}'), coalesce(e.value, ''))"
+        return f"aggregate(map_entries(i.args), element_at({templates}, i.rule), (acc, e) -> {fill})"
 
-def _text(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
+    out = struct(
+        **{f: f"i.{f}" for f in FIELDS[:5]}, title=text(0), description=text(1), recommendation=text(2),
+        details="map_filter(i.args, (k, v) -> NOT startswith(k, '_'))",
+    )
+    return f"transform({seeds}, i -> {out})"
 
 
-def site_issues(brief: bool = False) -> Column:
+def site_seeds(brief: bool = False) -> str:
     """Issues every page inherits from its site: missing file, blocked bots, odd exceptions."""
-    vendor = lambda b: strip(F.substring_index(b["operator"], "(", 1))
-    missing = F.when(~F.coalesce("robots_found", F.lit(False)), _known("robots_missing", 1, brief))
-    blocked = F.transform(
-        F.coalesce("blocked", F.array()),
-        lambda b: _known(
-            "bot_blocked", b["ord"] + 1, brief,
-            severity=F.when(b["high_impact"], "high").otherwise("medium"), key=b["bot"],
-            args={"bot": b["bot"], "operator": b["operator"], "reason": b["reason"], "vendor": vendor(b)},
-            details={n: b[n] for n in ("bot", "operator", "reason", "matching_rule")},
-        ),
+    missing = seed("robots_missing", "1", when="NOT coalesce(robots_found, false)", brief=brief)
+    blocked = seed(
+        "bot_blocked", "b.ord + 1", severity="if(b.high_impact, 'high', 'medium')", key="b.bot", brief=brief,
+        args={
+            **{n: f"b.{n}" for n in ("bot", "operator", "reason", "matching_rule")},
+            "_vendor": "trim(substring_index(b.operator, '(', 1))",
+        },
     )
-    names = F.coalesce("specifically_allowed", F.array().cast("array<string>"))
-    conflict = F.when(
-        F.size(names) > 0,
-        _known(
-            "robots_conflict", 14, brief, args={"bots": F.array_join(names, ", ")},
-            details={"specifically_allowed": F.to_json(names)},
-        ),
+    conflict = seed(
+        "robots_conflict", "14", when="size(coalesce(specifically_allowed, array())) > 0", brief=brief,
+        args={"specifically_allowed": "to_json(specifically_allowed)", "_bots": "array_join(specifically_allowed, ', ')"},
     )
-    return F.array_compact(F.concat(F.array(missing), blocked, F.array(conflict)))
+    return f"concat(array({missing}), transform(coalesce(blocked, array()), b -> {blocked}), array({conflict}))"
 
 
-def page_crawl_issues(brief: bool = False) -> Column:
+def page_crawl_seeds(brief: bool = False) -> str:
     """Issues from robots directives in the page's markup and headers."""
 
-    def per_tag(m: Column) -> Column:
-        args = {"name": m["meta_name"], "word": _text(m["ai_word"])}
-        details = {"meta_name": m["meta_name"], "content": m["content"]}
-        base = m["ord"] * 3 + 15
-
-        def one(rule: str, step: int, cond: Column) -> Column:
-            return F.when(cond, _known(rule, base + step, brief, key=m["meta_name"], args=args, details=details))
+    def tag(rule: str, step: int, when: str) -> str:
+        args = {"meta_name": "m.meta_name", "content": "m.content", "_word": "coalesce(m.ai_word, '')"}
+        return seed(rule, f"m.ord * 3 + {15 + step}", when=when, key="m.meta_name", args=args, brief=brief)
 
-        return F.array(
-            one("meta_noindex", 0, m["noindex"]),
-            one("meta_nofollow", 1, m["nofollow"]),
-            one("meta_noai", 2, m["ai_word"].isNotNull()),
-        )
-
-    value = F.col("x_robots.value")
-    header = F.array(
-        F.when(F.col("x_robots.noindex"), _known("xrt_noindex", 27, brief, details={"header_value": value})),
-        F.when(
-            F.col("x_robots.ai_word").isNotNull(),
-            _known("xrt_noai", 28, brief, args={"word": _text(F.col("x_robots.ai_word"))}, details={"header_value": value}),
-        ),
+    per_tag = ", ".join(
+        [tag("meta_noindex", 0, "m.noindex"), tag("meta_nofollow", 1, "m.nofollow"), tag("meta_noai", 2, "m.ai_word IS NOT NULL")]
+    )
+    args = {"header_value": "x_robots.value", "_word": "coalesce(x_robots.ai_word, '')"}
+    header = ", ".join(
+        [
+            seed("xrt_noindex", "27", when="x_robots.noindex", args=args, brief=brief),
+            seed("xrt_noai", "28", when="x_robots.ai_word IS NOT NULL", args=args, brief=brief),
+        ]
     )
-    return F.array_compact(F.concat(F.flatten(F.transform("meta_robots", per_tag)), header))
+    return f"concat(flatten(transform(meta_robots, m -> array({per_tag}))), array({header}))"
 
 
 def crawl_issues(brief: bool = False) -> Column:
-    return F.concat(site_issues(brief), page_crawl_issues(brief))
+    return F.expr(render(f"array_compact(concat({site_seeds(brief)}, {page_crawl_seeds(brief)}))", brief))
 
 
 def tdm_issues(brief: bool = False) -> Column:
     """Issues from the ``signals`` array of the row."""
-    signals = F.col("signals")
 
-    def invalid(source: str) -> Column:
-        return F.get(F.filter(signals, lambda s: (s["source"] == source) & ~sig.is_valid(s)), F.lit(0))
-
-    def bad(rule: str, ord: int, source: str) -> Column:
-        hit = invalid(source)
-        raw = _text(hit["raw_value"])
-        return F.when(hit.isNotNull(), _known(rule, ord, brief, args={"value": raw}, details={"raw_value": raw}))
-
-    valid = sig.valid_signals(signals)
-    first = F.get(valid, F.lit(0))["policy"]
-    sources = F.transform(valid, lambda s: s["source"])
-    reserved, allowed = (sig.sources_with(signals, p) for p in (sig.RESERVED, sig.NOT_RESERVED))
-    # The two policy labels.
-    label = F.when(first == sig.RESERVED, "reserved (opt-out)").otherwise("not reserved (opt-in)")
-    advice = F.when(F.size(valid) > 1, "Nothing to do: the policy is stated in more than one place.").otherwise(
-        "State the policy in a second channel as well, such as header and meta tag."
-    )
-    shown = F.transform(
-        valid,
-        lambda s: F.struct(s["source"].alias("source"), s["raw_value"].alias("value"), s["details"].alias("details")),
-    )
-    declared = _known(
-        "tdm_declared", 105, brief, key=_text(first),
-        args={"label": label, "sources": F.array_join(sources, ", "), "advice": advice},
-        details={"policy": first, "sources": F.to_json(sources), "signals": F.to_json(shown)},
-    )
-    clash = _known(
-        "tdm_conflict", 103, brief,
-        args={"reserved": F.array_join(reserved, ", "), "allowed": F.array_join(allowed, ", ")},
-        details={"reserved_by": F.to_json(reserved), "allowed_by": F.to_json(allowed)},
+    def bad(rule: str, ord: int, source: str) -> str:
+        hits = f"filter(signals, s -> s.source = '{source}' AND s.policy = '{sig.NOT_DECLARED}')"
+        made = seed(rule, str(ord), args={"raw_value": "s.raw_value"}, brief=brief)
+        return f"get(transform({hits}, s -> {made}), 0)"
+
+    first = f"get({sig.VALID}, 0).policy"
+    sources = f"transform({sig.VALID}, s -> s.source)"
+    reserved, allowed = sig.sources_sql(sig.RESERVED), sig.sources_sql(sig.NOT_RESERVED)
+    shown = f"transform({sig.VALID}, s -> {struct(source='s.source', value='s.raw_value', details='s.details')})"
+    declared = seed(
+        "tdm_declared", "105", when=f"size({sig.VALID}) > 0 AND NOT {sig.CONFLICT}", key=f"coalesce({first}, '')", brief=brief,
+        args={
+            "policy": first, "sources": f"to_json({sources})", "signals": f"to_json({shown})",
+            # The two policy labels.
+            "_label": f"if({first} = '{sig.RESERVED}', 'reserved (opt-out)', 'not reserved (opt-in)')",
+            "_sources": f"array_join({sources}, ', ')",
+            "_advice": f"if(size({sig.VALID}) > 1, {lit(ADVICE_MANY)}, {lit(ADVICE_ONE)})",
+        },
     )
-    return F.array_compact(
-        F.array(
-            bad("tdm_header_invalid", 101, sig.HTTP_HEADER),
-            bad("tdm_meta_invalid", 102, sig.META_TAG),
-            F.when(sig.in_conflict(signals), clash),
-            F.when(F.size(signals) == 0, _known("tdm_none", 104, brief)),
-            F.when((F.size(valid) > 0) & ~sig.in_conflict(signals), declared),
-        )
+    clash = seed(
+        "tdm_conflict", "103", when=sig.CONFLICT, brief=brief,
+        args={
+            "reserved_by": f"to_json({reserved})", "allowed_by": f"to_json({allowed})",
+            "_reserved": f"array_join({reserved}, ', ')", "_allowed": f"array_join({allowed}, ', ')",
+        },
     )
+    none = seed("tdm_none", "104", when="size(signals) = 0", brief=brief)
+    header, meta = bad("tdm_header_invalid", 101, sig.HTTP_HEADER), bad("tdm_meta_invalid", 102, sig.META_TAG)
+    return F.expr(render(f"array_compact(array({header}, {meta}, {clash}, {none}, {declared}))", brief))

@@ -29,10 +29,11 @@ def score(category: str, value: Column, n_issues: Column) -> Column:
     )
 
 
-def overall_score(scores: Column) -> Column:
+def overall_score(scores: str = "scores") -> Column:
     """Mean of the selected scores, rounded half to even; 0 if there are none."""
-    total = F.aggregate(scores, F.lit(0), lambda acc, s: acc + s["value"])
-    return F.when(F.size(scores) == 0, F.lit(0)).otherwise(half_even(total / F.size(scores)))
+    return F.expr(
+        f"if(size({scores}) = 0, 0, CAST(bround(aggregate({scores}, 0, (acc, s) -> acc + s.value) / size({scores}), 0) AS INT))"
+    )
 
 
 def percentage(value: Column, max_value: Column) -> Column:

@@ -1,6 +1,7 @@
 """Page-level signals: robots directives in markup and headers, mining-reservation signals.
 
 Each function adds columns to a row; nothing here shuffles, and all of it runs on a stream.
+Values used more than once are columns of their own, so that they are worked out once.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.headers import header
-from sitegauge.functions.markup import head_tags, link_first, meta_first
-from sitegauge.functions.text import split_trimmed, strip
+from sitegauge.functions.markup import head_tags, link_first_sql, meta_first_sql
+from sitegauge.functions.sqltext import lit, struct
+from sitegauge.functions.text import split_trimmed_sql, strip, strip_sql
 
 # Meta names that carry robots directives, in the order they are reported.
 META_ROBOTS_NAMES = ("robots", "googlebot", "googlebot-news", "bingbot")
@@ -18,100 +20,45 @@ META_ROBOTS_NAMES = ("robots", "googlebot", "googlebot-news", "bingbot")
 HTTP_HEADER, META_TAG, LINK_TAG, TDMREP_JSON = "http_header", "meta_tag", "link_tag", "tdmrep_json"
 RESERVED, NOT_RESERVED, NOT_DECLARED = "reserved", "not_reserved", "not_declared"
 
+_FLAGS = {
+    "noindex": "array_contains({d}, 'noindex')",
+    "nofollow": "array_contains({d}, 'nofollow')",
+    "ai_word": "CASE WHEN array_contains({d}, 'noai') THEN 'noai' WHEN array_contains({d}, 'noimageai') THEN 'noimageai' END",
+}
+
 
 def with_head(pages: DataFrame) -> DataFrame:
     """Read the head tags once; all later operators share them."""
-    return pages.withColumn("head", head_tags(F.col("html")))
-
-
-def _ai_word(directives: Column) -> Column:
-    return F.when(F.array_contains(directives, "noai"), F.lit("noai")).when(
-        F.array_contains(directives, "noimageai"), F.lit("noimageai")
-    )
+    return pages.withColumn("head", head_tags("html"))
 
 
-def meta_robots(head: Column) -> Column:
+def meta_robots() -> Column:
     """``array<struct<ord, meta_name, content, noindex, nofollow, ai_word>>`` of the names present."""
-    names = F.array(*[F.lit(n) for n in META_ROBOTS_NAMES])
-    found = F.transform(
-        names,
-        lambda n, i: F.struct(
-            i.alias("ord"),
-            n.alias("meta_name"),
-            F.get(F.filter(head, lambda t: (t["el"] == "meta") & (F.lower(t["name"]) == n)), F.lit(0)).alias("tag"),
-        ),
-    )
-    content = F.transform(
-        F.filter(found, lambda f: f["tag"].isNotNull()),
-        lambda f: F.struct(f["ord"].alias("ord"), f["meta_name"].alias("meta_name"),
-                           F.coalesce(F.lower(f["tag"]["content"]), F.lit("")).alias("content")),
-    )
-    split = F.transform(content, lambda c: F.struct(c.alias("c"), split_trimmed(c["content"]).alias("d")))
-    return F.transform(
-        split,
-        lambda s: F.struct(
-            s["c"]["ord"].alias("ord"),
-            s["c"]["meta_name"].alias("meta_name"),
-            s["c"]["content"].alias("content"),
-            F.array_contains(s["d"], "noindex").alias("noindex"),
-            F.array_contains(s["d"], "nofollow").alias("nofollow"),
-            _ai_word(s["d"]).alias("ai_word"),
-        ),
-    )
-
-
-def x_robots(value: Column, directives: Column) -> Column:
-    """``struct<value, noindex, ai_word>`` of the X-Robots-Tag header; null without the header."""
-    return F.when(
-        value.isNotNull(),
-        F.struct(
-            value.alias("value"),
-            F.array_contains(directives, "noindex").alias("noindex"),
-            _ai_word(directives).alias("ai_word"),
-        ),
-    )
+    names = "array(" + ", ".join(lit(n) for n in META_ROBOTS_NAMES) + ")"
+    found = f"transform({names}, (n, i) -> {struct(ord='i', meta_name='n', tag=meta_first_sql('n'))})"
+    content = struct(ord="f.ord", meta_name="f.meta_name", content="coalesce(lower(f.tag.content), '')")
+    present = f"transform(filter({found}, f -> f.tag IS NOT NULL), f -> {content})"
+    split = f"transform({present}, c -> {struct(c='c', d=split_trimmed_sql('c.content'))})"
+    flags = {k: v.format(d="s.d") for k, v in _FLAGS.items()}
+    out = struct(ord="s.c.ord", meta_name="s.c.meta_name", content="s.c.content", **flags)
+    return F.expr(f"transform({split}, s -> {out})")
 
 
 def crawl_facts(df: DataFrame) -> DataFrame:
-    # Values used more than once are columns of their own, so that they are worked out once.
+    """Adds ``meta_robots`` and ``x_robots`` (null without the header; nofollow is not looked at there)."""
     df = df.withColumn("_xrt", header(F.col("headers"), "x-robots-tag"))
-    df = df.withColumn("_xrt_parts", F.transform(split_trimmed(F.col("_xrt")), F.lower))
-    return df.withColumns(
-        {"meta_robots": meta_robots(F.col("head")), "x_robots": x_robots(F.col("_xrt"), F.col("_xrt_parts"))}
-    ).drop("_xrt", "_xrt_parts")
+    df = df.withColumn("_d", F.expr(f"transform({split_trimmed_sql('_xrt')}, x -> lower(x))"))
+    flags = {k: _FLAGS[k].format(d="_d") for k in ("noindex", "ai_word")}
+    x_robots = F.expr(f"CASE WHEN _xrt IS NOT NULL THEN {struct(value='_xrt', **flags)} END")
+    return df.withColumns({"meta_robots": meta_robots(), "x_robots": x_robots}).drop("_xrt", "_d")
 
 
 def crawl_penalty() -> Column:
     """Points lost to robots directives: 10/5 per high/medium tag issue, 5/3 per header issue."""
-    tags = F.aggregate(
-        "meta_robots",
-        F.lit(0),
-        lambda acc, m: acc
-        + F.when(m["noindex"], 10).otherwise(0)
-        + F.when(m["nofollow"], 5).otherwise(0)
-        + F.when(m["ai_word"].isNotNull(), 5).otherwise(0),
-    )
-    header_part = F.when(F.col("x_robots.noindex"), 5).otherwise(0) + F.when(
-        F.col("x_robots.ai_word").isNotNull(), 3
-    ).otherwise(0)
-    return tags + header_part
-
-
-def _policy(value: Column) -> Column:
-    return F.when(value == "1", RESERVED).when(value == "0", NOT_RESERVED).otherwise(NOT_DECLARED)
-
-
-def _signal(source: str, policy: Column, raw: Column, details: Column) -> Column:
-    return F.struct(
-        F.lit(source).alias("source"), policy.alias("policy"), raw.alias("raw_value"), details.alias("details")
-    )
-
-
-def _value_details(value: Column, where: str) -> Column:
-    return (
-        F.when(value == "1", F.lit(f"{where} reserves mining rights"))
-        .when(value == "0", F.lit(f"{where} permits mining"))
-        .otherwise(F.concat(F.lit(f"{where} holds neither 0 nor 1: "), value))
+    return F.expr(
+        "aggregate(meta_robots, 0, (acc, m) -> acc + if(m.noindex, 10, 0) + if(m.nofollow, 5, 0)"
+        " + if(m.ai_word IS NOT NULL, 5, 0))"
+        " + if(coalesce(x_robots.noindex, false), 5, 0) + if(x_robots.ai_word IS NOT NULL, 3, 0)"
     )
 
 
@@ -119,89 +66,94 @@ def tdm_header_value(headers: Column) -> Column:
     return strip(header(headers, "tdm-reservation"))
 
 
-def tdm_meta_value(head: Column) -> Column:
+def tdm_meta_value() -> Column:
     """Trimmed content of the first tag; empty without content, null without the tag."""
-    tag = meta_first(head, "tdm-reservation")
-    return F.when(tag.isNotNull(), strip(F.coalesce(tag["content"], F.lit(""))))
+    tag = meta_first_sql("'tdm-reservation'")
+    content_or_empty = "coalesce(t.content, '')"
+    content = f"transform(array({tag}), t -> if(t IS NULL, NULL, {strip_sql(content_or_empty)}))"
+    return F.expr(f"get({content}, 0)")
 
 
-def tdm_link_value(head: Column) -> Column:
+def tdm_link_value() -> Column:
     """Address in the first policy link; a later link is not tried when the first has none."""
-    return strip(F.coalesce(link_first(head, "tdm-policy")["href"], F.lit("")))
+    link = link_first_sql("tdm-policy")
+    return F.expr(strip_sql(f"coalesce({link}.href, '')"))
+
+
+def _valued(source: str, value: str, where: str) -> str:
+    policy = f"CASE {value} WHEN '1' THEN '{RESERVED}' WHEN '0' THEN '{NOT_RESERVED}' ELSE '{NOT_DECLARED}' END"
+    details = (
+        f"CASE {value} WHEN '1' THEN '{where} reserves mining rights' WHEN '0' THEN '{where} permits mining' "
+        f"ELSE concat('{where} holds neither 0 nor 1: ', {value}) END"
+    )
+    made = struct(source=lit(source), policy=policy, raw_value=value, details=details)
+    return f"CASE WHEN {value} IS NOT NULL THEN {made} END"
 
 
-def tdm_header_signal(value: Column) -> Column:
-    return F.when(value.isNotNull(), _signal(HTTP_HEADER, _policy(value), value, _value_details(value, "header")))
+def header_signal_sql(value: str) -> str:
+    return _valued(HTTP_HEADER, value, "header")
 
 
-def tdm_meta_signal(value: Column) -> Column:
-    return F.when(value.isNotNull(), _signal(META_TAG, _policy(value), value, _value_details(value, "meta tag")))
+def meta_signal_sql(value: str) -> str:
+    return _valued(META_TAG, value, "meta tag")
 
 
-def tdm_link_signal(href: Column) -> Column:
+def link_signal_sql(href: str) -> str:
     """A policy link counts as a reservation."""
-    return F.when(href != "", _signal(LINK_TAG, F.lit(RESERVED), href, F.concat(F.lit("link to policy "), href)))
+    made = struct(source=lit(LINK_TAG), policy=lit(RESERVED), raw_value=href, details=f"concat('link to policy ', {href})")
+    return f"CASE WHEN {href} <> '' THEN {made} END"
 
 
-def tdmrep_signal(origin: Column, present: Column) -> Column:
-    return F.when(
-        present,
-        _signal(TDMREP_JSON, F.lit(RESERVED), F.concat(origin, F.lit("/tdmrep.json")), F.lit("policy file is served")),
+def tdmrep_signal_sql(origin: str, present: str) -> str:
+    made = struct(
+        source=lit(TDMREP_JSON), policy=lit(RESERVED), raw_value=f"concat({origin}, '/tdmrep.json')",
+        details="'policy file is served'",
     )
+    return f"CASE WHEN {present} THEN {made} END"
 
 
 def tdm_facts(df: DataFrame) -> DataFrame:
     """Signals of the page itself; the site's policy file comes with the site join."""
     df = df.withColumns(
-        {
-            "_header": tdm_header_value(F.col("headers")),
-            "_meta": tdm_meta_value(F.col("head")),
-            "_link": tdm_link_value(F.col("head")),
-        }
-    )
-    signals = F.array_compact(
-        F.array(tdm_header_signal(F.col("_header")), tdm_meta_signal(F.col("_meta")), tdm_link_signal(F.col("_link")))
+        {"_header": tdm_header_value(F.col("headers")), "_meta": tdm_meta_value(), "_link": tdm_link_value()}
     )
-    return df.withColumn("page_signals", signals).drop("_header", "_meta", "_link")
+    signals = f"array_compact(array({header_signal_sql('_header')}, {meta_signal_sql('_meta')}, {link_signal_sql('_link')}))"
+    return df.withColumn("page_signals", F.expr(signals)).drop("_header", "_meta", "_link")
 
 
 def all_signals() -> Column:
     """Header, meta, link, policy file: in this order."""
-    return F.array_compact(
-        F.concat("page_signals", F.array(tdmrep_signal(F.col("origin"), F.coalesce("tdmrep", F.lit(False)))))
-    )
-
-
-def is_valid(signal: Column) -> Column:
-    return signal["policy"] != NOT_DECLARED
+    site = tdmrep_signal_sql("origin", "coalesce(tdmrep, false)")
+    return F.expr(f"array_compact(concat(page_signals, array({site})))")
 
 
-def valid_signals(signals: Column) -> Column:
-    return F.filter(signals, is_valid)
+VALID = f"filter(signals, s -> s.policy <> '{NOT_DECLARED}')"
+INVALID = f"filter(signals, s -> s.policy = '{NOT_DECLARED}')"
+CONFLICT = f"(exists(signals, s -> s.policy = '{RESERVED}') AND exists(signals, s -> s.policy = '{NOT_RESERVED}'))"
 
 
-def invalid_signals(signals: Column) -> Column:
-    return F.filter(signals, lambda s: ~is_valid(s))
+def sources_sql(policy: str) -> str:
+    """Channels that state a policy, in signal order."""
+    return f"transform(filter(signals, s -> s.policy = '{policy}'), s -> s.source)"
 
 
-def policy_set(signals: Column) -> Column:
-    return F.array_distinct(F.transform(valid_signals(signals), lambda s: s["policy"]))
+def valid_signals() -> Column:
+    return F.expr(VALID)
 
 
-def sources_with(signals: Column, policy: str) -> Column:
-    return F.transform(F.filter(signals, lambda s: s["policy"] == policy), lambda s: s["source"])
+def invalid_signals() -> Column:
+    return F.expr(INVALID)
 
 
-def in_conflict(signals: Column) -> Column:
-    return F.exists(signals, lambda s: s["policy"] == RESERVED) & F.exists(signals, lambda s: s["policy"] == NOT_RESERVED)
+def policy_set() -> Column:
+    """Distinct declared policies of the page."""
+    return F.expr(f"array_distinct(transform({VALID}, s -> s.policy))")
 
 
-def tdm_status(signals: Column) -> Column:
+def tdm_status() -> Column:
     """One plain label per page."""
-    return (
-        F.when(F.size(signals) == 0, "undeclared")
-        .when(in_conflict(signals), "conflicting")
-        .when(F.size(valid_signals(signals)) == 0, "invalid")
-        .when(F.exists(signals, lambda s: s["policy"] == RESERVED), "reserved")
-        .otherwise("open")
+    return F.expr(
+        f"CASE WHEN size(signals) = 0 THEN 'undeclared' WHEN {CONFLICT} THEN 'conflicting' "
+        f"WHEN size({VALID}) = 0 THEN 'invalid' "
+        f"WHEN exists(signals, s -> s.policy = '{RESERVED}') THEN 'reserved' ELSE 'open' END"
     )

@@ -46,9 +46,8 @@ def register_dimension(dimension: Dimension) -> None:
 
 
 def _tdm_score() -> Column:
-    s = F.col("signals")
     return scores.tdm_score_from(
-        F.size(signals.valid_signals(s)), F.size(signals.invalid_signals(s)), signals.in_conflict(s)
+        F.expr(f"size({signals.VALID})"), F.expr(f"size({signals.INVALID})"), F.expr(signals.CONFLICT)
     )
 
 
@@ -81,7 +80,7 @@ def site_table(site_files: DataFrame) -> DataFrame:
     facts = access.site_facts(robots.site_policies(site_scan(site_files)))
     return facts.select(
         "origin", "robots_found", "tdmrep", "ai_txt", "allowed_weight", "specifically_allowed",
-        F.filter("bots", lambda b: ~b["allowed"]).alias("blocked"),
+        F.expr("filter(bots, b -> NOT b.allowed)").alias("blocked"),
     )
 
 
@@ -113,7 +112,7 @@ def evaluate(joined: DataFrame, dimensions: Sequence[Dimension], brief: bool = F
     )
     return df.select(
         "page_id", "url", "origin",
-        scores.overall_score(F.col("scores")).alias("overall_score"),
+        scores.overall_score().alias("overall_score"),
         F.size("issues").alias("issue_count"),
         "scores", "issues",
     )
@@ -144,4 +143,4 @@ def issues_table(audited: DataFrame) -> DataFrame:
 
 
 def high_issues(audited: DataFrame) -> DataFrame:
-    return issues_table(audited.withColumn("issues", F.filter("issues", lambda i: i["severity"] == "high")))
+    return issues_table(audited.withColumn("issues", F.expr("filter(issues, i -> i.severity = 'high')")))

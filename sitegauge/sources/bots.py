@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from sitegauge.functions.sqltext import lit, struct
 
 # Crawler, operator, weight in the access score (sum 100).
 BOTS = (
@@ -34,17 +35,10 @@ def bot_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(bot_rows(), BOT_SCHEMA)
 
 
-def bot_array() -> Column:
+def bot_array_sql() -> str:
     """The registry as one constant array, so that a row can be held against every bot in place."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(o).alias("ord"),
-                F.lit(bot).alias("bot"),
-                F.lit(op).alias("operator"),
-                F.lit(weight).alias("weight"),
-                F.lit(high).alias("high_impact"),
-            )
-            for o, bot, op, weight, high in bot_rows()
-        ]
-    )
+    rows = [
+        struct(ord=str(o), bot=lit(bot), operator=lit(op), weight=str(weight), high_impact=str(high).lower())
+        for o, bot, op, weight, high in bot_rows()
+    ]
+    return "array(" + ", ".join(rows) + ")"

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions import markup, url
 from sitegauge.functions.headers import header
-from sitegauge.functions.rows import explode_rows, inline_rows, posexplode_rows
+from sitegauge.functions.rows import inline_rows, posexplode_rows
+from sitegauge.functions.sqltext import lit
 from sitegauge.operators import access, issues, robots, scores, signals
 from sitegauge.plans import audit as plan
 from sitegauge.sources import overlay, tables
+from sitegauge.sources.bots import bot_rows
 
 
 def raw_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -90,35 +92,29 @@ def q_robots_groups(spark, d):
 
 
 def q_bot_group_match(spark, d):
-    m = policies(spark, d).select("origin", F.inline_outer(access.group_match(access.bot_array(), F.col("groups"))))
+    m = policies(spark, d).select("origin", F.inline_outer(access.group_match()))
     return m.select("origin", "request.bot", *_long("specific_id", "wildcard_id"))
 
 
 def q_bot_directive(spark, d):
-    names = F.array(*[F.lit(b) for b in [*(r[1] for r in access_rows()), "*", "UnknownBot"]])
+    names = "array(" + ", ".join(lit(b) for b in [*(r[1] for r in bot_rows()), "*", "UnknownBot"]) + ")"
     return access.access_for(policies(spark, d).select("origin", "groups"), names).select(
         "origin", "bot", "operator", "allowed", "reason", "matching_rule"
     )
 
 
-def access_rows():
-    from sitegauge.sources.bots import bot_rows
-
-    return bot_rows()
-
-
 def page_paths(spark, d):
     p = tables.pages_scan(raw_pages(spark, d)).select("page_id", "origin", url.path(F.col("url")).alias("path"))
     return plan.with_site(p, raw_pages(spark, d), policies(spark, d).select("origin", "groups"))
 
 
 def q_longest_path_rule(spark, d):
-    got = access.access_for(page_paths(spark, d), F.array(F.lit("*")), F.col("path"))
+    got = access.access_for(page_paths(spark, d), "array('*')", "path")
     return got.select("page_id", "path", "allowed", "matching_rule")
 
 
 def q_bot_access_path(spark, d):
-    return access.access_for(page_paths(spark, d), None, F.col("path")).select(
+    return access.access_for(page_paths(spark, d), None, "path").select(
         "page_id", "path", "bot", "allowed", "reason"
     )
 
@@ -138,7 +134,7 @@ def q_html_tags(spark, d):
 
 def q_meta_first(spark, d):
     names = ("robots", "author", "tdm-reservation")
-    staged = head(spark, d).select("page_id", *[markup.meta_first(F.col("head"), n).alias(n) for n in names])
+    staged = head(spark, d).select("page_id", *[F.expr(markup.meta_first_sql(lit(n))).alias(n) for n in names])
     found = F.array_compact(
         F.array(*[
             F.when(F.col(f"`{n}`").isNotNull(),
@@ -154,21 +150,22 @@ def q_meta_robots(spark, d):
     return inline_rows(df, ["page_id"], "meta_robots", "meta_name").drop("ord")
 
 
-def _one_signal(df, col):
-    return df.select("page_id", col.alias("s")).filter("s IS NOT NULL").select("page_id", "s.source", "s.policy", "s.raw_value")
+def _one_signal(df, value, signal_sql):
+    df = df.select("page_id", value.alias("v")).select("page_id", F.expr(signal_sql("v")).alias("s"))
+    return df.filter("s IS NOT NULL").select("page_id", "s.source", "s.policy", "s.raw_value")
 
 
 def q_tdm_header(spark, d):
-    df = tables.pages_scan(pages(spark, d)).withColumn("v", signals.tdm_header_value(F.col("headers")))
-    return _one_signal(df, signals.tdm_header_signal(F.col("v")))
+    df = tables.pages_scan(pages(spark, d))
+    return _one_signal(df, signals.tdm_header_value(F.col("headers")), signals.header_signal_sql)
 
 
 def q_tdm_meta(spark, d):
-    return _one_signal(head(spark, d).withColumn("v", signals.tdm_meta_value(F.col("head"))), signals.tdm_meta_signal(F.col("v")))
+    return _one_signal(head(spark, d), signals.tdm_meta_value(), signals.meta_signal_sql)
 
 
 def q_tdm_link(spark, d):
-    return _one_signal(head(spark, d).withColumn("v", signals.tdm_link_value(F.col("head"))), signals.tdm_link_signal(F.col("v")))
+    return _one_signal(head(spark, d), signals.tdm_link_value(), signals.link_signal_sql)
 
 
 def q_header_lookup(spark, d):
@@ -177,13 +174,10 @@ def q_header_lookup(spark, d):
 
 
 def q_x_robots(spark, d):
-    df = signals.crawl_facts(tables.pages_scan(pages(spark, d)).withColumn("head", F.array().cast(HEAD_TYPE)))
+    df = signals.crawl_facts(tables.pages_scan(pages(spark, d)).withColumn("head", F.array().cast(markup.HEAD_TYPE)))
     return df.filter("x_robots IS NOT NULL").select("page_id", "x_robots.*")
 
 
-HEAD_TYPE = "array<struct<el:string,name:string,property:string,content:string,rel:string,href:string>>"
-
-
 def q_select_dimensions(spark, d):
     a = audited(spark, d, "tdm")
     return a.select(
@@ -203,7 +197,7 @@ def q_blank_html(spark, d):
 
 def q_valid(spark, d, valid=True):
     f = signals.valid_signals if valid else signals.invalid_signals
-    return inline_rows(with_signals(spark, d), ["page_id"], f(F.col("signals")), "source").drop("details")
+    return inline_rows(with_signals(spark, d), ["page_id"], f(), "source").drop("details")
 
 
 def q_signals_union(spark, d):
@@ -214,7 +208,7 @@ def q_signals_union(spark, d):
 
 def q_policy_set(spark, d):
     return with_signals(spark, d).select(
-        "page_id", F.array_join(F.array_sort(signals.policy_set(F.col("signals"))), ",").alias("policies")
+        "page_id", F.array_join(F.array_sort(signals.policy_set()), ",").alias("policies")
     )
 
 
@@ -281,12 +275,12 @@ def q_score_summary(spark, d):
 
 
 def q_group_concat(spark, d):
-    s = F.col("signals")
+    joined_text = lambda items: F.expr(f"array_join({items}, ', ')")
     return with_signals(spark, d).select(
         "page_id",
-        F.array_join(F.transform(signals.valid_signals(s), lambda x: x["source"]), ", ").alias("sources"),
-        F.array_join(signals.sources_with(s, signals.RESERVED), ", ").alias("reserved_by"),
-        F.array_join(signals.sources_with(s, signals.NOT_RESERVED), ", ").alias("allowed_by"),
+        joined_text(f"transform({signals.VALID}, s -> s.source)").alias("sources"),
+        joined_text(signals.sources_sql(signals.RESERVED)).alias("reserved_by"),
+        joined_text(signals.sources_sql(signals.NOT_RESERVED)).alias("allowed_by"),
     )
 
 
@@ -317,7 +311,7 @@ def q_ai_txt(spark, d):
 
 
 def q_tdmrep_reference(spark, d):
-    hits = markup.project_tags(F.col("html"), "a|link|area", ["href"], where="(?i)tdmrep")
+    hits = markup.project_tags("html", "a|link|area", ["href"], where="(?i)tdmrep")
     df = pages(spark, d).select("page_id", F.filter(hits, lambda t: t["href"].rlike(r"(?i)tdmrep\.json")).alias("hits"))
     return df.select("page_id", F.size("hits").cast("long").alias("n_references")).filter("n_references > 0")
 
@@ -371,7 +365,7 @@ def core_queries():
         "first_by_position": q_first_by_position,
         "last_group_wins": q_last_group_wins,
         "issue_order": q_issue_order,
-        "tdm_status": lambda s, d: with_signals(s, d).select("page_id", signals.tdm_status(F.col("signals")).alias("status")),
+        "tdm_status": lambda s, d: with_signals(s, d).select("page_id", signals.tdm_status().alias("status")),
         "ai_txt": q_ai_txt,
         "over_restrictive": lambda s, d: access.over_restrictive(facts(s, d)).select("origin", *_long("allowed_weight", "n_blocked")),
         "vendor_conflict": lambda s, d: access.vendor_conflict(facts(s, d)),
