@@ -98,23 +98,22 @@ def with_site(facts: DataFrame, pages: DataFrame, sites: DataFrame, rows_per_tas
     return join_one_per_key(facts, sites, "origin", "page_id", keys, rows_per_task)
 
 
-def evaluate(joined: DataFrame, dimensions: Sequence[Dimension], brief: bool = False) -> DataFrame:
+def evaluate(
+    joined: DataFrame,
+    dimensions: Sequence[Dimension],
+    brief: bool = False,
+    keep: Sequence[str] = ("page_id", "url", "origin"),
+) -> DataFrame:
     """Issues and scores over joined rows. Runs on batches and streams."""
     if any(d.name == "tdm" for d in dimensions):
         joined = joined.withColumn("signals", signals.all_signals())
     df = joined.withColumns({f"_i_{d.category}": d.issues(brief) for d in dimensions})
     parts = [scores.score(d.category, d.score(), F.size(f"_i_{d.category}")) for d in dimensions]
-    empty_scores = F.array().cast("array<struct<category:string,value:int,max_value:int,issue_count:int>>")
     df = df.select(
-        "page_id", "url", "origin",
-        (F.array(*parts) if parts else empty_scores).alias("scores"),
-        F.concat(*[F.col(f"_i_{d.category}") for d in dimensions]).alias("issues"),
+        *keep, F.array(*parts).alias("scores"), F.concat(*[F.col(f"_i_{d.category}") for d in dimensions]).alias("issues")
     )
     return df.select(
-        "page_id", "url", "origin",
-        scores.overall_score().alias("overall_score"),
-        F.size("issues").alias("issue_count"),
-        "scores", "issues",
+        *keep, scores.overall_score().alias("overall_score"), F.size("issues").alias("issue_count"), "scores", "issues"
     )
 
 
