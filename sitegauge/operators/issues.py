@@ -30,6 +30,22 @@ TITLES = {
     "tdm_none": ("medium", "No TDM policy declared"),
     "tdm_declared": ("info", "TDM policy declared: {_label}"),
 }
+# Our own rules for the parts that have no fixed results.
+TITLES |= {
+    "sd_none": ("medium", "No structured data"),
+    "sd_jsonld_invalid": ("medium", "JSON-LD does not parse: {n} block(s)"),
+    "sd_missing": (None, "No {type} markup"),
+    "sd_nesting": ("low", "Nested objects without a type: {n}"),
+    "ex_h1_missing": ("medium", "No main heading"),
+    "ex_h1_multiple": ("low", "More than one main heading: {n}"),
+    "ex_heading_skip": ("low", "Heading levels skipped: {n}"),
+    "ex_no_region": ("medium", "No main or article region"),
+    "at_no_author": ("low", "No author markup"),
+    "at_no_date": ("low", "No readable date"),
+    "at_canonical_other": ("info", "Canonical address points elsewhere"),
+    "at_no_social": ("info", "No social preview tags"),
+    "at_no_https": ("medium", "Not served over https"),
+}
 # Our own wording: rule -> (what was seen, what to do about it).
 ADVICE = {
     "robots_missing": (
@@ -85,9 +101,25 @@ ADVICE = {
         "{_advice}",
     ),
 }
+ADVICE |= {
+    "sd_none": ("The page carries neither JSON-LD nor Microdata nor RDFa.", "Describe the page with schema.org markup."),
+    "sd_jsonld_invalid": ("{n} JSON-LD block(s) are not valid JSON.", "Check the blocks with a JSON parser."),
+    "sd_missing": ("Nothing on the page is marked up as {type}.", "Add {type} markup where the content fits it."),
+    "sd_nesting": ("{n} nested object(s) do not say what they are.", "Give every nested object an @type."),
+    "ex_h1_missing": ("No h1 was found.", "Give the page one h1 that names its subject."),
+    "ex_h1_multiple": ("{n} h1 headings compete.", "Keep one h1 and turn the others into h2."),
+    "ex_heading_skip": ("{n} heading(s) jump by more than one level.", "Step through heading levels one by one."),
+    "ex_no_region": ("No main or article element holds the content.", "Wrap the content in main or article."),
+    "at_no_author": ("No author is named in markup.", "Name the author in a meta tag or in JSON-LD."),
+    "at_no_date": ("No publication or change date can be read.", "State the dates in markup."),
+    "at_canonical_other": ("The canonical link names another address.", "Check that the other address is meant."),
+    "at_no_social": ("Neither OpenGraph nor card tags are set.", "Add og:title, og:description and og:image."),
+    "at_no_https": ("The page address is not https.", "Serve the page over https."),
+}
 ADVICE_MANY = "Nothing to do: the policy is stated in more than one place."
 ADVICE_ONE = "State the policy in a second channel as well, such as header and meta tag."
-CATEGORY = {rule: ("tdm" if rule.startswith("tdm") else "crawlability") for rule in TITLES}
+_PREFIXES = {"tdm": "tdm", "sd": "structured_data", "ex": "extractability", "at": "attribution"}
+CATEGORY = {rule: _PREFIXES.get(rule.split("_")[0], "crawlability") for rule in TITLES}
 
 FIELDS = ("ord", "severity", "category", "rule", "key", "title", "description", "recommendation", "details")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.rows import inline_rows
-from sitegauge.operators import access, issues, robots, scores, signals
+from sitegauge.operators import access, attribution, content, issues, robots, scores, signals, structured
 from sitegauge.plans.skew import ROWS_PER_TASK, join_one_per_key
 from sitegauge.sources.tables import pages_scan, site_scan
 
@@ -62,6 +62,24 @@ register_dimension(
     Dimension("tdm", "tdm", signals.tdm_facts, issues.tdm_issues, _tdm_score, ("page_signals",))
 )
 
+register_dimension(
+    Dimension(
+        "structured-data", "structured_data", structured.structured_facts, structured.structured_issues,
+        structured.structured_score, ("sd",),
+    )
+)
+register_dimension(
+    Dimension(
+        "extractability", "extractability", content.content_facts, content.content_issues, content.content_score, ("ex",)
+    )
+)
+register_dimension(
+    Dimension(
+        "attribution", "attribution", attribution.attribution_facts, attribution.attribution_issues,
+        attribution.attribution_score, ("at",),
+    )
+)
+
 
 def select_dimensions(only: str | Sequence[str] | None = None) -> list[Dimension]:
     """Names (or a comma-separated text, not trimmed) to dimensions, in fixed order; none means all."""
@@ -72,6 +90,7 @@ def select_dimensions(only: str | Sequence[str] | None = None) -> list[Dimension
     return [d for n, d in _DIMENSIONS.items() if n in names]
 
 
+# The two dimensions with fixed results; the others follow definitions of our own.
 DEFAULT = ("crawlability", "tdm")
 
 

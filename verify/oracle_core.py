@@ -36,10 +36,11 @@ def unescape(x: str) -> str:
 
 
 def unquote(x: str) -> str:
-    return f"CASE WHEN {x}[1] IN ('\"', '''') THEN substr({x}, 2, length({x}) - 2) ELSE {x} END"
+    return f"CASE WHEN ({x})[1] IN ('\"', '''') THEN substr({x}, 2, length({x}) - 2) ELSE {x} END"
 
 
-URL = "translate(ltrim(url, ' '), '', '')"
+# An attribute without a value is an empty one; this engine reports an unmatched group as null.
+BARE = "coalesce(v, '')"
 part("bots", "SELECT * FROM (VALUES " + ", ".join(
     f"({o}, '{b}', '{op}', {w}, {str(h).lower()})" for o, b, op, w, h in bot_rows()
 ) + ") t(ord, bot, operator, weight, high_impact)")
@@ -138,7 +139,7 @@ part("sitefacts", """SELECT n.origin, r.origin IS NOT NULL AS robots_found, t.or
 part("rawtags", f"""SELECT page_id, tpos, tag FROM (SELECT page_id, unnest(l) AS tag, generate_subscripts(l, 1) AS tpos
  FROM (SELECT page_id, list_filter(regexp_extract_all(html, '{tag_pattern("meta|link")}'),
   lambda t: NOT starts_with(t, '<!') AND NOT regexp_matches(t, '(?i)^<(?:script|style)[\\s/>]')) AS l FROM pg))""")
-part("tagattrs", f"""SELECT page_id, tpos, lower(k) AS k, arg_max({unescape(unquote('v'))}, apos) AS v FROM
+part("tagattrs", f"""SELECT page_id, tpos, lower(k) AS k, arg_max({unescape(unquote(BARE))}, apos) AS v FROM
  (SELECT page_id, tpos, unnest(regexp_extract_all(body, '{ATTR}', 1)) AS k, unnest(regexp_extract_all(body, '{ATTR}', 2)) AS v,
   generate_subscripts(regexp_extract_all(body, '{ATTR}', 1), 1) AS apos FROM
   (SELECT page_id, tpos, regexp_extract(tag, '(?s)^<[^\\s/>]+(.*)>$', 1) AS body FROM rawtags)) GROUP BY 1, 2, 3""")
