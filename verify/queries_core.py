@@ -352,7 +352,7 @@ def core_queries():
         "tdm_signals_union": q_signals_union,
         "issues_union": q_issues,
         "policy_set": q_policy_set,
-        **{f"issue_{rule}": issue_query(rule) for rule in issues.TITLES},
+        **{f"issue_{rule}": issue_query(rule) for rule, c in issues.CATEGORY.items() if c in ("crawlability", "tdm")},
         "allowed_weight": lambda s, d: facts(s, d).select("origin", *_long("allowed_weight")),
         "crawl_penalty": lambda s, d: signals.crawl_facts(head(s, d)).select("page_id", signals.crawl_penalty().cast("long").alias("penalty")),
         "crawl_score": q_scores("crawlability"),
