@@ -21,3 +21,13 @@ def explode_rows(df: DataFrame, keep: list, items: str | Column, name: str) -> D
 
 def posexplode_rows(df: DataFrame, keep: list, items: str | Column, pos: str, name: str) -> DataFrame:
     return df.select(*keep, F.posexplode_outer(items).alias(pos, name)).filter(F.col(name).isNotNull())
+
+
+def keep_where(df: DataFrame, columns: list, condition: str) -> DataFrame:
+    """Select ``columns`` and keep rows by a condition on the results.
+
+    A plain filter would be pushed below the projection together with the expressions it
+    names, and html would be matched twice. Rows that pass through a generator are only
+    filtered after it.
+    """
+    return df.select(F.inline_outer(F.array(F.struct(*columns)))).filter(condition)

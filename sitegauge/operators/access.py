@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.functions.rows import keep_where
 from sitegauge.functions.sqltext import struct
 from sitegauge.operators.robots import GROUP_TYPE
 from sitegauge.sources.bots import bot_array_sql
@@ -119,9 +120,8 @@ def access_for(df: DataFrame, bots: str | None = None, path: str = "'/'") -> Dat
 
 def over_restrictive(facts: DataFrame, allowed_at_most: int = 50) -> DataFrame:
     """Sites that shut out at least half of the crawler weight."""
-    return facts.filter(F.col("allowed_weight") <= allowed_at_most).select(
-        "origin", "allowed_weight", F.expr("size(filter(bots, b -> NOT b.allowed))").alias("n_blocked")
-    )
+    blocked = F.expr("size(filter(bots, b -> NOT b.allowed))").alias("n_blocked")
+    return keep_where(facts, ["origin", "allowed_weight", blocked], f"allowed_weight <= {allowed_at_most}")
 
 
 def vendor_conflict(facts: DataFrame) -> DataFrame:

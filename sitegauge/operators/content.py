@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions import markup
-from sitegauge.functions.rows import posexplode_rows
+from sitegauge.functions.rows import keep_where, posexplode_rows
 from sitegauge.functions.sqltext import lit, struct
 from sitegauge.operators import issues
 
@@ -59,11 +59,9 @@ def heading_outline(df: DataFrame) -> DataFrame:
 
 def h1_check(df: DataFrame) -> DataFrame:
     """Pages without exactly one main heading."""
-    n = df.select("page_id", F.expr(f"size(filter({headings_sql(CLEAN_SQL)}, h -> h.level = 1))").alias("n_h1"))
-    return n.filter("n_h1 <> 1").select("page_id", "n_h1", F.when(F.col("n_h1") == 0, "missing").otherwise("multiple").alias("finding"))
-
-
-CLEAN_SQL = f"regexp_replace(html, {lit(markup.NOT_CONTENT)}, ' ')"
+    starts = F.expr("size(filter(els, e -> e = 'h1'))").alias("n_h1")
+    els = with_clean(df).select("page_id", markup.element_names("clean").alias("els"))
+    return keep_where(els, ["page_id", starts], "n_h1 <> 1").select("page_id", "n_h1", F.when(F.col("n_h1") == 0, "missing").otherwise("multiple").alias("finding"))
 
 
 def _counts(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -130,10 +128,8 @@ def section_blocks(df: DataFrame) -> DataFrame:
 
 def section_depth(df: DataFrame) -> DataFrame:
     """Words per section: fewest, mean, most."""
-    w = with_sections(with_body(with_clean(df))).select(
-        "page_id", F.expr(f"transform(sections, s -> {words_sql('s.text')})").alias("w")
-    )
-    return w.filter("size(w) > 0").select(
+    w = F.expr(f"transform(sections, s -> {words_sql('s.text')})").alias("w")
+    return keep_where(with_sections(with_body(with_clean(df))), ["page_id", w], "size(w) > 0").select(
         "page_id", F.size("w").alias("n_sections"), F.array_min("w").alias("min_words"),
         F.expr("aggregate(w, 0, (a, x) -> a + x) / size(w)").alias("avg_words"), F.array_max("w").alias("max_words"),
     )

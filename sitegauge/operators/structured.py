@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions import markup
-from sitegauge.functions.rows import explode_rows, inline_rows, posexplode_rows
+from sitegauge.functions.rows import explode_rows, inline_rows, keep_where, posexplode_rows
 from sitegauge.functions.sqltext import lit, struct
 from sitegauge.operators import issues
 
@@ -73,7 +73,7 @@ def _tagged(names: tuple[str, ...]) -> Column:
 
 def microdata_items(df: DataFrame) -> DataFrame:
     """Counts of item scopes and properties, and the item types of pages that use Microdata."""
-    tags = df.select("page_id", _tagged(("itemscope", "itemtype", "itemprop")).alias("t")).filter("size(t) > 0")
+    tags = keep_where(df, ["page_id", _tagged(("itemscope", "itemtype", "itemprop")).alias("t")], "size(t) > 0")
     return tags.select(
         "page_id",
         F.expr("size(filter(t, x -> x.itemscope IS NOT NULL))").alias("n_scopes"),
@@ -84,7 +84,7 @@ def microdata_items(df: DataFrame) -> DataFrame:
 
 def rdfa_items(df: DataFrame) -> DataFrame:
     """The same for RDFa: ``typeof`` and ``property``."""
-    tags = df.select("page_id", _tagged(("typeof", "property")).alias("t")).filter("size(t) > 0")
+    tags = keep_where(df, ["page_id", _tagged(("typeof", "property")).alias("t")], "size(t) > 0")
     names = "filter(flatten(transform(t, x -> split(trim(coalesce(x.typeof, '')), '\\\\s+'))), x -> x <> '')"
     return tags.select(
         "page_id",

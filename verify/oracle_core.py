@@ -315,6 +315,11 @@ SQL: dict[str, str] = {
     "issue_order": "SELECT p.page_id, coalesce(string_agg(rule, '>' ORDER BY ord), '') AS rules FROM pg p LEFT JOIN issues i ON i.page_id = p.page_id GROUP BY 1",
     "tdm_status": "SELECT page_id, CASE WHEN n_signals = 0 THEN 'undeclared' WHEN conflict THEN 'conflicting' WHEN n_valid = 0 THEN 'invalid' "
     "WHEN any_reserved THEN 'reserved' ELSE 'open' END AS status FROM sigsum",
+    "scalar_functions": f"""SELECT p.page_id, len(regexp_split_to_array(html, '{NL}')) AS n_lines, x.path AS stripped,
+ split_part(url, '#', 1) AS before_hash, 'a|b|' || p.page_id AS parts, try_cast(regexp_extract(x.path, '([0-9]+)', 1) AS DOUBLE) AS number,
+ CAST(NULL AS DOUBLE) AS no_number, CAST(round_even(p.page_id / 2, 0) AS BIGINT) AS half_even,
+ greatest(0, least(100, p.page_id - 50)) AS clamped, 'Structured Data' AS label, '<' || p.page_id || '&gt;' AS unescaped
+ FROM pg p JOIN ppaths x USING (page_id)""",
     "ai_txt": "SELECT page_id, p.origin, a.origin IS NOT NULL AS ai_txt FROM pg p LEFT JOIN aitxts a ON a.origin = p.origin",
     "over_restrictive": "SELECT f.origin, CAST(allowed_weight AS BIGINT) AS allowed_weight, CAST(n AS BIGINT) AS n_blocked FROM sitefacts f "
     "JOIN (SELECT origin, count(*) FILTER (WHERE NOT allowed AND ord BETWEEN 1 AND 12) AS n FROM access GROUP BY 1) USING (origin) "

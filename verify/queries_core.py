@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.functions import markup, url
+from sitegauge.functions import markup, text, url
 from sitegauge.functions.headers import header
-from sitegauge.functions.rows import inline_rows, posexplode_rows
+from sitegauge.functions.rows import inline_rows, keep_where, posexplode_rows
 from sitegauge.functions.sqltext import lit
 from sitegauge.operators import access, issues, robots, scores, signals
 from sitegauge.plans import audit as plan
@@ -151,8 +151,8 @@ def q_meta_robots(spark, d):
 
 
 def _one_signal(df, value, signal_sql):
-    df = df.select("page_id", value.alias("v")).select("page_id", F.expr(signal_sql("v")).alias("s"))
-    return df.filter("s IS NOT NULL").select("page_id", "s.source", "s.policy", "s.raw_value")
+    df = df.select("page_id", value.alias("v"))
+    return keep_where(df, ["page_id", F.expr(signal_sql("v")).alias("s")], "s IS NOT NULL").select("page_id", "s.source", "s.policy", "s.raw_value")
 
 
 def q_tdm_header(spark, d):
@@ -175,7 +175,7 @@ def q_header_lookup(spark, d):
 
 def q_x_robots(spark, d):
     df = signals.crawl_facts(tables.pages_scan(pages(spark, d)).withColumn("head", F.array().cast(markup.HEAD_TYPE)))
-    return df.filter("x_robots IS NOT NULL").select("page_id", "x_robots.*")
+    return keep_where(df, ["page_id", "x_robots"], "x_robots IS NOT NULL").select("page_id", "x_robots.*")
 
 
 def q_select_dimensions(spark, d):
@@ -289,7 +289,7 @@ def q_first_by_position(spark, d):
         F.transform("head", lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
         lambda x: (x["t"]["el"] == "meta") & x["t"]["name"].isNotNull(),
     )
-    df = head(spark, d).select("page_id", F.get(named, F.lit(0)).alias("x")).filter("x IS NOT NULL")
+    df = keep_where(head(spark, d), ["page_id", F.get(named, F.lit(0)).alias("x")], "x IS NOT NULL")
     return df.select("page_id", F.coalesce("x.t.content", F.lit("")).alias("first_meta_content"), F.col("x.i").cast("long").alias("first_pos"))
 
 
@@ -304,6 +304,25 @@ def q_issue_order(spark, d):
     return a.select("page_id", F.array_join(F.transform("issues", lambda i: i["rule"]), ">").alias("rules"))
 
 
+def q_scalar_functions(spark, d):
+    """The text helpers over whole pages: lines, trimming, splitting, numbers, rounding, labels."""
+    html, path = F.col("html"), url.path(F.col("url"))
+    number_part = F.regexp_extract(path, "([0-9]+)", 1)
+    return pages(spark, d).select(
+        "page_id",
+        F.size(text.split_lines(html)).cast("long").alias("n_lines"),
+        text.strip(F.concat(F.lit("\u2003\t "), path, F.lit("\x85\n"))).alias("stripped"),
+        F.substring_index("url", "#", 1).alias("before_hash"),
+        F.expr(f"array_join({text.split_trimmed_sql(chr(39) + ' a ,b,' + chr(39) + ' || page_id')}, '|')").alias("parts"),
+        text.number(number_part).alias("number"),
+        text.number(F.concat(number_part, F.lit("d"))).alias("no_number"),
+        text.half_even(F.col("page_id") / 2).cast("long").alias("half_even"),
+        text.clamp(F.col("page_id") - 50).cast("long").alias("clamped"),
+        text.title_case(F.lit("structured_data")).alias("label"),
+        F.expr(text.unescape_sql("concat('&lt;', page_id, '&amp;gt;')")).alias("unescaped"),
+    )
+
+
 def q_ai_txt(spark, d):
     p = tables.pages_scan(raw_pages(spark, d)).select("page_id", "origin")
     ai = tables.ai_txt_scan(files(spark, d)).withColumn("ai_txt", F.lit(True))
@@ -312,8 +331,8 @@ def q_ai_txt(spark, d):
 
 def q_tdmrep_reference(spark, d):
     hits = markup.project_tags("html", "a|link|area", ["href"], where="(?i)tdmrep")
-    df = pages(spark, d).select("page_id", F.filter(hits, lambda t: t["href"].rlike(r"(?i)tdmrep\.json")).alias("hits"))
-    return df.select("page_id", F.size("hits").cast("long").alias("n_references")).filter("n_references > 0")
+    found = F.size(F.filter(hits, lambda t: t["href"].rlike(r"(?i)tdmrep\.json"))).cast("long").alias("n_references")
+    return keep_where(pages(spark, d), ["page_id", found], "n_references > 0")
 
 
 def core_queries():
@@ -366,6 +385,7 @@ def core_queries():
         "last_group_wins": q_last_group_wins,
         "issue_order": q_issue_order,
         "tdm_status": lambda s, d: with_signals(s, d).select("page_id", signals.tdm_status().alias("status")),
+        "scalar_functions": q_scalar_functions,
         "ai_txt": q_ai_txt,
         "over_restrictive": lambda s, d: access.over_restrictive(facts(s, d)).select("origin", *_long("allowed_weight", "n_blocked")),
         "vendor_conflict": lambda s, d: access.vendor_conflict(facts(s, d)),
