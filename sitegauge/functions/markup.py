@@ -26,6 +26,7 @@ _INNER = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+"""
 _ATTR = r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
 NOT_CONTENT = rf"(?s)<(?:{_SKIP})"
 _JSONLD = r"""(?is)^<script\s[^>]*type\s*=\s*["']?application/ld\+json[\s"'>/]"""
+_SPACES = r"[\s\x{a0}]+"
 ANY_TAG = "[a-z][a-z0-9:-]*+"
 HEAD_FIELDS = ("name", "property", "content", "rel", "href")
 HEAD_TYPE = "array<struct<el:string," + ",".join(f"{f}:string" for f in HEAD_FIELDS) + ">>"
@@ -34,9 +35,12 @@ HEAD_TYPE = "array<struct<el:string," + ",".join(f"{f}:string" for f in HEAD_FIE
 def raw_tags_sql(html: str, names: str = ANY_TAG, where: str | None = None) -> str:
     pattern = rf"(?s)<(?:{_SKIP}|(?i:{names})(?:[\s/]{_INNER})?+>)"
     keep = f"NOT (startswith(t, '<!') OR t RLIKE {lit('(?i)^<(?:script|style)[' + chr(92) + 's/>]')})"
-    if where:
-        keep += f" AND t RLIKE {lit(where)}"
-    return f"filter(regexp_extract_all({html}, {lit(pattern)}, 0), t -> {keep})"
+    found = f"filter(regexp_extract_all({html}, {lit(pattern)}, 0), t -> {keep})"
+    if not where:
+        return found
+    # A page without the attribute anywhere needs no walk over its tags.
+    found = f"filter({found}, t -> t RLIKE {lit(where)})"
+    return f"CASE WHEN {html} RLIKE {lit(where)} THEN {found} ELSE CAST(array() AS ARRAY<STRING>) END"
 
 
 def raw_tags(html: str, names: str = ANY_TAG) -> Column:
@@ -66,7 +70,7 @@ def attr_sql(tag: str, name: str) -> str:
 def project_tags_sql(html: str, names: str, fields: tuple | list, where: str | None = None) -> str:
     """Tags as ``array<struct<el, field...>>``: the narrow form that operators work on.
 
-    ``where`` is a regex a raw tag must match before its attributes are read at all.
+    ``where`` is an unanchored regex a raw tag must match before its attributes are read at all.
     """
     columns = {f.replace("-", "_"): attr_sql("t", f) for f in fields}
     return f"transform({parsed_tags_sql(raw_tags_sql(html, names, where))}, t -> {struct(el='t.el', **columns)})"
@@ -109,12 +113,8 @@ def element_names(clean: str = "clean") -> Column:
 def visible_text_sql(clean: str) -> str:
     """Text between tags, white space collapsed."""
     text = f"regexp_replace({clean}, '</?[A-Za-z!][^>]*+>', ' ')"
-    return f"trim(regexp_replace({unescape_sql_once(text)}, {lit(r'[' + chr(92) + 's' + chr(92) + 'x{a0}]+')}, ' '))"
-
-
-def unescape_sql_once(text: str) -> str:
-    """Entity decoding without the containment test, which would repeat a costly argument."""
-    return unescape_sql(text).removeprefix(f"CASE WHEN contains({text}, '&') THEN ").removesuffix(f" ELSE {text} END")
+    collapsed = f"trim(regexp_replace({unescape_sql('x')}, {lit(_SPACES)}, ' '))"
+    return f"get(transform(array({text}), x -> {collapsed}), 0)"
 
 
 def jsonld_blocks(html: str = "html") -> Column:

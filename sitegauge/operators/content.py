@@ -108,17 +108,17 @@ def content_ratio(df: DataFrame) -> DataFrame:
     return t.withColumn("ratio", F.expr("if(body_chars = 0, 0.0D, content_chars / body_chars)"))
 
 
-def with_sections(df: DataFrame) -> DataFrame:
-    """Adds ``sections``: heading level, heading, text up to the next heading."""
+def with_sections(df: DataFrame, fields: tuple[str, ...] = ("level", "heading", "text")) -> DataFrame:
+    """Adds ``sections``: heading level, heading, text up to the next heading (or some of these)."""
     marked = f"regexp_replace(body, {lit('(?i)<(?=h[1-6][' + chr(92) + 's>])')}, '\\u0001<')"
     pieces = f"filter(split({marked}, '\\u0001'), (p, i) -> i > 0)"
-    df = df.withColumn("_p", F.expr(pieces))
-    one = struct(
-        level="CAST(substring(p, 3, 1) AS INT)",
-        heading=markup.visible_text_sql(f"regexp_extract(p, {lit(_HEADING_START)}, 1)"),
-        text=markup.visible_text_sql(f"regexp_replace(p, {lit(_HEADING_START)}, '')"),
-    )
-    return df.withColumn("sections", F.expr(f"transform(_p, p -> {one})")).drop("_p")
+    made = {
+        "level": "CAST(substring(p, 3, 1) AS INT)",
+        "heading": markup.visible_text_sql(f"regexp_extract(p, {lit(_HEADING_START)}, 1)"),
+        "text": markup.visible_text_sql(f"regexp_replace(p, {lit(_HEADING_START)}, '')"),
+    }
+    one = struct(**{f: made[f] for f in fields})
+    return df.withColumn("sections", F.expr(f"transform({pieces}, p -> {one})"))
 
 
 def section_blocks(df: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def section_blocks(df: DataFrame) -> DataFrame:
 def section_depth(df: DataFrame) -> DataFrame:
     """Words per section: fewest, mean, most."""
     w = F.expr(f"transform(sections, s -> {words_sql('s.text')})").alias("w")
-    return keep_where(with_sections(with_body(with_clean(df))), ["page_id", w], "size(w) > 0").select(
+    return keep_where(with_sections(with_body(with_clean(df)), ("text",)), ["page_id", w], "size(w) > 0").select(
         "page_id", F.size("w").alias("n_sections"), F.array_min("w").alias("min_words"),
         F.expr("aggregate(w, 0, (a, x) -> a + x) / size(w)").alias("avg_words"), F.array_max("w").alias("max_words"),
     )
@@ -142,7 +142,7 @@ def ready_sql(text: str) -> str:
 
 
 def answer_ready(df: DataFrame) -> DataFrame:
-    s = with_sections(with_body(with_clean(df)))
+    s = with_sections(with_body(with_clean(df)), ("text",))
     n = s.select(
         "page_id", F.size("sections").alias("n_sections"),
         F.expr(f"size(filter(sections, s -> {ready_sql('s.text')}))").alias("n_ready"),
@@ -199,7 +199,7 @@ def language_summary(df: DataFrame) -> DataFrame:
 
 def content_facts(df: DataFrame) -> DataFrame:
     """Adds ``ex``: everything the extractability score and issues need."""
-    df = with_sections(with_text(with_headings(with_clean(df))))
+    df = with_sections(with_text(with_headings(with_clean(df))), ("text",))
     ex = struct(
         n_h1="size(filter(headings, h -> h.level = 1))",
         n_skips="size(filter(headings, h -> h.skip))",
