@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.functions.sqltext import struct
+from sitegauge.functions.sqltext import lit, struct
 from sitegauge.plans.audit import issues_table, scores_table
 
 # Values that are lists inside the string-valued details; they become lists again in JSON.
@@ -28,20 +28,25 @@ def report_json(audited: DataFrame) -> DataFrame:
     return audited.select("page_id", F.expr(f"to_json({doc})").alias("report"))
 
 
-def report_json_full(audited: DataFrame, version: str, generated_at: datetime | Column | None = None) -> DataFrame:
-    """As above plus version, time of the run, issue count per score, metadata.
+def _utc_text(moment: datetime | None) -> Column:
+    if moment is None:
+        now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+        return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return F.lit((moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)).astimezone(timezone.utc).isoformat())
 
-    Pass ``generated_at`` to make reruns equal; it defaults to the current time.
+
+def report_json_full(audited: DataFrame, version: str, generated_at: datetime | None = None) -> DataFrame:
+    """As above plus version, time of the run in UTC, issue count per score, metadata.
+
+    Pass ``generated_at`` (taken as UTC without a zone) to make reruns equal.
     """
-    now = generated_at if isinstance(generated_at, Column) else F.lit(generated_at) if generated_at else F.current_timestamp()
     fields = {f: f"s.{f}" for f in ("category", "value", "max_value", "issue_count")}
-    stamped = audited.withColumn("_now", F.date_format(now.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX"))
     doc = struct(
-        version=f"'{version}'", generated_at="_now", url="url", overall_score="overall_score",
+        version=lit(version), generated_at="_now", url="url", overall_score="overall_score",
         scores=f"transform(scores, s -> {struct(**fields)})", issues=_issues(),
         metadata="CAST(map() AS MAP<STRING, STRING>)",
     )
-    return stamped.select("page_id", F.expr(f"to_json({doc})").alias("report"))
+    return audited.withColumn("_now", _utc_text(generated_at)).select("page_id", F.expr(f"to_json({doc})").alias("report"))
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:

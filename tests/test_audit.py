@@ -189,7 +189,7 @@ def test_reports(spark, tmp_path):
     assert by_title["Conflicting directives: wildcard block with specific allows"]["details"] == {"specifically_allowed": ["GPTBot"]}
     assert by_title["TDM policy declared: not reserved (opt-in)"]["details"]["signals"][0]["value"] == "0"
     full = json.loads(report.report_json_full(audited, "9.9", datetime(2026, 1, 2, 3, 4)).first().report)
-    assert full["generated_at"] == "2026-01-02T03:04:00Z" and full["version"] == "9.9" and full["metadata"] == {}
+    assert full["generated_at"] == "2026-01-02T03:04:00+00:00" and full["version"] == "9.9" and full["metadata"] == {}
     assert [s["issue_count"] for s in full["scores"]] == [12, 1]
     report.write_tables(audited, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t/issues")).count() == 13
@@ -215,6 +215,22 @@ def test_rollup_equals_counting_rows(spark):
     assert got == {(r.category, r.severity, r.rule): (r.a, r.b) for r in want}
 
 
+def test_shared_folder_comes_from_the_cluster():
+    class Session:
+        conf = {"spark.checkpoint.dir": "hdfs://shared/here"}
+
+    assert stream.shared_folder(Session()).startswith("hdfs://shared/here/")
+    assert stream.shared_folder(Session()) != stream.shared_folder(Session())
+
+
+def test_worst_sites_and_ranks(spark):
+    means = spark.createDataFrame([("a", 1, 5000), ("b", 2, 5000), ("c", 3, 7250)], "origin string, n_pages long, mean_x100 long")
+    assert [r.origin for r in corpus.worst_sites(means, 2).collect()] == ["a", "b"]
+    assert {(r.origin, r.mean_score, r.site_rank) for r in corpus.site_ranking(means).collect()} == {
+        ("a", 50.0, 2), ("b", 50.0, 2), ("c", 72.5, 1)
+    }
+
+
 def test_diff_with_repeated_keys(spark):
     old = spark.createDataFrame([("u", "r", "a"), ("u", "r", "a"), ("u", "r", "b")], "url string, rule string, key string")
     new = spark.createDataFrame([("u", "r", "a"), ("v", "r", "")], "url string, rule string, key string")

@@ -31,7 +31,7 @@ _REPORT = """SELECT p.page_id, p.url, CAST(o.overall_score AS VARCHAR) AS overal
 SQL: dict[str, str] = {
     "report_json": _REPORT.format(extra=""),
     "report_json_full": _REPORT.format(
-        extra=", '0.1.0' AS version, '2026-01-01T00:00:00Z' AS generated_at, CAST(n_crawl AS VARCHAR) AS crawl_issues, '{}' AS metadata"
+        extra=", '0.1.0' AS version, '2026-01-01T00:00:00+00:00' AS generated_at, CAST(n_crawl AS VARCHAR) AS crawl_issues, '{}' AS metadata"
     ),
     "report_tables": "SELECT 'scores' AS report, category, count(*) AS n_rows FROM scores GROUP BY 2 "
     "UNION ALL SELECT 'issues', category, count(*) FROM issues GROUP BY 2",
