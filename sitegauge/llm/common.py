@@ -41,15 +41,18 @@ def row_key(*names: str) -> list[Column]:
     return [F.xxhash64(*columns).alias("_h1"), F.xxhash64(F.lit("second"), *columns).alias("_h2")]
 
 
-def running_total(df: DataFrame, value: str, order: list[str], into: str, by: list[str] | None = None, slices: int = 4096) -> DataFrame:
+def running_total(
+    df: DataFrame, value: str, order: list[str], into: str, by: list[str] | None = None, slices: int = 4096, first: Column | None = None
+) -> DataFrame:
     """Adds ``into``: the sum of ``value`` over earlier rows, within each ``by``, without one task per ``by``.
 
-    The order is: a hash slice of the ``order`` columns, then these columns themselves. Totals of
+    The order is: the small integer ``first`` if given, a hash slice of the ``order`` columns, then these columns themselves. Totals of
     the slices are summed first, so a window only ever holds one slice of one group; rows that are
     equal in all ``order`` columns lie in one slice in no fixed order.
     """
     by = by or []
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    hashed = F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int")
+    sliced = df.withColumn("_slice", hashed if first is None else first * slices + hashed)
     totals = sliced.groupBy(*by, "_slice").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*by, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))

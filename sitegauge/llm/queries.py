@@ -8,29 +8,67 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegauge.llm.chat import fit, raw_transcripts, recover
+from sitegauge.llm.decontamination import matches
+from sitegauge.llm.nearest import search
 from sitegauge.llm.packing import pack
+from sitegauge.llm.pii import find_pii, pii_digest
+from sitegauge.llm.sharding import shard
 from sitegauge.llm.simhash_dedup import fingerprint_hex, near_duplicates
+from sitegauge.llm.token_counts import token_counts
+from sitegauge.llm.toxicity import fit_severity, severity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return severity(docs, fit_severity(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(_table(spark, sf_dir, "documents")))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_transcripts(_table(spark, sf_dir, "conversations"))
+    return recover(raw.drop("role"), fit(raw))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op8_packing": op8_packing,
-        "op10_simhash_near_dedup": op10_simhash_near_dedup,
-    }
+    found = (
+        op1_toxicity, op2_sharding, op4_pii, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_packing,
+        op9_nearest_neighbours, op10_simhash_near_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def llm_oracles() -> dict[str, str]:
