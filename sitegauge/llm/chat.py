@@ -46,7 +46,8 @@ def _marker(line: str) -> Column:
 def lines_of(blocks: DataFrame) -> DataFrame:
     """(ck, seg, pos, _h1, _h2, line_no, marker, size, asks, body, conv_id, ...): one row per line."""
     keys = row_key("conv_id", "turn", "text")
-    rows = blocks.select("*", *keys).dropDuplicates(["_h1", "_h2"])
+    own = [c for c in ("conv_id", "turn", "text", "role") if c in blocks.columns]
+    rows = blocks.select(*own, *keys).dropDuplicates(["_h1", "_h2"])
     rows = rows.withColumn("ck", F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("row "), F.col("_h1").cast("string"), F.lit(" "), F.col("_h2").cast("string"))))
     late = F.lit(1 << 51) + F.pmod(F.col("_h1"), F.lit(1024))
     rows = rows.withColumn("seg", F.coalesce(F.floor(F.col("turn") / SEGMENT).cast("long") + (1 << 50), late)).withColumn("pos", F.col("turn").cast("long"))

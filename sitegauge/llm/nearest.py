@@ -78,7 +78,7 @@ def scan(q: np.ndarray, x: np.ndarray, turned_q: np.ndarray, turned: np.ndarray,
     return rows[order], exact[order]
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: float = 0.15, least_probes: int = 8, sample_rows: int = 20_000,
+def search(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: float = 0.65, least_probes: int = 8, sample_rows: int = 20_000,
            most_lists: int = 1024, step: int = 16, epsilon: float = 2.1, id_column: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``."""
     data = usable(vectors, id_column, embedding)

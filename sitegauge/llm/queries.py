@@ -13,6 +13,7 @@ from sitegauge.llm.decontamination import matches
 from sitegauge.llm.nearest import search
 from sitegauge.llm.packing import pack
 from sitegauge.llm.pii import find_pii, pii_digest
+from sitegauge.llm.repeats import find_repeats
 from sitegauge.llm.sharding import shard
 from sitegauge.llm.simhash_dedup import fingerprint_hex, near_duplicates
 from sitegauge.llm.token_counts import token_counts
@@ -32,6 +33,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(_table(spark, sf_dir, "documents")))
 
@@ -65,7 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_toxicity, op2_sharding, op4_pii, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_packing,
+        op1_toxicity, op2_sharding, op3_repeated_bytes, op4_pii, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_packing,
         op9_nearest_neighbours, op10_simhash_near_dedup,
     )
     return {f.__name__: f for f in found}
