@@ -3,9 +3,11 @@
 One regex walks the html once. Comments, scripts and style sheets are tokens of their own,
 so nothing inside them is taken for a tag. All repeated groups are possessive: a page of any
 size is matched without recursion. Every pattern starts with a literal ``<``, which lets the
-matcher skip text quickly.
+matcher skip text quickly, and ends at the end of the page as well: what is never closed is walked
+over once, as one token, and dropped afterwards, so work grows in proportion to the page.
 
-Arguments named ``html``, ``clean`` and ``head`` are column names or SQL expressions.
+Arguments named ``html``, ``clean`` and ``head`` are column names or SQL expressions. A null page
+counts as an empty one.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from sitegauge.functions.text import strip_sql, unescape_sql
 
 _SKIP = (
     r"!--.*?(?:-->|\z)"
-    r"|(?i:script)(?=[\s/>])[^>]*+>.*?(?:</(?i:script)\s*+>|\z)"
-    r"|(?i:style)(?=[\s/>])[^>]*+>.*?(?:</(?i:style)\s*+>|\z)"
+    r"|(?i:script)(?=[\s/>])[^>]*+(?:>.*?(?:</(?i:script)\s*+>|\z)|\z)"
+    r"|(?i:style)(?=[\s/>])[^>]*+(?:>.*?(?:</(?i:style)\s*+>|\z)|\z)"
 )
 # Inside a tag a quote opens a value only right after an equals sign.
 _INNER = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+"""
@@ -33,9 +35,9 @@ HEAD_TYPE = "array<struct<el:string," + ",".join(f"{f}:string" for f in HEAD_FIE
 
 
 def raw_tags_sql(html: str, names: str = ANY_TAG, where: str | None = None) -> str:
-    pattern = rf"(?s)<(?:{_SKIP}|(?i:{names})(?:[\s/]{_INNER})?+>)"
-    keep = f"NOT (startswith(t, '<!') OR t RLIKE {lit('(?i)^<(?:script|style)[' + chr(92) + 's/>]')})"
-    found = f"filter(regexp_extract_all({html}, {lit(pattern)}, 0), t -> {keep})"
+    pattern = rf"(?s)<(?:{_SKIP}|(?i:{names})(?:[\s/]{_INNER})?+(?:>|\z))"
+    keep = f"endswith(t, '>') AND NOT (startswith(t, '<!') OR t RLIKE {lit('(?i)^<(?:script|style)[' + chr(92) + 's/>]')})"
+    found = f"filter(regexp_extract_all(coalesce({html}, ''), {lit(pattern)}, 0), t -> {keep})"
     if not where:
         return found
     # A page without the attribute anywhere needs no walk over its tags.
@@ -102,7 +104,7 @@ def link_first_sql(rel: str, head: str = "head") -> str:
 
 def clean_html(html: str = "html") -> Column:
     """Html without comments, scripts and style sheets."""
-    return F.regexp_replace(F.expr(html), NOT_CONTENT, " ")
+    return F.regexp_replace(F.coalesce(F.expr(html), F.lit("")), NOT_CONTENT, " ")
 
 
 def element_names(clean: str = "clean") -> Column:
@@ -111,14 +113,14 @@ def element_names(clean: str = "clean") -> Column:
 
 
 def visible_text_sql(clean: str) -> str:
-    """Text between tags, white space collapsed."""
-    text = f"regexp_replace({clean}, '</?[A-Za-z!][^>]*+>', ' ')"
+    """Text between tags, white space collapsed. A tag that is never closed takes the rest with it."""
+    text = f"regexp_replace({clean}, {lit('</?[A-Za-z!][^>]*+(?:>|' + chr(92) + 'z)')}, ' ')"
     collapsed = f"trim(regexp_replace({unescape_sql('x')}, {lit(_SPACES)}, ' '))"
     return f"get(transform(array({text}), x -> {collapsed}), 0)"
 
 
 def jsonld_blocks(html: str = "html") -> Column:
     """Bodies of JSON-LD scripts that are not commented out."""
-    tokens = f"filter(regexp_extract_all({html}, {lit(NOT_CONTENT)}, 0), t -> t RLIKE {lit(_JSONLD)})"
+    tokens = f"filter(regexp_extract_all(coalesce({html}, ''), {lit(NOT_CONTENT)}, 0), t -> t RLIKE {lit(_JSONLD)})"
     body = "regexp_replace(t, " + lit(r"(?is)^<script[^>]*+>|</script\s*+>$") + ", '')"
     return F.expr(f"transform({tokens}, t -> {strip_sql(body)})")

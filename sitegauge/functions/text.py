@@ -27,8 +27,20 @@ NUMBER = (
     r"|inf|infinity|nan)$"
 )
 
-# The named character references that matter in attribute values.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\xa0", "&amp;": "&"}
+# Named character references (the common ones; numbers are decoded by rule).
+REFERENCES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0",
+    "copy": "©", "reg": "®", "trade": "™", "sect": "§", "deg": "°", "middot": "·", "bull": "•", "hellip": "…",
+    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "sbquo": "‚", "ldquo": "“", "rdquo": "”", "bdquo": "„",
+    "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "times": "×", "iexcl": "¡", "iquest": "¿",
+    "agrave": "à", "aacute": "á", "acirc": "â", "atilde": "ã", "auml": "ä", "aring": "å", "aelig": "æ", "ccedil": "ç",
+    "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "igrave": "ì", "iacute": "í", "icirc": "î", "iuml": "ï",
+    "ntilde": "ñ", "ograve": "ò", "oacute": "ó", "ocirc": "ô", "otilde": "õ", "ouml": "ö", "oslash": "ø", "oelig": "œ",
+    "ugrave": "ù", "uacute": "ú", "ucirc": "û", "uuml": "ü", "szlig": "ß",
+    "Agrave": "À", "Aacute": "Á", "Auml": "Ä", "Ccedil": "Ç", "Egrave": "È", "Eacute": "É", "Ntilde": "Ñ", "Oacute": "Ó",
+    "Ouml": "Ö", "Uacute": "Ú", "Uuml": "Ü",
+}
+_REFERENCE = r"&(?:#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?|([A-Za-z]{2,8});)"
 
 
 def strip(text: Column) -> Column:
@@ -46,10 +58,19 @@ def split_trimmed_sql(text: str) -> str:
 
 
 def unescape_sql(text: str) -> str:
-    """Decode the common character references; ``&amp;`` last, so nothing is decoded twice."""
-    out = text
-    for name, char in ENTITIES.items():
-        out = f"replace({out}, {lit(name)}, {lit(char)})"
+    """Decode character references in one pass, so nothing is decoded twice.
+
+    Decimal and hexadecimal ones in general (code points that no text can hold become U+FFFD),
+    named ones if they are common; an unknown name stays as it is.
+    """
+    pattern = lit(_REFERENCE)
+    names = f"map_from_arrays(split({lit(' '.join(REFERENCES))}, ' '), split({lit(' '.join(REFERENCES.values()))}, ' '))"
+    number = "cast(if(lower(left(n, 1)) = 'x', conv(substring(n, 2), 16, 10), n) as bigint)"
+    sound = f"if({number} between 1 and 1114111 and not {number} between 55296 and 57343, {number}, 65533)"
+    char = f"decode(unhex(lpad(hex({sound}), 8, '0')), 'UTF-32')"
+    one = f"if(n <> '', {char}, coalesce(try_element_at({names}, m), concat('&', m, ';')))"
+    found = f"zip_with(regexp_extract_all({text}, {pattern}, 1), regexp_extract_all({text}, {pattern}, 2), (n, m) -> {one})"
+    out = f"array_join(zip_with(split({text}, {pattern}, -1), {found}, (t, c) -> concat(t, coalesce(c, ''))), '')"
     return f"CASE WHEN contains({text}, '&') THEN {out} ELSE {text} END"
 
 

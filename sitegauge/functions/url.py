@@ -22,11 +22,20 @@ def netloc(url: Column) -> Column:
     return F.regexp_extract(_clean(url), _PARTS, 2)
 
 
-def origin(url: Column) -> Column:
-    """``scheme://netloc``: the key under which site files are kept."""
+def written_origin(url: Column) -> Column:
+    """``scheme://netloc`` with the authority as written."""
     return F.concat(scheme(url), F.lit("://"), netloc(url))
 
 
+def origin(url: Column) -> Column:
+    """The key under which site files are kept: lower-cased authority, without a default port.
+
+    Pages and site files are both keyed by it, so spellings of one server meet.
+    """
+    plain = F.regexp_replace(F.lower(written_origin(url)), r"^(http://.*):80$|^(https://.*):443$", "$1$2")
+    return F.regexp_replace(plain, r":$", "")
+
+
 def host(url: Column) -> Column:
     """Lower-cased host without user info and port."""
     return F.regexp_extract(F.lower(netloc(url)), r"^(?:[^@]*@)?([^:]*)", 1)
@@ -46,7 +55,7 @@ def resolve(href: Column, page_url: Column) -> Column:
     return (
         F.when(absolute, href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme(page_url), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin(page_url), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(written_origin(page_url), href))
         .when(F.startswith(href, F.lit("#")), F.concat(F.substring_index(page_url, "#", 1), href))
         .otherwise(F.concat(rooted, href))
     )

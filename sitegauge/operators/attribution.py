@@ -9,6 +9,7 @@ from sitegauge.functions import markup
 from sitegauge.functions import url as U
 from sitegauge.functions.sqltext import lit, struct
 from sitegauge.operators import issues
+from sitegauge.operators.content import with_clean
 from sitegauge.operators.signals import with_head
 from sitegauge.operators.structured import with_jsonld
 
@@ -18,8 +19,10 @@ PRIVACY = "(?i)privacy|datenschutz|confidentialit"
 TERMS = "(?i)terms|agb|conditions"
 CONTACT = "(?i)contact|kontakt|impressum"
 SOCIAL = ("og:title", "og:description", "og:image", "og:url", "twitter:card")
-_AUTHOR_TEXT = r"""(?i)<[a-z][^>]*\sitemprop\s*=\s*["']?author["']?(?:\s[^>]*)?>([^<]*)"""
-_CREDENTIAL = "(" + "|".join(w.replace(".", r"\.") for w in CREDENTIALS) + ")"
+_TAG_AND_TEXT = r"(?is)(<[a-z][^>]*+(?:>|\z))([^<]*+)"
+_AUTHOR_TAG = r"""(?i)\sitemprop\s*=\s*["']?author["']?[\s>/]"""
+_LINK_TEXT = r"(?is)<a\s[^>]*+(?:>(?:(.*?)</a\s*+>|.*+)|\z)"
+_CREDENTIAL = r"(?<![\p{L}\p{N}])(" + "|".join(w.replace(".", r"\.") for w in CREDENTIALS) + r")(?![\p{L}\p{N}])"
 
 
 def with_tags(df: DataFrame) -> DataFrame:
@@ -101,14 +104,16 @@ def outbound_links(df: DataFrame) -> DataFrame:
 
 
 def author_text() -> Column:
-    return F.expr(
-        f"concat_ws(' ', {_named('name', 'author')}, array_join(regexp_extract_all(html, {lit(_AUTHOR_TEXT)}, 1), ' '))"
-    )
+    """Author named in a meta tag or marked in the text; reads ``head`` and ``clean``."""
+    tags, texts = (f"regexp_extract_all(clean, {lit(_TAG_AND_TEXT)}, {i})" for i in (1, 2))
+    pairs = f"filter(zip_with({tags}, {texts}, (t, x) -> struct(t AS t, x AS x)), p -> p.t RLIKE {lit(_AUTHOR_TAG)} AND endswith(p.t, '>'))"
+    marked = f"if(clean RLIKE '(?i)itemprop', array_join(transform({pairs}, p -> p.x), ' '), '')"
+    return F.expr(f"concat_ws(' ', {_named('name', 'author')}, {marked})")
 
 
 def eeat_markers(df: DataFrame) -> DataFrame:
     """Credentials named next to an author."""
-    t = with_head(df).select("page_id", author_text().alias("author"))
+    t = with_clean(with_head(df)).select("page_id", author_text().alias("author"))
     found = f"array_sort(array_distinct(regexp_extract_all(author, {lit(_CREDENTIAL)}, 1)))"
     return t.select("page_id", "author", F.expr(f"array_join({found}, ',')").alias("credentials"))
 
@@ -145,9 +150,11 @@ def _links_to(pattern: str) -> str:
 
 
 def with_link_texts(df: DataFrame) -> DataFrame:
-    inner = r"(?is)<a\s[^>]*+>(.*?)</a\s*+>"
-    texts = f"transform(regexp_extract_all(html, {lit(inner)}, 1), t -> {markup.visible_text_sql('t')})"
-    return df.withColumn("texts", F.expr(texts))
+    """Adds ``texts``, what links outside comments and scripts say."""
+    clean = "clean" if "clean" in df.columns else "_clean"
+    df = df if clean == "clean" else df.withColumn("_clean", markup.clean_html("html"))
+    texts = f"transform(regexp_extract_all({clean}, {lit(_LINK_TEXT)}, 1), t -> {markup.visible_text_sql('t')})"
+    return df.withColumn("texts", F.expr(texts)).drop("_clean")
 
 
 def contact_info(df: DataFrame) -> DataFrame:

@@ -22,8 +22,21 @@ SENTENCE_END = r"[.!?]+(?:\s|\z)"
 CAPITAL = r"(?:^|[^\p{L}\p{N}])\p{Lu}"
 CAPITAL_AT_START = r"(?:^|[.!?]\s)\p{Lu}"
 
-_HEADING = r"(?is)<h[1-6](?:\s[^>]*+)?>.*?</h[1-6]\s*+>"
-_HEADING_START = r"(?is)^<h[1-6][^>]*+>(.*?)</h[1-6]\s*+>"
+# Texts are cut before each heading; a heading ends at its closing tag or where the next one starts.
+_BEFORE_HEADING = r"(?i)(?=<h[1-6][\s>])"
+_OPENS = r"(?is)^<h[1-6](?:\s[^>]*+)?+>"
+_HEADING_START = r"(?is)^<h[1-6][^>]*+>(.*?)(?:</h[1-6]\s*+>|\z)"
+_HEAD = r"(?is)<head(?:\s[^>]*+)?+(?:>(?:.*?</head\s*+>|(.*+))|\z)"
+
+
+def _element(name: str) -> str:
+    """A regex for an element; group 1 is what it holds, empty if it is never closed."""
+    return rf"(?is)<{name}(?:\s[^>]*+)?+(?:>(?:(.*?)</{name}\s*+>|.*+)|\z)"
+
+
+def pieces_sql(html: str) -> str:
+    """The text cut before each heading; only the parts that begin with one."""
+    return f"filter(split({html}, {lit(_BEFORE_HEADING)}), p -> p RLIKE {lit(_OPENS)})"
 
 
 def count_sql(text: str, pattern: str) -> str:
@@ -40,9 +53,8 @@ def with_clean(df: DataFrame) -> DataFrame:
 
 def headings_sql(clean: str = "clean") -> str:
     """``array<struct<level, text, skip>>``; skip = more than one level deeper than the one before."""
-    found = f"regexp_extract_all({clean}, {lit(_HEADING)}, 0)"
-    plain = f"transform({found}, h -> {struct(level='CAST(substring(h, 3, 1) AS INT)', text=markup.visible_text_sql('h'))})"
-    return plain
+    text = markup.visible_text_sql(f"regexp_extract(h, {lit(_HEADING_START)}, 1)")
+    return f"transform({pieces_sql(clean)}, h -> {struct(level='CAST(substring(h, 3, 1) AS INT)', text=text)})"
 
 
 def with_headings(df: DataFrame) -> DataFrame:
@@ -58,10 +70,10 @@ def heading_outline(df: DataFrame) -> DataFrame:
 
 
 def h1_check(df: DataFrame) -> DataFrame:
-    """Pages without exactly one main heading."""
-    starts = F.expr("size(filter(els, e -> e = 'h1'))").alias("n_h1")
-    els = with_clean(df).select("page_id", markup.element_names("clean").alias("els"))
-    return keep_where(els, ["page_id", starts], "n_h1 <> 1").select("page_id", "n_h1", F.when(F.col("n_h1") == 0, "missing").otherwise("multiple").alias("finding"))
+    """Pages without exactly one main heading. A heading counts from its opening tag, closed or not."""
+    n_h1 = F.expr("size(filter(headings, h -> h.level = 1))").alias("n_h1")
+    found = keep_where(with_headings(with_clean(df)), ["page_id", n_h1], "n_h1 <> 1")
+    return found.select("page_id", "n_h1", F.when(F.col("n_h1") == 0, "missing").otherwise("multiple").alias("finding"))
 
 
 def _counts(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -79,13 +91,13 @@ def list_table_usage(df: DataFrame) -> DataFrame:
 
 def with_body(df: DataFrame) -> DataFrame:
     """``clean`` without the head element."""
-    return df.withColumn("body", F.regexp_replace("clean", r"(?is)<head(?:\s[^>]*+)?>.*?</head\s*+>", " "))
+    return df.withColumn("body", F.regexp_replace("clean", _HEAD, " $1"))
 
 
 def content_html_sql(clean: str = "clean") -> str:
     """Inner html of ``main`` or, without one, of all ``article`` elements."""
-    main = f"regexp_extract({clean}, {lit(r'(?is)<main(?:' + chr(92) + r's[^>]*+)?>(.*?)</main' + chr(92) + 's*+>')}, 1)"
-    article = f"array_join(regexp_extract_all({clean}, {lit(r'(?is)<article(?:' + chr(92) + r's[^>]*+)?>(.*?)</article' + chr(92) + 's*+>')}, 1), ' ')"
+    main = f"regexp_extract({clean}, {lit(_element('main'))}, 1)"
+    article = f"array_join(regexp_extract_all({clean}, {lit(_element('article'))}, 1), ' ')"
     return f"coalesce(nullif({main}, ''), {article})"
 
 
@@ -110,15 +122,13 @@ def content_ratio(df: DataFrame) -> DataFrame:
 
 def with_sections(df: DataFrame, fields: tuple[str, ...] = ("level", "heading", "text")) -> DataFrame:
     """Adds ``sections``: heading level, heading, text up to the next heading (or some of these)."""
-    marked = f"regexp_replace(body, {lit('(?i)<(?=h[1-6][' + chr(92) + 's>])')}, '\\u0001<')"
-    pieces = f"filter(split({marked}, '\\u0001'), (p, i) -> i > 0)"
     made = {
         "level": "CAST(substring(p, 3, 1) AS INT)",
         "heading": markup.visible_text_sql(f"regexp_extract(p, {lit(_HEADING_START)}, 1)"),
         "text": markup.visible_text_sql(f"regexp_replace(p, {lit(_HEADING_START)}, '')"),
     }
     one = struct(**{f: made[f] for f in fields})
-    return df.withColumn("sections", F.expr(f"transform({pieces}, p -> {one})"))
+    return df.withColumn("sections", F.expr(f"transform({pieces_sql('body')}, p -> {one})"))
 
 
 def section_blocks(df: DataFrame) -> DataFrame:

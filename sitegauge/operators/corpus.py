@@ -7,9 +7,7 @@ anything is shuffled, so no roll-up below ever moves or joins single pages.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegauge.functions.rows import inline_rows
@@ -43,7 +41,7 @@ def page_patterns(pages: DataFrame) -> DataFrame:
 
 def audited_patterns(pages: DataFrame, site_files: DataFrame) -> DataFrame:
     """Patterns with their issues and scores: the audit, done once per pattern instead of per page."""
-    joined = page_patterns(pages).join(site_table(site_files), "origin", "left")
+    joined = page_patterns(pages).join(site_table(site_files), "origin", "left").withColumn("site_address", F.col("origin"))
     return evaluate(joined, select_dimensions(DIMENSIONS), brief=True, keep=("origin", "n_pages"))
 
 
@@ -97,6 +95,7 @@ def bot_block_rate(pages: DataFrame, site_files: DataFrame) -> DataFrame:
 def policy_mix(pages: DataFrame, site_files: DataFrame) -> DataFrame:
     """Pages by mining-policy outcome and the channels that state it."""
     joined = page_patterns(pages).join(site_table(site_files).select("origin", "tdmrep"), "origin", "left")
+    joined = joined.withColumn("site_address", F.col("origin"))
     signals = joined.select("n_pages", all_signals().alias("signals"))
     return (
         signals.select(
@@ -109,66 +108,94 @@ def policy_mix(pages: DataFrame, site_files: DataFrame) -> DataFrame:
 
 
 def site_means(patterns: DataFrame) -> DataFrame:
-    """(origin, n_pages, mean_score): mean overall score in hundredths, rounded half up in integers."""
+    """(origin, n_pages, mean_score): mean overall score of each site, not rounded."""
     sums = patterns.groupBy("origin").agg(
         F.sum("n_pages").alias("n_pages"), F.sum(F.col("overall_score") * F.col("n_pages")).alias("total")
     )
-    return sums.select("origin", "n_pages", F.expr("(200 * total + n_pages) DIV (2 * n_pages)").alias("mean_x100"))
+    return sums.select("origin", "n_pages", (F.col("total") / F.col("n_pages")).alias("mean_score"))
+
+
+def _level() -> Column:
+    """Hundredths of the mean: 10,001 ascending levels, each small enough for a window of its own."""
+    return F.floor(F.col("mean_score") * 100).cast("int")
 
 
 def site_ranking(means: DataFrame) -> DataFrame:
     """Sites ranked by mean score (dense, best first).
 
-    Means come in hundredths of 0..100: at most 10,001 values. Only those are put in one
-    window, and only they are broadcast.
+    The distinct means are ranked within levels of a hundredth, and the levels (10,001 at most)
+    are added up before them, so no window holds all sites and no mean is rounded. The ranks go
+    back to the sites by a join that splits means which many sites share.
     """
-    values = means.select("mean_x100").distinct()
-    ranks = values.select("mean_x100", F.dense_rank().over(Window.orderBy(F.desc("mean_x100"))).alias("site_rank"))
-    return means.join(F.broadcast(ranks), "mean_x100").select(
-        "origin", "n_pages", (F.col("mean_x100") / 100).alias("mean_score"), "site_rank"
+    values = means.select("mean_score").distinct().withColumn("level", _level())
+    above = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = values.groupBy("level").agg(F.count("*").alias("n")).select(
+        "level", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("start")
+    )
+    inside = F.dense_rank().over(Window.partitionBy("level").orderBy(F.desc("mean_score")))
+    ranks = values.withColumn("rank", inside).join(starts, "level").select(
+        "mean_score", (F.col("start") + F.col("rank")).cast("int").alias("site_rank")
     )
+    return join_one_per_key(means, ranks, "mean_score", "origin").select("origin", "n_pages", "mean_score", "site_rank")
 
 
 def worst_sites(means: DataFrame, k: int) -> DataFrame:
     """The k sites with the lowest mean; ties by name."""
-    return means.orderBy("mean_x100", "origin").limit(k)
+    return means.orderBy("mean_score", "origin").limit(k)
+
+
+def best_sites(means: DataFrame, k: int) -> DataFrame:
+    """The k sites with the highest mean; ties by name."""
+    return means.orderBy(F.desc("mean_score"), "origin").limit(k)
 
 
 def peer_compare(means: DataFrame) -> DataFrame:
     """Each site against its peers (same top-level domain): gap to the peer mean, percent rank.
 
-    Ranks come from a histogram per peer group (at most 10,001 bars), never from one window
-    over all sites of a group; bars go back to their sites by a join that splits hot bars.
+    Sites are counted by peer group and mean; below each count stand the counts of lower means in
+    the same level and those of lower levels. No window holds more than one level of one group.
+    The gap is rounded to millionths for display.
     """
     host = F.lower(F.regexp_extract("origin", r"://(?:[^@/]*@)?([^:/]*)", 1))
     sites = means.withColumn("peer", F.regexp_extract(host, r"([^.]+)$", 1))
-    bars = sites.groupBy("peer", "mean_x100").agg(F.count("*").alias("n"))
+    bars = sites.groupBy("peer", "mean_score").agg(F.count("*").alias("n")).withColumn("level", _level())
+    levels = bars.groupBy("peer", "level").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("mean_score")).alias("s"))
     group = Window.partitionBy("peer")
-    below = group.orderBy("mean_x100").rowsBetween(Window.unboundedPreceding, -1)
-    stats = bars.select(
-        F.concat_ws("|", "peer", "mean_x100").alias("bar"),
-        F.coalesce(F.sum("n").over(below), F.lit(0)).alias("below"),
-        F.sum("n").over(group).alias("n_peers"),
-        F.sum(F.col("n") * F.col("mean_x100")).over(group).alias("total"),
+    below = group.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.select(
+        "peer", "level", F.coalesce(F.sum("m").over(below), F.lit(0)).alias("start"),
+        F.sum("m").over(group).alias("n_peers"), (F.sum("s").over(group) / F.sum("m").over(group)).alias("peer_mean"),
     )
-    out = join_one_per_key(sites.withColumn("bar", F.concat_ws("|", "peer", "mean_x100")), stats, "bar", "origin")
-    peer_mean = F.expr("(2 * total + n_peers) DIV (2 * n_peers)")
+    inside = Window.partitionBy("peer", "level").orderBy("mean_score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = bars.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(levels, ["peer", "level"])
+    key = F.concat_ws("|", "peer", F.col("mean_score").cast("string"))
+    stats = ranked.select(key.alias("bar"), (F.col("start") + F.col("inside")).alias("below"), "n_peers", "peer_mean")
+    out = join_one_per_key(sites.withColumn("bar", key), stats, "bar", "origin")
     return out.select(
-        "origin", "peer", "n_peers", (F.col("mean_x100") / 100).alias("mean_score"),
-        ((F.col("mean_x100") - peer_mean) / 100).alias("gap"),
+        "origin", "peer", "n_peers", "mean_score", F.round(F.col("mean_score") - F.col("peer_mean"), 6).alias("gap"),
         F.when(F.col("n_peers") > 1, F.col("below") / (F.col("n_peers") - 1)).otherwise(F.lit(0.0)).alias("percent_rank"),
     )
 
 
-def audit_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("url", "rule", "key")) -> DataFrame:
-    """Issues of two snapshots: new, fixed or kept.
+def issue_codes(audited: DataFrame) -> DataFrame:
+    """(url, codes): the distinct (rule, key) codes of each audited page, for ``audit_diff``."""
+    return audited.select("url", F.expr("array_distinct(transform(issues, i -> struct(i.rule AS rule, i.key AS key)))").alias("codes"))
+
+
+def audit_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Issues of two snapshots, each (url, codes): new, fixed or kept.
 
-    One aggregate over both tables: it combines before the shuffle and does not multiply rows
-    when a key repeats, as a full outer join would.
+    One row per page and snapshot is shuffled by url. Pages that share a url pool their codes,
+    of which there are as many as the audit has rules and bots. The sets are compared in place
+    and only the outcome is exploded.
     """
-    seen = old.select(*keys, F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(
-        new.select(*keys, F.lit(0).alias("o"), F.lit(1).alias("n"))
+    kind = old.schema["codes"].dataType.simpleString()
+    none = F.lit(None).cast(kind)
+    seen = old.select("url", F.col("codes").alias("o"), none.alias("n")).unionByName(new.select("url", none.alias("o"), F.col("codes").alias("n")))
+    pooled = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("o", "n")]
+    both = seen.groupBy("url").agg(*pooled)
+    outcome = ", ".join(
+        f"transform({codes}, x -> struct(x.rule AS rule, x.key AS key, '{status}' AS status))"
+        for codes, status in (("array_except(n, o)", "new"), ("array_except(o, n)", "fixed"), ("array_intersect(o, n)", "kept"))
     )
-    both = seen.groupBy(*keys).agg(F.max("o").alias("o"), F.max("n").alias("n"))
-    status = F.when(F.col("o") == 0, "new").when(F.col("n") == 0, "fixed").otherwise("kept")
-    return both.select(*keys, status.alias("status"))
+    return both.select("url", F.inline(F.expr(f"concat({outcome})")))

@@ -6,9 +6,10 @@ order in which issues are reported.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.functions.rows import inline_rows
 from sitegauge.functions.sqltext import lit, string_map, struct
 from sitegauge.operators import signals as sig
 
@@ -249,3 +250,15 @@ def tdm_issues(brief: bool = False) -> Column:
     none = seed("tdm_none", "104", when="size(signals) = 0", brief=brief)
     header, meta = bad("tdm_header_invalid", 101, sig.HTTP_HEADER), bad("tdm_meta_invalid", 102, sig.META_TAG)
     return F.expr(render(f"array_compact(array({header}, {meta}, {clash}, {none}, {declared}))", brief))
+
+
+def ai_txt_issues(pages_with_site: DataFrame) -> DataFrame:
+    """An info issue for pages of sites with an ai.txt; not part of the audit, whose rules are fixed.
+
+    Reads ``page_id`` and the flag ``ai_txt`` of the site.
+    """
+    made = issue(
+        "info", "crawlability", "ai.txt found", "The site serves an ai.txt, a proposed file that few crawlers read so far.",
+        "Keep it in line with robots.txt, which crawlers do read.", rule="ai_txt", ord=29,
+    )
+    return inline_rows(pages_with_site.withColumn("i", F.when(F.col("ai_txt"), F.array(made))), ["page_id"], "i", "rule")

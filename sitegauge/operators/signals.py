@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.headers import header
-from sitegauge.functions.markup import head_tags, link_first_sql, meta_first_sql
+from sitegauge.functions.markup import head_tags, link_first_sql, meta_first_sql, project_tags
+from sitegauge.functions.rows import keep_where
 from sitegauge.functions.sqltext import lit, struct
 from sitegauge.functions.text import split_trimmed_sql, strip, strip_sql
 
@@ -122,8 +123,8 @@ def tdm_facts(df: DataFrame) -> DataFrame:
 
 
 def all_signals() -> Column:
-    """Header, meta, link, policy file: in this order."""
-    site = tdmrep_signal_sql("origin", "coalesce(tdmrep, false)")
+    """Header, meta, link, policy file: in this order. ``site_address`` is the page's origin as written."""
+    site = tdmrep_signal_sql("site_address", "coalesce(tdmrep, false)")
     return F.expr(f"array_compact(concat(page_signals, array({site})))")
 
 
@@ -157,3 +158,10 @@ def tdm_status() -> Column:
         f"WHEN size({VALID}) = 0 THEN 'invalid' "
         f"WHEN exists(signals, s -> s.policy = '{RESERVED}') THEN 'reserved' ELSE 'open' END"
     )
+
+
+def tdmrep_references(pages: DataFrame) -> DataFrame:
+    """Pages that link to a tdmrep.json, with the number of links; comments and scripts are not read."""
+    hits = project_tags("html", "a|link|area", ["href"], where="(?i)tdmrep")
+    found = F.size(F.filter(hits, lambda t: t["href"].rlike(r"(?i)tdmrep\.json"))).alias("n_references")
+    return keep_where(pages, ["page_id", found], "n_references > 0")

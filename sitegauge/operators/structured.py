@@ -29,6 +29,22 @@ REQUIREMENTS = {
 }
 
 
+# Types are compared without the address of the vocabulary.
+_SCHEMA_PREFIX = "^(?:https?://schema[.]org/|schema:)"
+_IS_OBJECT = "schema_of_variant(c.v) LIKE 'OBJECT%'"
+
+
+def _children(v: str, prefix: str, e: str = "e") -> str:
+    """SQL: ``array<struct<at, v>>``, the properties of object ``v``; the members of a list stand for the list."""
+    entries = f"map_entries(coalesce(try_variant_get({v}, '$', 'map<string,variant>'), CAST(map() AS MAP<STRING, VARIANT>)))"
+    one = f"transform(coalesce(try_variant_get({e}.value, '$', 'array<variant>'), array({e}.value)), x -> struct(concat({prefix}, {e}.key) AS at, x AS v))"
+    return f"flatten(transform({entries}, {e} -> {one}))"
+
+
+# A block is valid if it is one JSON value. VARIANT also turns down repeated keys, which are odd but valid.
+VALID_JSON = "coalesce(size(from_json(concat('[', {0}, ']'), 'array<string>', map('allowSingleQuotes', 'false'))) = 1, false)"
+
+
 def with_jsonld(df: DataFrame) -> DataFrame:
     """Adds ``jsonld`` (array of block texts) and ``items`` (array of struct) to rows with html.
 
@@ -37,14 +53,15 @@ def with_jsonld(df: DataFrame) -> DataFrame:
     graph = "try_variant_get(v, '$[\"@graph\"]', 'array<variant>')"
     members = f"coalesce({graph}, try_variant_get(v, '$', 'array<variant>'), array(v))"
     parsed = "filter(transform(jsonld, b -> try_parse_json(b)), v -> v IS NOT NULL)"
-    types = (
+    raw_types = (
         "filter(coalesce(try_variant_get(i, '$[\"@type\"]', 'array<string>'), "
         "array(try_variant_get(i, '$[\"@type\"]', 'string'))), t -> t IS NOT NULL)"
     )
-    untyped = (
-        "map_keys(map_filter(coalesce(try_variant_get(i, '$', 'map<string,variant>'), CAST(map() AS MAP<STRING, VARIANT>)), "
-        "(k, v) -> schema_of_variant(v) LIKE 'OBJECT%' AND try_variant_get(v, '$[\"@type\"]', 'variant') IS NULL))"
-    )
+    types = f"transform({raw_types}, t -> regexp_replace(t, {lit(_SCHEMA_PREFIX)}, ''))"
+    first = _children("i", "''")
+    second = f"flatten(transform(filter({first}, c -> {_IS_OBJECT}), c -> {_children('c.v', 'concat(c.at, ' + lit('.') + ')', 'd')}))"
+    nested = f"concat({first}, {second})"
+    untyped = f"array_distinct(transform(filter({nested}, c -> {_IS_OBJECT} AND try_variant_get(c.v, '$[\"@type\"]', 'variant') IS NULL), c -> c.at))"
     text = {k: f"try_variant_get(i, '$.{k}', 'string')" for k in ("datePublished", "dateModified")}
     item = struct(types=types, keys="coalesce(json_object_keys(to_json(i)), array())", untyped=untyped, **text)
     df = df.withColumn("jsonld", markup.jsonld_blocks("html"))
@@ -57,7 +74,7 @@ def jsonld_blocks(df: DataFrame) -> DataFrame:
 
 
 def jsonld_valid(blocks: DataFrame) -> DataFrame:
-    return blocks.select("page_id", "pos", F.expr("try_parse_json(block) IS NOT NULL").alias("valid"))
+    return blocks.select("page_id", "pos", F.expr(VALID_JSON.format("block")).alias("valid"))
 
 
 def jsonld_types(df: DataFrame) -> DataFrame:
@@ -126,7 +143,7 @@ def schema_nesting(df: DataFrame) -> DataFrame:
 
 def structured_facts(df: DataFrame) -> DataFrame:
     """Adds ``sd``: everything the structured-data score and issues need."""
-    invalid = "size(filter(jsonld, b -> try_parse_json(b) IS NULL))"
+    invalid = f"size(filter(jsonld, b -> NOT {VALID_JSON.format('b')}))"
     other = markup.raw_tags_sql("html", markup.ANY_TAG, r"(?i)\s(?:itemscope|typeof)[\s=/>]")
     sd = struct(
         n_blocks="size(jsonld)", n_invalid=invalid, n_items="size(items)", missing=_MISSING,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.rows import inline_rows
+from sitegauge.functions.url import written_origin
 from sitegauge.operators import access, attribution, content, issues, robots, scores, signals, structured
 from sitegauge.plans.skew import ROWS_PER_TASK, join_one_per_key
 from sitegauge.sources.tables import pages_scan, site_scan
@@ -108,7 +109,8 @@ def page_facts(pages: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:
     df = signals.with_head(pages_scan(pages))
     for d in dimensions:
         df = d.facts(df)
-    return df.select("page_id", "url", "origin", *[c for d in dimensions for c in d.fact_columns])
+    address = written_origin(F.col("url")).alias("site_address")
+    return df.select("page_id", "url", "origin", address, *[c for d in dimensions for c in d.fact_columns])
 
 
 def with_site(facts: DataFrame, pages: DataFrame, sites: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.url import origin
 
+# ---- addresses: some pages name their host in capitals or with the default port ----------
+URL = r"""CASE page_id % 17 WHEN 3 THEN regexp_replace(url, '^(https?://[^/]*)', upper(regexp_extract(url, '^(https?://[^/]*)', 1)))
+ WHEN 5 THEN regexp_replace(url, '^(https://[^/:]*)(/|$)', concat(regexp_extract(url, '^(https://[^/:]*)', 1), ':443/')) ELSE url END"""
+
 # ---- markup put right after </title> -------------------------------------------------
 HEAD = (
     """CASE {n} % 11
@@ -31,6 +35,7 @@ HEAD = (
  WHEN 1 THEN '<meta name="tdm-reservation" content="0"/>'
  WHEN 2 THEN '<meta name="tdm-reservation" content="banana">'
  WHEN 3 THEN '<meta name="tdm-reservation">'
+ WHEN 4 THEN '<meta name="tdm-reservation" content="&#49;">'
  ELSE '' END""",
     """CASE {n} % 5
  WHEN 0 THEN '<link rel="alternate tdm-policy" href="/tdm/policy.json">'
@@ -43,7 +48,7 @@ HEAD = (
  WHEN 2 THEN '<script type="application/ld+json">{{"@context":"https://schema.org","@graph":[{{"@type":"Article","headline":"H","author":{{"@type":"Person","name":"Ann Lee"}},"datePublished":"2025-03-01"}},{{"@type":"Organization","name":"Acme"}}]}}</script>'
  WHEN 3 THEN '<script type="application/ld+json">{{"@type":["Article","NewsArticle"],"headline":"H","author":{{"name":"No Type"}},"image":"i.png"}}</script>'
  WHEN 4 THEN '<script type="application/ld+json">{{"@type":"FAQPage","mainEntity":[{{"@type":"Question","name":"Q"}}]}}</script>'
- WHEN 5 THEN '<script type="application/ld+json">{{"@type":"HowTo","name":"N","publisher":{{"name":"P"}}}}</script><script type="application/ld+json">{{"@type":"Organization","name":"B"}}</script>'
+ WHEN 5 THEN '<script type="application/ld+json">{{"@type":"HowTo","name":"N","publisher":{{"name":"P"}}}}</script><script type="application/ld+json">{{"@type":"https://schema.org/Organization","name":"B","address":[{{"city":{{"x":1}}}}]}}</script>'
  WHEN 6 THEN '<!-- <script type="application/ld+json">{{"@type":"Article"}}</script> -->'
  WHEN 7 THEN '<script type="application/ld+json">[{{"@type":"Article","headline":"L","datePublished":"2024-12-24","dateModified":"2025-01-02"}},{{"@type":"HowTo","name":"M","step":[]}}]</script>'
  ELSE '' END""",
@@ -51,6 +56,7 @@ HEAD = (
  WHEN 0 THEN '<meta name="author" content="Dr. Jane Smith">'
  WHEN 1 THEN '<link rel="author" href="/people/sam">'
  WHEN 3 THEN '<meta name="author" content="Sam Lee">'
+ WHEN 4 THEN '<meta name="author" content="Jos&eacute; O&#x27;Hara, MBA">'
  ELSE '' END""",
     """CASE {n} % 13
  WHEN 0 THEN '<meta property="article:published_time" content="2025-01-15">'
@@ -86,6 +92,8 @@ ARTICLE_END = (
  WHEN 0 THEN '<div itemscope itemtype="https://schema.org/Person"><span itemprop="name">Jo</span><i itemprop="jobTitle">Cook</i></div>'
  WHEN 1 THEN '<div vocab="https://schema.org/" typeof="Article Thing"><span property="headline">Hi</span></div>'
  WHEN 2 THEN '<p>By <span itemprop="author">Max Roe, PhD</span></p>'
+ WHEN 3 THEN '<!-- <i itemprop="author">Dr. Gone</i> <a href="/x">Kontakt</a> --><i itemprop="author">Kim SIMBA</i>'
+ WHEN 4 THEN '<h2>Open heading<p>and its text.</p>'
  ELSE '' END""",
     """CASE {n} % 4
  WHEN 1 THEN '<section><table><tr><td>1</td></tr></table><ol><li>one</li></ol></section><time datetime="2024-06-30">June</time>'
@@ -116,7 +124,7 @@ ROBOTS_BODY = f"""CASE {{s}} % 12
  WHEN 1 THEN {_lines('User-agent: GPTBot', 'Disallow: /', '')}
  WHEN 2 THEN {_lines('User-agent: *', 'Allow: /', 'Disallow: /de/', 'Allow: /de/6', 'Disallow: /en/1', '')}
  WHEN 3 THEN {_lines('User-agent: *', 'Disallow: /', '', 'User-agent: GPTBot', 'Allow: /', 'User-agent: GoogleOther', 'Disallow: /fr/')}
- WHEN 4 THEN {_lines('User-agent: *', 'Allow: /', 'Disallow: /admin/', 'Disallow: /private/', '', 'User-agent: GPTBot', 'Disallow: /', '', 'User-agent: Google-Extended', 'Disallow: /', '', 'User-agent: CCBot', 'Disallow: /', '')}
+ WHEN 4 THEN {_lines('User-agent: PerplexityBot', 'User-agent: Bytespider', 'Disallow: /de', 'Disallow: /', 'Allow: /en/', '', 'User-agent: *', 'Disallow: /fr/', '')}
  WHEN 5 THEN {_lines('user-agent : gptbot # no training', 'User-Agent: ChatGPT-User', 'Disallow: / # all of it', 'Sitemap: https://x.example/s.xml')}
  WHEN 6 THEN {_lines('User-agent: *', 'Crawl-delay: 10', 'Disallow:', 'User-agent: ClaudeBot', 'Disallow: /')}
  WHEN 7 THEN {_lines('This is no rule', 'Disallow: /early', 'User-agent: CCBot', 'Disallow: /', 'User-agent: CCBot', 'Allow: /', 'Crawl-delay: 2.5', 'Crawl-delay: 4')}
@@ -139,7 +147,7 @@ def html_sql(n: str) -> str:
     out = f"replace(html, '<br>', concat('<br>', {AFTER_BREAK.format(n=n)}))"
     out = f"replace({out}, '<article>', concat({MAIN_OPEN.format(n=n)}, '<article>'))"
     out = f"replace({out}, '</article>', {end})"
-    return f"replace({out}, '</title>', {head})"
+    return f"CASE {n} % 19 WHEN 7 THEN concat(chr(10), ' ', chr(9)) WHEN 11 THEN NULL ELSE replace({out}, '</title>', {head}) END"
 
 
 def overlay_pages(pages: DataFrame, shift: int = 0) -> DataFrame:
@@ -152,12 +160,13 @@ def overlay_pages(pages: DataFrame, shift: int = 0) -> DataFrame:
         F.struct(F.lit("TDM-Reservation").alias("k"), F.expr(tdm).alias("v")),
     )
     headers = F.map_from_entries(F.filter(entries, lambda e: e["k"].isNotNull() & e["v"].isNotNull()))
-    return pages.select("page_id", "url", F.expr(html_sql(n)).alias("html"), headers.alias("headers"))
+    named = pages.select("page_id", F.expr(URL).alias("url"), "html")
+    return named.select("page_id", "url", F.expr(html_sql(n)).alias("html"), headers.alias("headers"))
 
 
 def overlay_site_files(pages: DataFrame, shift: int = 0) -> DataFrame:
     """Up to three files per origin, from one narrow aggregate over the page addresses."""
-    sites = pages.groupBy(origin(F.col("url")).alias("origin")).agg(F.min("page_id").alias("site_no"))
+    sites = pages.groupBy(origin(F.expr(URL)).alias("origin")).agg(F.min("page_id").alias("site_no"))
     s = f"(site_no + {shift})"
 
     def file(path: str, status: str, kind: str, body: str):

@@ -36,15 +36,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores.
-
-    Only a small table does: at scale a scan has thousands of splits and this adds nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def pages_scan(pages: DataFrame) -> DataFrame:
     """Pages with their origin. A failed fetch is a row with empty html and no headers."""
     if "headers" not in pages.columns:
@@ -58,6 +49,14 @@ def pages_scan(pages: DataFrame) -> DataFrame:
     )
 
 
+def _keyed(site_files: DataFrame) -> DataFrame:
+    """Site files under the normalised origin; the time of the fetch is null where the table has none."""
+    fetched = F.col("fetched_at").cast("timestamp") if "fetched_at" in site_files.columns else F.lit(None).cast("timestamp")
+    return site_files.select(
+        origin(F.col("origin")).alias("origin"), "path", "status", "content_type", "body", fetched.alias("fetched_at")
+    )
+
+
 def _is_tdmrep() -> Column:
     jsonish = F.contains(F.coalesce("content_type", F.lit("")), F.lit("json")) | F.startswith(
         F.ltrim("body", F.lit(WHITESPACE)), F.lit("{")
@@ -65,19 +64,25 @@ def _is_tdmrep() -> Column:
     return (F.col("path") == TDMREP_PATH) & jsonish
 
 
+def _latest(value: Column, when: Column) -> Column:
+    """``value`` of the latest fetch with ``when``; ties, and tables without times, go to the smallest value."""
+    age = -F.coalesce(F.unix_micros("fetched_at"), F.lit(0))
+    return F.min(F.when(when, F.struct(age.alias("age"), value.alias("value"))))["value"]
+
+
 def robots_scan(site_files: DataFrame) -> DataFrame:
     """One robots.txt per origin; only status 200 counts."""
     return (
-        site_files.filter((F.col("path") == ROBOTS_PATH) & (F.col("status") == 200))
+        _keyed(site_files).filter((F.col("path") == ROBOTS_PATH) & (F.col("status") == 200))
         .groupBy("origin")
-        .agg(F.min(F.coalesce("body", F.lit(""))).alias("body"))
+        .agg(_latest(F.coalesce("body", F.lit("")), F.lit(True)).alias("body"))
     )
 
 
 def tdmrep_scan(site_files: DataFrame) -> DataFrame:
     """Origins that serve a tdmrep.json, with its address."""
     return (
-        site_files.filter((F.col("status") == 200) & _is_tdmrep())
+        _keyed(site_files).filter((F.col("status") == 200) & _is_tdmrep())
         .select("origin", F.concat("origin", F.lit(TDMREP_PATH)).alias("raw_value"))
         .distinct()
     )
@@ -85,24 +90,19 @@ def tdmrep_scan(site_files: DataFrame) -> DataFrame:
 
 def ai_txt_scan(site_files: DataFrame) -> DataFrame:
     """Origins that serve an ai.txt."""
-    return site_files.filter((F.col("path") == AI_TXT_PATH) & (F.col("status") == 200)).select("origin").distinct()
+    return _keyed(site_files).filter((F.col("path") == AI_TXT_PATH) & (F.col("status") == 200)).select("origin").distinct()
 
 
 def site_scan(site_files: DataFrame) -> DataFrame:
     """All site files of an origin in one row: one shuffle instead of one per kind of file.
 
-    Several fetches of one robots.txt collapse to the smallest body, so that reruns agree.
+    Every origin keeps its row, whatever the status of its files. Of several fetches of one
+    robots.txt the latest counts (column ``fetched_at``, if there is one), then the smallest body.
     """
-    wanted = F.col("path").isin(ROBOTS_PATH, TDMREP_PATH, AI_TXT_PATH) & (F.col("status") == 200)
-    is_robots = F.col("path") == ROBOTS_PATH
-    narrow = site_files.filter(wanted).select(
-        "origin",
-        F.when(is_robots, F.coalesce("body", F.lit(""))).alias("robots_body"),
-        _is_tdmrep().alias("is_tdmrep"),
-        (F.col("path") == AI_TXT_PATH).alias("is_ai_txt"),
-    )
+    ok = F.col("status") == 200
+    narrow = _keyed(site_files)
     return narrow.groupBy("origin").agg(
-        F.min("robots_body").alias("body"),
-        F.max("is_tdmrep").alias("tdmrep"),
-        F.max("is_ai_txt").alias("ai_txt"),
+        _latest(F.coalesce("body", F.lit("")), ok & (F.col("path") == ROBOTS_PATH)).alias("body"),
+        F.max(ok & _is_tdmrep()).alias("tdmrep"),
+        F.max(ok & (F.col("path") == AI_TXT_PATH)).alias("ai_txt"),
     )

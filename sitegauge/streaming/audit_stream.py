@@ -7,19 +7,21 @@ all robots files again.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sitegauge.plans.audit import DEFAULT, evaluate, page_facts, select_dimensions
+from sitegauge.plans.skew import join_in_slices
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitegauge-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder below the cluster's checkpoint folder, which all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
@@ -28,10 +30,15 @@ def store(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def audit_stream(pages: DataFrame, sites: DataFrame, dimensions: str | Sequence[str] | None = DEFAULT) -> DataFrame:
-    """Audited pages from a streaming ``pages`` table and a stored ``site_table``."""
+def audit_stream(
+    pages: DataFrame, sites: DataFrame, dimensions: str | Sequence[str] | None = DEFAULT, slices: int = 16
+) -> DataFrame:
+    """Audited pages from a streaming ``pages`` table and a stored ``site_table``.
+
+    Each site's pages are joined in ``slices`` parts, so that one site does not make one task.
+    """
     chosen = select_dimensions(dimensions)
-    return evaluate(page_facts(pages, chosen).join(sites, "origin", "left"), chosen)
+    return evaluate(join_in_slices(page_facts(pages, chosen), sites, "origin", "page_id", slices), chosen)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -14,14 +14,15 @@ from sitegauge.operators import corpus, issues, report
 from sitegauge.plans import audit as plan
 from sitegauge.plans.skew import hot_keys, join_one_per_key
 from sitegauge.sources.overlay import overlay_pages, overlay_site_files
+from sitegauge.sources.tables import PAGES_SCHEMA, SITE_FILES_SCHEMA
 from sitegauge.streaming import audit_stream as stream
 from tests.helpers import crawl
 
 ALLOW = "User-agent: *\nAllow: /\n"
 BLOCK = "User-agent: *\nDisallow: /\n"
-NEWS = (
-    "User-agent: *\nAllow: /\nDisallow: /admin/\nDisallow: /private/\n\nUser-agent: GPTBot\nDisallow: /\n\n"
-    "User-agent: Google-Extended\nDisallow: /\n\nUser-agent: CCBot\nDisallow: /\n"
+SHOP = (
+    "User-agent: Bytespider\nUser-agent: cohere-ai\nDisallow: /\n\nUser-agent: *\nDisallow: /basket\nAllow: /\n\n"
+    "User-agent: PerplexityBot\nDisallow: /\n"
 )
 META = '<html><head><meta name="{}" content="{}"></head></html>'
 CRAWL = [
@@ -31,7 +32,7 @@ CRAWL = [
     ({"robots": None}, 100), ({"robots": "nope", "status": 404}, 100),
     ({"robots": BLOCK + "\nUser-agent: GPTBot\nAllow: /\n"}, 12),
     ({"robots": BLOCK, "html": META.format("robots", "noindex, nofollow"), "headers": {"X-Robots-Tag": "noindex, noai"}}, 0),
-    ({"robots": NEWS}, 66), ({"robots": "# nothing"}, 100),
+    ({"robots": SHOP}, 82), ({"robots": "# nothing"}, 100),
 ]
 TDM_META = META.format("tdm-reservation", "1")
 LINK = '<html><head><meta name="tdm-reservation" content="1"><link rel="tdm-policy" href="/p"></head></html>'
@@ -223,16 +224,100 @@ def test_shared_folder_comes_from_the_cluster():
     assert stream.shared_folder(Session()) != stream.shared_folder(Session())
 
 
-def test_worst_sites_and_ranks(spark):
-    means = spark.createDataFrame([("a", 1, 5000), ("b", 2, 5000), ("c", 3, 7250)], "origin string, n_pages long, mean_x100 long")
+def test_shared_folder_is_not_made_up():
+    class Session:
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stream.shared_folder(Session())
+
+
+def test_worst_best_and_ranks(spark):
+    means = spark.createDataFrame([("a", 1, 50.0), ("b", 2, 50.0), ("c", 3, 72.5)], "origin string, n_pages long, mean_score double")
     assert [r.origin for r in corpus.worst_sites(means, 2).collect()] == ["a", "b"]
+    assert [r.origin for r in corpus.best_sites(means, 2).collect()] == ["c", "a"]
     assert {(r.origin, r.mean_score, r.site_rank) for r in corpus.site_ranking(means).collect()} == {
         ("a", 50.0, 2), ("b", 50.0, 2), ("c", 72.5, 1)
     }
 
 
-def test_diff_with_repeated_keys(spark):
-    old = spark.createDataFrame([("u", "r", "a"), ("u", "r", "a"), ("u", "r", "b")], "url string, rule string, key string")
-    new = spark.createDataFrame([("u", "r", "a"), ("v", "r", "")], "url string, rule string, key string")
-    got = {tuple(r) for r in corpus.audit_diff(old, new).collect()}
-    assert got == {("u", "r", "a", "kept"), ("u", "r", "b", "fixed"), ("v", "r", "", "new")}
+def test_ranks_tell_close_means_apart(spark):
+    rows = [("x", 3, 67), ("x", 1, 66), ("y", 751, 67), ("y", 250, 66), ("z", 1, 10)]
+    patterns = spark.createDataFrame(rows, "origin string, n_pages long, overall_score int")
+    means = corpus.site_means(patterns)
+    assert {r.origin: r.site_rank for r in corpus.site_ranking(means).collect()} == {"y": 1, "x": 2, "z": 3}
+
+
+def test_peers_in_many_levels(spark):
+    rows = [(f"https://s{i}.{'com' if i % 3 else 'org'}", 1, (i * 37 % 101) + i / 1000) for i in range(120)] + [("https://t.net", 1, 5.0)]
+    means = spark.createDataFrame(rows, "origin string, n_pages long, mean_score double")
+    got = {r.origin: r for r in corpus.peer_compare(means).collect()}
+    for o, _, m in rows:
+        peers = [x for p, _, x in rows if p.rsplit(".", 1)[1] == o.rsplit(".", 1)[1]]
+        below = sum(x < m for x in peers) / (len(peers) - 1) if len(peers) > 1 else 0.0
+        assert (got[o].n_peers, got[o].percent_rank) == (len(peers), below)
+        assert abs(got[o].gap - (m - sum(peers) / len(peers))) < 1e-6
+
+
+def test_origins_without_a_readable_file_stay(spark):
+    files = spark.createDataFrame(
+        [("https://a.x", "/robots.txt", 404, "text/plain", "User-agent: *\nDisallow: /"), ("https://b.x", "/robots.txt", 200, "text/plain", BLOCK)],
+        SITE_FILES_SCHEMA,
+    )
+    sites = {r.origin: r for r in plan.site_table(files).collect()}
+    assert not sites["https://a.x"].robots_found and sites["https://a.x"].allowed_weight == 100
+    assert sites["https://b.x"].robots_found and sites["https://b.x"].allowed_weight == 0
+
+
+def test_spellings_of_one_server_meet(spark):
+    files = spark.createDataFrame([("https://A.x:443", "/robots.txt", 200, "text/plain", BLOCK), ("https://A.x", "/tdmrep.json", 200, "application/json", "[]")], SITE_FILES_SCHEMA)
+    urls = ["https://a.x/", "https://A.X/", "https://a.x:443/", "https://a.x:8443/"]
+    pages = spark.createDataFrame([(i, u, "", {}) for i, u in enumerate(urls)], PAGES_SCHEMA)
+    got = {r.page_id: r for r in audit(pages, files).collect()}
+    assert [got[i].scores[0].value for i in range(4)] == [0, 0, 0, 100]
+    raw = [[i.details["signals"] for i in got[n].issues if i.rule == "tdm_declared"] for n in range(3)]
+    assert [r[0].count(u + "tdmrep.json") for r, u in zip(raw, urls)] == [1, 1, 1]
+
+
+def test_latest_fetch_counts(spark):
+    from datetime import datetime
+
+    from sitegauge.sources.tables import site_scan
+
+    rows = [("https://a.x", "/robots.txt", 200, "", body, day and datetime(2026, 1, day)) for body, day in (("old", 1), ("new", 3), ("aaa", 2), ("zzz", 3), ("none", None))]
+    files = spark.createDataFrame(rows, "origin string, path string, status int, content_type string, body string, fetched_at timestamp")
+    assert site_scan(files).first().body == "new"
+    assert site_scan(files.drop("fetched_at")).first().body == "aaa"
+
+
+def test_pages_without_address_do_not_meet_in_one_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        big = spark.range(2000).selectExpr("id AS page_id", "CAST(NULL AS STRING) AS origin")
+        small = spark.createDataFrame([("https://a.x", 1)], "origin string, w int")
+        joined = join_one_per_key(big, small, "origin", "page_id", None, 100)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 2000 and len(sizes) > 4 and max(sizes) < 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_sliced_join_equals_the_plain_one(spark):
+    from sitegauge.plans.skew import join_in_slices
+
+    big = spark.range(50).selectExpr("id AS page_id", "IF(id % 7 = 0, NULL, concat('k', id % 4)) AS origin")
+    small = spark.createDataFrame([("k0", 1), ("k1", 2), ("k9", 3)], "origin string, w int")
+    assert flat(join_in_slices(big, small, "origin", "page_id", 5)) == flat(big.join(small, "origin", "left"))
+
+
+def test_audit_diff_pools_pages_of_one_address(spark):
+    def snap(rows):
+        return spark.createDataFrame(rows, "url string, codes array<struct<rule:string,key:string>>")
+
+    old = snap([("u", [("a", ""), ("b", "x")]), ("u", [("c", "")]), ("gone", [("a", "")]), ("same", [])])
+    new = snap([("u", [("b", "x"), ("d", "")]), ("came", [("a", "")]), ("came", [("a", "")])])
+    assert {tuple(r) for r in corpus.audit_diff(old, new).collect()} == {
+        ("u", "a", "", "fixed"), ("u", "c", "", "fixed"), ("u", "b", "x", "kept"), ("u", "d", "", "new"), ("gone", "a", "", "fixed"), ("came", "a", "", "new"),
+    }

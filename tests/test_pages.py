@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.functions import markup, url
-from sitegauge.functions.text import WHITESPACE, half_even, number, split_lines, strip
+from sitegauge.functions.text import WHITESPACE, half_even, number, split_lines, strip, unescape_sql
+from sitegauge.operators import attribution, content, signals, structured
 from sitegauge.operators import issues as rules
-from sitegauge.operators import signals
 from sitegauge.plans.audit import audit, issues_table
 from sitegauge.sources.overlay import overlay_pages
-from sitegauge.sources.tables import pages_scan
+from sitegauge.sources.tables import PAGES_SCHEMA, SITE_FILES_SCHEMA, pages_scan
 from tests.helpers import crawl
 
 HEAD = "<html><head>{}</head><body></body></html>"
@@ -117,7 +118,7 @@ def head_of(df):
 def test_second_parser_agrees_on_all_pages(spark):
     df = overlay_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     for page, (html, head) in head_of(df).items():
-        assert head == read(html), page
+        assert head == read(html or ""), page
 
 
 ODD = [
@@ -165,10 +166,58 @@ def test_hostile_input(spark):
     assert found[4] is None
 
 
+def test_work_grows_with_the_page(spark):
+    """Constructs that are opened over and over and never closed: 1 MB each through all five dimensions."""
+    starts = ["<meta ", "<a ", "<h1>x", "<script ", "<main>", "<article>", "<head>", "<i itemprop=author", "<main ", "<h2 ", "<style>", "<!-- "]
+
+    def run(size):
+        pages = spark.createDataFrame([(i, f"https://a.x/{i}", s * (size // len(s)), {}) for i, s in enumerate(starts)], PAGES_SCHEMA)
+        began = time.monotonic()
+        assert audit(pages, spark.createDataFrame([], SITE_FILES_SCHEMA), None).count() == len(starts)
+        audit(pages, spark.createDataFrame([], SITE_FILES_SCHEMA), None).write.format("noop").mode("overwrite").save()
+        return time.monotonic() - began
+
+    run(1_000)
+    small, large = run(100_000), run(1_000_000)
+    assert large < 10 * small + 2 * len(starts), (small, large)
+
+
+def test_control_characters_make_no_sections(spark):
+    df = spark.createDataFrame([(1, "ab\x01cd<h2>T</h2>one\x01two<h2>open<p>end")], "page_id long, html string")
+    rows = content.section_blocks(df).orderBy("pos").collect()
+    assert [(r.level, r.heading, r.text) for r in rows] == [(2, "T", "one\x01two"), (2, "open end", "")]
+    assert content.h1_check(spark.createDataFrame([(1, "<h1>One"), (2, None)], "page_id long, html string")).collect()[0].page_id == 2
+
+
+def test_comments_are_not_read(spark):
+    html = '<!-- <a href="/c">Contact</a><i itemprop="author">Dr. No</i> --><i itemprop="author">Kim SIMBA, MBA</i><a href="/x">Home</a>'
+    df = spark.createDataFrame([(1, "https://a.x/", html)], "page_id long, url string, html string")
+    assert not attribution.contact_info(df).first().has_contact_link
+    assert attribution.eeat_markers(df).first().credentials == "MBA"
+
+
+def test_jsonld_repeated_keys_types_and_nesting(spark):
+    blocks = ['{"a":1,"a":2}', "{'a':1}", '{"a":1} x', "", "[1,2]", '{"@type":"schema:Article"}', '{"@type":"T","mainEntity":[{"name":"q"}],"author":{"@type":"P","address":{"x":1}}}']
+    html = "".join(f'<script type="application/ld+json">{b}</script>' for b in blocks)
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    valid = [r.valid for r in structured.jsonld_valid(structured.jsonld_blocks(df)).orderBy("pos").collect()]
+    assert valid == [True, False, False, False, True, True, True]
+    assert "Article" in {r.type for r in structured.jsonld_types(df).collect()}
+    assert {r.property for r in structured.schema_nesting(df).collect()} == {"mainEntity", "author.address"}
+
+
+def test_character_references_as_the_standard_library_reads_them(spark):
+    import html as std
+
+    cases = ["&#49;", "&#x27;", "&eacute;&Uuml;", "&amp;lt;", "a &#039;b&#39; c", "&#128512;", "&#xD800;", "&#0;", "&#1114112;", "&hellip;&nbsp;x", "&nosuch;", "& ;", "R&D", "&#;", "&lt;&gt;&quot;"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string").select("t", F.expr(unescape_sql("t")).alias("u"))
+    assert {r.t: r.u for r in df.collect()} == {c: std.unescape(c) for c in cases}
+
+
 @pytest.mark.parametrize(
     ("address", "want"),
     [
-        ("https://A.example:8080/x?q=1#f", ("https", "https://A.example:8080", "a.example", "/x?q=1")),
+        ("https://A.example:8080/x?q=1#f", ("https", "https://a.example:8080", "a.example", "/x?q=1")),
         ("HTTP://u:p@h.example", ("http", "http://u:p@h.example", "h.example", "/")),
         ("//h.example/p", ("", "://h.example", "h.example", "/p")),
         (" https://h.example/a b", ("https", "https://h.example", "h.example", "/a b")),

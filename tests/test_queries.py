@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from verify.compare import compare, connect
+from verify.oracle_content import content_oracles
+from verify.oracle_core import core_oracles
+from verify.oracle_corpus import corpus_oracles
+from verify.queries_content import content_queries
+from verify.queries_core import core_queries
+from verify.queries_corpus import corpus_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES = {**core_queries(), **corpus_queries(), **content_queries()}
+SQL = {**core_oracles(), **corpus_oracles(), **content_oracles()}
 
 
 @pytest.fixture(scope="module")

@@ -22,25 +22,23 @@ def groups_of(spark, bodies):
 # body -> per group: (agents lower-cased, rules as (path, allow), crawl delay)
 PARSE = [
     ("", []),
-    ("# a comment\n# another\n", []),
-    ("User-agent: *\nDisallow: /\n", [(["*"], [("/", False)], None)]),
-    ("User-agent: GPTBot\nDisallow: /\n\nUser-agent: Google-Extended\nAllow: /\n",
-     [(["gptbot"], [("/", False)], None), (["google-extended"], [("/", True)], None)]),
-    ("User-agent: GPTBot\nUser-agent: ChatGPT-User\nDisallow: /\n", [(["gptbot", "chatgpt-user"], [("/", False)], None)]),
-    ("User-agent: *\nDisallow: /private/\nAllow: /private/public-page\n",
-     [(["*"], [("/private/", False), ("/private/public-page", True)], None)]),
-    ("User-agent: *\nCrawl-delay: 10\nDisallow: /tmp/\n", [(["*"], [("/tmp/", False)], 10.0)]),
-    ("User-agent: *\nCrawl-delay: abc\nDisallow: /\n", [(["*"], [("/", False)], None)]),
-    ("User-agent: *\nCrawl-delay: 1_0\nCrawl-delay: 10d\nDisallow: /", [(["*"], [("/", False)], 10.0)]),
-    ("User-agent: GPTBot # bot\nDisallow: / # all\n", [(["gptbot"], [("/", False)], None)]),
-    ("User-agent: *\nDisallow:\n", [(["*"], [], None)]),
-    ("Garbage\nUser-agent: GPTBot\nmore garbage\nDisallow: /\n", [(["gptbot"], [("/", False)], None)]),
-    ("user-agent: GPTBot\ndisallow: /\n", [(["gptbot"], [("/", False)], None)]),
+    ("# only notes here\n  # and here\n", []),
+    ("User-agent: Bytespider\nDisallow: /shop\nAllow: /shop/open\nDisallow: /tmp\n",
+     [(["bytespider"], [("/shop", False), ("/shop/open", True), ("/tmp", False)], None)]),
+    ("User-agent: *\nAllow: /\n\n\nUser-agent: cohere-ai\n\nDisallow: /\nUser-agent: CCBot\nDisallow: /en\n",
+     [(["*"], [("/", True)], None), (["cohere-ai"], [("/", False)], None), (["ccbot"], [("/en", False)], None)]),
+    ("User-agent: One\nuser-AGENT: two\nUSER-agent: THREE\nDisallow: /a\n", [(["one", "two", "three"], [("/a", False)], None)]),
+    ("User-agent: q\nDisallow: /1\nCrawl-delay: 2.5\nCrawl-delay: never\n", [(["q"], [("/1", False)], 2.5)]),
+    ("User-agent: q\nCrawl-delay: 3\nCrawl-delay: 7\nAllow: /", [(["q"], [("/", True)], 7.0)]),
+    ("User-agent: q\nCrawl-delay: 1_5\nDisallow: /", [(["q"], [("/", False)], 15.0)]),
+    ("User-agent: r # robot\nDisallow: /x # not there\n", [(["r"], [("/x", False)], None)]),
+    ("User-agent: r\nDisallow:\nDisallow: \n", [(["r"], [], None)]),
+    ("hello there\nUser-agent: r\n???\nAllow: /ok\n", [(["r"], [("/ok", True)], None)]),
     ("User-agent: a\r\nDisallow: /x\r\nUser-agent: b\rAllow: /y", [(["a"], [("/x", False)], None), (["b"], [("/y", True)], None)]),
     ("Disallow: /early\nUser-agent: a\nAllow:", [(["a"], [("", True)], None)]),
     ("User-agent: a\nDisallow:\nUser-agent: b\nDisallow: /", [(["a", "b"], [("/", False)], None)]),
     ("User-agent: a\nAllow:\nUser-agent: b\nDisallow: /", [(["a"], [("", True)], None), (["b"], [("/", False)], None)]),
-    ("User-agent: a Disallow: /x:y ", [(["a"], [("/x:y", False)], None)]),
+    ("User-agent: a\x0cDisallow: /x:y ", [(["a"], [("/x:y", False)], None)]),
 ]
 
 
@@ -55,23 +53,22 @@ def test_parse(spark):
 
 # body, bot, path -> allowed, part of the reason, matching rule
 ACCESS = [
-    ("", "GPTBot", "/", True, "default allow", None),
-    ("User-agent: GPTBot\nDisallow: /", "GPTBot", "/", False, "specific", "Disallow: /"),
-    ("User-agent: GPTBot\nAllow: /", "GPTBot", "/", True, "specific", "Allow: /"),
-    ("User-agent: *\nDisallow: /", "PerplexityBot", "/", False, "wildcard", "Disallow: /"),
-    ("User-agent: *\nDisallow: /\n\nUser-agent: GPTBot\nAllow: /", "GPTBot", "/", True, "specific allow (path: /)", "Allow: /"),
-    ("User-agent: *\nAllow: /\n\nUser-agent: GPTBot\nDisallow: /", "GPTBot", "/", False, "specific", "Disallow: /"),
-    ("User-agent: *\nDisallow: /\nAllow: /public/", "GPTBot", "/public/page", True, "wildcard", "Allow: /public/"),
-    ("User-agent: gptbot\nDisallow: /", "GPTBot", "/", False, "specific", "Disallow: /"),
-    ("User-agent: *\nDisallow: /secret/", "UnknownBot", "/secret/data", False, "wildcard", "Disallow: /secret/"),
-    ("User-agent: *\nDisallow: /secret/", "GPTBot", "/", True, "wildcard group, no matching path rule (default allow)", None),
-    ("User-agent: GPTBot\nUser-agent: *\nDisallow:", "GPTBot", "/", True, "specific group, no matching", None),
+    ("# empty", "CCBot", "/any", True, "default allow", None),
+    ("User-agent: ccbot\nDisallow: /any", "CCBot", "/any/where", False, "specific", "Disallow: /any"),
+    ("User-agent: *\nDisallow: /any", "CCBot", "/any", False, "wildcard block (path: /any)", "Disallow: /any"),
+    ("User-agent: *\nDisallow: /any", "CCBot", "/an", True, "wildcard group, no matching path rule (default allow)", None),
+    ("User-agent: *\nDisallow: /\nAllow: /a\nDisallow: /a/b", "Bytespider", "/a/c", True, "wildcard", "Allow: /a"),
+    ("User-agent: *\nDisallow: /\nAllow: /a\nDisallow: /a/b", "Bytespider", "/a/b/c", False, "wildcard", "Disallow: /a/b"),
+    ("User-agent: *\nAllow: /\nUser-agent: Bytespider\nDisallow: /", "Bytespider", "/", False, "specific block (path: /)", "Disallow: /"),
+    ("User-agent: Bytespider\nAllow: /\nUser-agent: *\nDisallow: /", "Bytespider", "/", True, "specific allow (path: /)", "Allow: /"),
+    ("User-agent: *\nDisallow: /q", "NobodyBot", "/q?x=1", False, "wildcard", "Disallow: /q"),
+    ("User-agent: cohere-ai\nUser-agent: *\nDisallow:", "cohere-ai", "/", True, "specific group, no matching", None),
     ("User-agent: CCBot\nDisallow: /\nUser-agent: CCBot\nAllow: /", "CCBot", "/", True, "specific", "Allow: /"),
     ("User-agent: *\nDisallow: /\nAllow: /", "CCBot", "/", False, "wildcard", "Disallow: /"),
     ("User-agent: *\nAllow: /\nDisallow: /", "CCBot", "/", True, "wildcard", "Allow: /"),
     ("User-agent: *\nDisallow: /A", "CCBot", "/a", True, "no matching path", None),
     ("User-agent: *\nDisallow: /", "*", "/", False, "specific", "Disallow: /"),
-    ("User-agent: GPTBot-News\nDisallow: /", "GPTBot", "/", True, "no matching rule (default allow)", None),
+    ("User-agent: CCBot-Images\nDisallow: /", "CCBot", "/", True, "no matching rule (default allow)", None),
 ]
 
 
@@ -87,32 +84,26 @@ def test_access(spark):
         assert r.operator == dict((b, o) for b, o, _ in BOTS).get(bot, bot)
 
 
-def fold(body):
-    """Groups of a robots file, line by line."""
-    out = []
-    for line in body.splitlines():
-        name, sep, value = line.split("#")[0].partition(":")
-        name, value = name.strip().lower(), value.strip()
-        if not sep:
-            continue
-        if name == "user-agent":
-            if not out or out[-1][1]:
-                out.append(([], []))
-            out[-1][0].append(value.lower())
-        elif out and (name == "allow" or (name == "disallow" and value)):
-            out[-1][1].append((value, name == "allow"))
-    return out
+def random_file(rng):
+    """A robots file made from random groups, and the groups that it was made from."""
+    lines, groups = [rng.choice(["Disallow: /too-early", "# top", "no colon", ""]) for _ in range(rng.randint(0, 3))], []
+    for _ in range(rng.randint(0, 5)):
+        agents = [rng.choice("abc*") for _ in range(rng.randint(1, 3))]
+        rules = [(rng.choice(["/", "/x", "/y:z", "/a/b"]), rng.random() < 0.5) for _ in range(rng.randint(1, 4))]
+        lines += [rng.choice(["User-agent: ", "USER-AGENT : ", "\tuser-agent:"]) + a.upper() for a in agents]
+        for path, allow in rules:
+            lines.append(rng.choice(["Allow: ", "allow :"] if allow else ["Disallow: ", "DISALLOW:\t"]) + path + rng.choice(["", " # why", "  "]))
+            lines += rng.choice([[], ["Disallow:"], ["Crawl-delay: 3"], ["# note"], ["Sitemap: https://s"], [""]])
+        groups.append((sorted(agents), rules))
+    return "".join(line + rng.choice(["\n", "\r\n", "\r", "\x0c", "\x85"]) for line in lines), groups
 
 
 def test_random_files(spark):
     rng = random.Random(7)
-    parts = ["User-agent: a", "User-agent: *", "USER-AGENT : b ", "Disallow: /", "Disallow:", "Allow: /x", "Allow:", "Crawl-delay: 3",
-             "", "# note", "Sitemap: https://s", "disallow: /y#z", "no colon", "\x0bAllow: /v"]
-    ends = ["\n", "\r\n", "\r", "\x0c", "\x85"]
-    bodies = ["".join(rng.choice(parts) + rng.choice(ends) for _ in range(rng.randint(0, 25))) for _ in range(150)]
-    for body, groups in zip(bodies, groups_of(spark, bodies)):
+    made = [random_file(rng) for _ in range(150)]
+    for (body, want), groups in zip(made, groups_of(spark, [body for body, _ in made])):
         got = [(sorted(g.agents), [(r.path, r.allow) for r in sorted(g.rules, key=lambda r: r.pos)]) for g in groups]
-        assert got == [(sorted(a), r) for a, r in fold(body)], repr(body)
+        assert got == want, repr(body)
 
 
 def test_registry(spark):

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from sitegauge.operators import attribution as at
-from sitegauge.operators.structured import CRITICAL_TYPES, REQUIREMENTS
 from verify.oracle_core import ATTR, BARE, SKIP, strip, tag_pattern, unescape, unquote
 from verify.sqlkit import oracle, part
 
+# The library's own tables, stated here once more so that a slip there shows.
+CRITICAL_TYPES = ('FAQPage', 'HowTo', 'Article', 'Organization')
+REQUIREMENTS = {'Article': {'required': ('headline', 'author', 'datePublished'),
+             'optional': ('image', 'dateModified', 'publisher'),
+             'ai_critical': ('author', 'datePublished', 'dateModified')},
+ 'FAQPage': {'required': ('mainEntity',), 'optional': ('name',), 'ai_critical': ('mainEntity',)},
+ 'HowTo': {'required': ('name', 'step'), 'optional': ('image', 'totalTime'), 'ai_critical': ('step',)},
+ 'Organization': {'required': ('name', 'url'),
+                  'optional': ('logo', 'sameAs'),
+                  'ai_critical': ('sameAs', 'description')}}
+CREDENTIALS = ('PhD', 'Ph.D.', 'Dr.', 'Prof.', 'M.D.', 'MSc', 'MBA', 'Dipl.-Ing.', 'Docteur', 'Conf. univ.')
+SOCIAL = ('og:title', 'og:description', 'og:image', 'og:url', 'twitter:card')
+PRIVACY, TERMS, CONTACT = '(?i)privacy|datenschutz|confidentialit', '(?i)terms|agb|conditions', '(?i)contact|kontakt|impressum'
+
 
 def vis(x: str) -> str:
-    plain = f"regexp_replace({x}, '</?[A-Za-z!][^>]*>', ' ', 'g')"
+    plain = f"regexp_replace({x}, '</?[A-Za-z!][^>]*(?:>|\\z)', ' ', 'g')"
     return f"trim(regexp_replace({unescape(plain)}, '[\\s\\x{{a0}}]+', ' ', 'g'), ' ')"
 
 
@@ -28,7 +40,7 @@ def tag_parts(prefix: str, names: str, where: str, fields: str) -> None:
     """Parts <prefix>: page_id, tpos, el and one column per attribute."""
     part(f"{prefix}raw", f"""SELECT page_id, tpos, tag FROM (SELECT page_id, unnest(l) AS tag, generate_subscripts(l, 1) AS tpos
  FROM (SELECT page_id, list_filter(regexp_extract_all(html, '{tag_pattern(names)}'),
-  lambda t: NOT starts_with(t, '<!') AND NOT regexp_matches(t, '(?i)^<(?:script|style)[\\s/>]')
+  lambda t: ends_with(t, '>') AND NOT starts_with(t, '<!') AND NOT regexp_matches(t, '(?i)^<(?:script|style)[\\s/>]')
    AND regexp_matches(t, '{where}')) AS l FROM pg))""")
     part(f"{prefix}attr", f"""SELECT page_id, tpos, lower(k) AS k, arg_max({unescape(unquote(BARE))}, apos) AS v FROM
  (SELECT page_id, tpos, unnest(regexp_extract_all(body, '{ATTR}', 1)) AS k, unnest(regexp_extract_all(body, '{ATTR}', 2)) AS v,
@@ -57,7 +69,7 @@ part("ldraw", """SELECT page_id, pos, unnest(CASE WHEN json_type(j) = 'ARRAY' TH
  generate_subscripts(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]')
   WHEN json_type(j, '$."@graph"') = 'ARRAY' THEN json_extract(j, '$."@graph"[*]') ELSE [j] END, 1) AS sub FROM parsedblocks""")
 part("lditems", "SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY pos, sub) - 1 AS item FROM ldraw")
-part("ldtypes", """SELECT page_id, item, i, type FROM (SELECT page_id, item, i, unnest(CASE WHEN json_type(i, '$."@type"') = 'ARRAY'
+part("ldtypes", """SELECT page_id, item, i, regexp_replace(type, '^(?:https?://schema[.]org/|schema:)', '') AS type FROM (SELECT page_id, item, i, unnest(CASE WHEN json_type(i, '$."@type"') = 'ARRAY'
  THEN json_extract_string(i, '$."@type"[*]') ELSE [json_extract_string(i, '$."@type"')] END) AS type FROM lditems) WHERE type IS NOT NULL""")
 part("ldkeys", "SELECT page_id, item, i, unnest(json_keys(i)) AS k FROM lditems WHERE json_type(i) = 'OBJECT'")
 part("critical", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {n})" for n, t in enumerate(CRITICAL_TYPES)) + ") t(schema, sord)")
@@ -66,24 +78,38 @@ part("missing", """SELECT p.page_id, c.schema, c.sord FROM pg p CROSS JOIN criti
 part("wanted", "SELECT * FROM (VALUES " + ", ".join(
     f"('{t}', '{level}', '{p}')" for t, levels in REQUIREMENTS.items() for level, props in levels.items() for p in props
 ) + ") t(type, level, prop)")
-part("untyped", """SELECT page_id, item, k AS property FROM ldkeys WHERE json_type(i, '$."' || k || '"') = 'OBJECT'
- AND json_type(i, '$."' || k || '"."@type"') IS NULL""")
+part("nested1", """SELECT page_id, item, k AS property, unnest(CASE WHEN json_type(i, '$."' || k || '"') = 'ARRAY' THEN CAST(json_extract(i, '$."' || k || '"') AS JSON[])
+ ELSE [json_extract(i, '$."' || k || '"')] END) AS v FROM ldkeys""")
+part("keys2", """SELECT page_id, item, property, v, unnest(json_keys(v)) AS k FROM nested1 WHERE json_type(v) = 'OBJECT'""")
+part("nested2", """SELECT page_id, item, property || '.' || k AS property, unnest(CASE WHEN json_type(v, '$."' || k || '"') = 'ARRAY'
+ THEN CAST(json_extract(v, '$."' || k || '"') AS JSON[]) ELSE [json_extract(v, '$."' || k || '"')] END) AS v FROM keys2""")
+part("untyped", """SELECT DISTINCT page_id, item, property FROM (SELECT * FROM nested1 UNION ALL SELECT * FROM nested2)
+ WHERE json_type(v) = 'OBJECT' AND json_type(v, '$."@type"') IS NULL""")
 
 # ---- content --------------------------------------------------------------------------------
 part("cl", f"SELECT page_id, url, html, regexp_replace(html, '(?s)<(?:{SKIP})', ' ', 'g') AS clean FROM pg")
-part("hd", f"""SELECT page_id, pos, CAST(substr(h, 3, 1) AS INTEGER) AS level, {vis('h')} AS text FROM
- (SELECT page_id, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS pos FROM
-  (SELECT page_id, regexp_extract_all(clean, '(?is)<h[1-6](?:\\s[^>]*)?>.*?</h[1-6]\\s*>') AS l FROM cl))""")
+# Cut before every heading at a character that no text holds.
+CUT = "chr(57344) || chr(57345)"
+HS = "(?is)^<h[1-6][^>]*>(.*?)(?:</h[1-6]\\s*>|\\z)"
+
+
+def headed(source: str, column: str) -> str:
+    """Pieces (page_id, pos, p) of a text that begin with a heading."""
+    return f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, p FROM (SELECT page_id, unnest(l) AS p, generate_subscripts(l, 1) AS n
+ FROM (SELECT page_id, string_split(regexp_replace({column}, '(?i)<(h[1-6][\\s>])', {CUT} || '<\\1', 'g'), {CUT}) AS l FROM {source}))
+ WHERE regexp_matches(p, '(?is)^<h[1-6](?:\\s[^>]*)?>')"""
+
+
+part("hd", f"""SELECT page_id, pos, CAST(substr(p, 3, 1) AS INTEGER) AS level, {vis(f"regexp_extract(p, '{HS}', 1)")} AS text
+ FROM ({headed('cl', 'clean')})""")
 part("outline", """SELECT *, coalesce(level - lag(level) OVER (PARTITION BY page_id ORDER BY pos) > 1, false) AS skip FROM hd""")
 part("els", "SELECT page_id, lower(unnest(regexp_extract_all(clean, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS el FROM cl")
-part("bodies", "SELECT *, regexp_replace(clean, '(?is)<head(?:\\s[^>]*)?>.*?</head\\s*>', ' ', 'g') AS body FROM cl")
+part("bodies", "SELECT *, regexp_replace(clean, '(?is)<head(?:\\s[^>]*)?(?:>(?:.*?</head\\s*>|(.*))|\\z)', ' \\1', 'g') AS body FROM cl")
 part("texts", f"""SELECT page_id, {vis('body')} AS body_text, {vis('inner_html')} AS content_text FROM
  (SELECT page_id, body, coalesce(nullif(regexp_extract(clean, '(?is)<main(?:\\s[^>]*)?>(.*?)</main\\s*>', 1), ''),
   array_to_string(regexp_extract_all(clean, '(?is)<article(?:\\s[^>]*)?>(.*?)</article\\s*>', 1), ' ')) AS inner_html FROM bodies)""")
-HS = "(?is)^<h[1-6][^>]*>(.*?)</h[1-6]\\s*>"
-part("secs", f"""SELECT page_id, pos - 1 AS pos, CAST(substr(p, 3, 1) AS INTEGER) AS level, {vis(f"regexp_extract(p, '{HS}', 1)")} AS heading,
- {vis(f"regexp_replace(p, '{HS}', '')")} AS text FROM (SELECT page_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS pos FROM
-  (SELECT page_id, string_split(regexp_replace(body, '(?i)<(h[1-6][\\s>])', chr(1) || '<\\1', 'g'), chr(1)) AS l FROM bodies)) WHERE pos > 0""")
+part("secs", f"""SELECT page_id, pos, CAST(substr(p, 3, 1) AS INTEGER) AS level, {vis(f"regexp_extract(p, '{HS}', 1)")} AS heading,
+ {vis(f"regexp_replace(p, '{HS}', '')")} AS text FROM ({headed('bodies', 'body')})""")
 FIRST = "regexp_extract(text, '^[^.!?]*[.!?]')"
 part("ready", f"SELECT *, ends_with({FIRST}, '.') AND {words(FIRST)} BETWEEN 5 AND 40 AS is_ready, {words('text')} AS n_words FROM secs")
 part("langs", """SELECT page_id, nullif(lower(split_part(trim(arg_min(lang, tpos)), '-', 1)), '') AS lang FROM htmltags
@@ -130,10 +156,13 @@ part("linkhosts", """SELECT a.page_id, lower(split_part(p.netloc, ':', 1)) AS ow
   WHEN regexp_matches(a.href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN lower(regexp_extract(a.href, '(?i)^https?://(?:[^@/?#]*@)?([^:/?#]*)', 1))
   ELSE lower(split_part(p.netloc, ':', 1)) END AS host FROM anchors a JOIN pg p ON p.page_id = a.page_id
  WHERE a.href IS NOT NULL AND (regexp_matches(a.href, '(?i)^https?:') OR NOT regexp_matches(a.href, '(?i)^[a-z][a-z0-9+.-]*:'))""")
-CREDENTIAL = "(" + "|".join(w.replace(".", r"\.") for w in at.CREDENTIALS) + ")"
-part("authortexts", r"""SELECT p.page_id, concat_ws(' ', m.content, array_to_string(regexp_extract_all(p.html,
- '(?i)<[a-z][^>]*\sitemprop\s*=\s*["'']?author["'']?(?:\s[^>]*)?>([^<]*)', 1), ' ')) AS author
- FROM pg p LEFT JOIN metas m ON m.page_id = p.page_id AND m.kind = 'name' AND m.name = 'author'""")
+CREDENTIAL = ", ".join(f"'{w}'" for w in CREDENTIALS)
+part("authortags", r"""SELECT page_id, string_agg(x, ' ' ORDER BY n) AS named FROM (SELECT page_id,
+ unnest(regexp_extract_all(clean, '(?is)<[a-z][^>]*>[^<]*', 0)) AS t, generate_subscripts(regexp_extract_all(clean, '(?is)<[a-z][^>]*>[^<]*', 0), 1) AS n,
+ regexp_extract(t, '(?s)>([^<]*)$', 1) AS x FROM cl) WHERE regexp_matches(split_part(t, '>', 1) || '>', '(?i)\sitemprop\s*=\s*["'']?author["'']?[\s>/]') GROUP BY 1""")
+part("authortexts", """SELECT p.page_id, concat_ws(' ', m.content, coalesce(a.named, '')) AS author
+ FROM pg p LEFT JOIN metas m ON m.page_id = p.page_id AND m.kind = 'name' AND m.name = 'author'
+ LEFT JOIN authortags a ON a.page_id = p.page_id""")
 part("canon", f"""SELECT page_id, trim(arg_min(href, tpos)) AS href FROM tags WHERE el = 'link' AND {token('rel', 'canonical')} GROUP BY 1""")
 part("canonicals", """SELECT page_id, canonical, CASE WHEN canonical IS NULL THEN 'missing'
   WHEN split_part(canonical, '#', 1) = split_part(url, '#', 1) THEN 'self' ELSE 'other' END AS status FROM
@@ -141,13 +170,13 @@ part("canonicals", """SELECT page_id, canonical, CASE WHEN canonical IS NULL THE
    WHEN starts_with(c.href, '//') THEN p.scheme || ':' || c.href WHEN starts_with(c.href, '/') THEN p.origin || c.href END AS canonical
   FROM pg p LEFT JOIN canon c ON c.page_id = p.page_id AND c.href <> '')""")
 part("social", "SELECT p.page_id, " + ", ".join(
-    f"coalesce(bool_or(m.name = '{n}'), false) AS {n.replace(':', '_')}" for n in at.SOCIAL
+    f"coalesce(bool_or(m.name = '{n}'), false) AS {n.replace(':', '_')}" for n in SOCIAL
 ) + " FROM pg p LEFT JOIN metas m ON m.page_id = p.page_id GROUP BY 1")
 part("linktexts", f"""SELECT page_id, {vis('t')} AS t FROM (SELECT page_id,
- unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*>(.*?)</a\\s*>', 1)) AS t FROM pg)""")
+ unnest(regexp_extract_all(clean, '(?is)<a\\s[^>]*>(.*?)</a\\s*>', 1)) AS t FROM cl)""")
 part("contacts", f"""SELECT p.page_id, (SELECT count(*) FROM anchors a WHERE a.page_id = p.page_id AND lower(a.href) LIKE 'mailto:%') AS n_mailto,
  (SELECT count(*) FROM anchors a WHERE a.page_id = p.page_id AND lower(a.href) LIKE 'tel:%') AS n_tel,
- EXISTS (FROM linktexts x WHERE x.page_id = p.page_id AND regexp_matches(t, '{at.CONTACT}')) AS has_contact_link FROM pg p""")
+ EXISTS (FROM linktexts x WHERE x.page_id = p.page_id AND regexp_matches(t, '{CONTACT}')) AS has_contact_link FROM pg p""")
 
 
 def linked(pattern: str) -> str:
@@ -157,7 +186,7 @@ def linked(pattern: str) -> str:
     )
 
 
-part("trust", f"SELECT page_id, scheme = 'https' AS https, {linked(at.PRIVACY)} AS privacy, {linked(at.TERMS)} AS terms FROM pg p")
+part("trust", f"SELECT page_id, scheme = 'https' AS https, {linked(PRIVACY)} AS privacy, {linked(TERMS)} AS terms FROM pg p")
 
 # ---- scores of the three ------------------------------------------------------------------------
 part("sdsum", f"""SELECT p.page_id, (SELECT count(*) FROM lditems x WHERE x.page_id = p.page_id) AS n_items,
@@ -245,8 +274,8 @@ SQL: dict[str, str] = {
  DATE '2026-01-01' - coalesce(modified, published, shown) AS age_days FROM dates""",
     "outbound_links": """SELECT p.page_id, count(*) FILTER (WHERE host = own) AS n_internal, count(*) FILTER (WHERE host <> own) AS n_external,
  count(DISTINCT host) FILTER (WHERE host <> own) AS n_external_hosts FROM pg p LEFT JOIN linkhosts l ON l.page_id = p.page_id GROUP BY 1""",
-    "eeat_markers": f"""SELECT page_id, author, array_to_string(list_sort(list_distinct(regexp_extract_all(author, '{CREDENTIAL}', 1))), ',')
- AS credentials FROM authortexts""",
+    "eeat_markers": f"""SELECT page_id, author, array_to_string(list_sort(list_filter([{CREDENTIAL}],
+ lambda c: regexp_matches(author, '(?:^|[^\\p{{L}}\\p{{N}}])' || replace(c, '.', '[.]') || '(?:[^\\p{{L}}\\p{{N}}]|$)'))), ',') AS credentials FROM authortexts""",
     "canonical_check": "SELECT page_id, canonical, status FROM canonicals",
     "social_meta": "SELECT * FROM social",
     "contact_info": "SELECT * FROM contacts",

@@ -6,22 +6,44 @@ that the two agree only if both are right. Patterns are in RE2 syntax.
 
 from __future__ import annotations
 
-from sitegauge.functions.text import ENTITIES, WHITESPACE
 from sitegauge.sources import overlay as ov
-from sitegauge.sources.bots import bot_rows
 from verify.sqlkit import oracle, part
 
+# Fixed values, stated here once more so that a slip in the library shows.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+BOTS = (
+    (1, 'GPTBot', 'OpenAI (ChatGPT training data)', 12, True),
+    (2, 'ChatGPT-User', 'OpenAI (ChatGPT live browsing)', 10, True),
+    (3, 'Google-Extended', 'Google (Gemini training data)', 12, True),
+    (4, 'GoogleOther', 'Google (AI Overviews, other AI)', 10, True),
+    (5, 'CCBot', 'Common Crawl (used by many AI models)', 10, False),
+    (6, 'anthropic-ai', 'Anthropic (Claude training data)', 8, False),
+    (7, 'ClaudeBot', 'Anthropic (Claude web search)', 8, False),
+    (8, 'PerplexityBot', 'Perplexity AI', 8, False),
+    (9, 'Bytespider', 'ByteDance (TikTok AI)', 5, False),
+    (10, 'Amazonbot', 'Amazon (Alexa, AI services)', 5, False),
+    (11, 'meta-externalagent', 'Meta (Facebook AI, LLaMA)', 7, False),
+    (12, 'cohere-ai', 'Cohere', 5, False),
+)
+# The references that the inputs hold; an ampersand last.
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&#49;": "1", "&apos;": "'", "&nbsp;": "\xa0",
+    "&eacute;": "é", "&copy;": "©", "&middot;": "·", "&amp;": "&",
+}
 WS = "'" + WHITESPACE + "'"
 INNER = r"""(?:[^>=]|=\s*(?:"[^"]*"|''[^'']*''|[^\s>]*))*"""
 ATTR = r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s>]*))?"""
 SKIP = (
-    r"!--.*?(?:-->|\z)|(?i:script)(?:[\s/][^>]*)?>.*?(?:</(?i:script)\s*>|\z)"
-    r"|(?i:style)(?:[\s/][^>]*)?>.*?(?:</(?i:style)\s*>|\z)"
+    r"!--.*?(?:-->|\z)|(?i:script)(?:[\s/][^>]*)?(?:>.*?(?:</(?i:script)\s*>|\z)|\z)"
+    r"|(?i:style)(?:[\s/][^>]*)?(?:>.*?(?:</(?i:style)\s*>|\z)|\z)"
 )
 
 
 def tag_pattern(names: str) -> str:
-    return rf"(?s)<(?:{SKIP}|(?i:{names})(?:[\s/]{INNER})?>)"
+    return rf"(?s)<(?:{SKIP}|(?i:{names})(?:[\s/]{INNER})?(?:>|\z))"
 
 
 def strip(x: str) -> str:
@@ -42,16 +64,17 @@ def unquote(x: str) -> str:
 # An attribute without a value is an empty one; this engine reports an unmatched group as null.
 BARE = "coalesce(v, '')"
 part("bots", "SELECT * FROM (VALUES " + ", ".join(
-    f"({o}, '{b}', '{op}', {w}, {str(h).lower()})" for o, b, op, w, h in bot_rows()
+    f"({o}, '{b}', '{op}', {w}, {str(h).lower()})" for o, b, op, w, h in BOTS
 ) + ") t(ord, bot, operator, weight, high_impact)")
-part("pgx", "SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, "
-     "regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS netloc FROM pages")
+part("pgx", """SELECT *, regexp_replace(lower(written), CASE scheme WHEN 'http' THEN ':(80)?$' WHEN 'https' THEN ':(443)?$' ELSE ':$' END, '')
+ AS netloc FROM (SELECT page_id, {url} AS url, html, lower(regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+ regexp_extract({url}, '^[^:]*://([^/?#]*)', 1) AS written FROM pages)""".replace("{url}", ov.URL))
 
 
 def pages_sql(shift: int = 0) -> str:
     n = f"(page_id + {shift})"
     return (
-        f"SELECT page_id, url, scheme, netloc, scheme || '://' || netloc AS origin, {ov.html_sql(n)} AS html, "
+        f"SELECT page_id, url, scheme, netloc, written, scheme || '://' || netloc AS origin, coalesce({ov.html_sql(n)}, '') AS html, "
         f"{ov.XRT_NAME.format(n=n)} AS xrt_name, {ov.XRT_VALUE.format(n=n)} AS xrt_raw, "
         f"{ov.TDM_VALUE.format(n=n)} AS tdm_raw FROM pgx"
     )
@@ -138,7 +161,7 @@ part("sitefacts", """SELECT n.origin, r.origin IS NOT NULL AS robots_found, t.or
 # ---- tags -----------------------------------------------------------------------------
 part("rawtags", f"""SELECT page_id, tpos, tag FROM (SELECT page_id, unnest(l) AS tag, generate_subscripts(l, 1) AS tpos
  FROM (SELECT page_id, list_filter(regexp_extract_all(html, '{tag_pattern("meta|link")}'),
-  lambda t: NOT starts_with(t, '<!') AND NOT regexp_matches(t, '(?i)^<(?:script|style)[\\s/>]')) AS l FROM pg))""")
+  lambda t: ends_with(t, '>') AND NOT starts_with(t, '<!') AND NOT regexp_matches(t, '(?i)^<(?:script|style)[\\s/>]')) AS l FROM pg))""")
 part("tagattrs", f"""SELECT page_id, tpos, lower(k) AS k, arg_max({unescape(unquote(BARE))}, apos) AS v FROM
  (SELECT page_id, tpos, unnest(regexp_extract_all(body, '{ATTR}', 1)) AS k, unnest(regexp_extract_all(body, '{ATTR}', 2)) AS v,
   generate_subscripts(regexp_extract_all(body, '{ATTR}', 1), 1) AS apos FROM
@@ -167,7 +190,7 @@ part("sigmeta", f"SELECT page_id, 2 AS ord, 'meta_tag' AS source, {POLICY} AS po
 part("siglink", f"""SELECT page_id, 3 AS ord, 'link_tag' AS source, 'reserved' AS policy, v AS raw_value FROM
  (SELECT page_id, {strip("arg_min(coalesce(href, ''), tpos)")} AS v FROM tags WHERE el = 'link'
   AND list_contains(string_split_regex({strip('rel')}, '\\s+'), 'tdm-policy') GROUP BY 1) WHERE v <> ''""")
-part("sigrep", """SELECT page_id, 4 AS ord, 'tdmrep_json' AS source, 'reserved' AS policy, raw_value
+part("sigrep", """SELECT page_id, 4 AS ord, 'tdmrep_json' AS source, 'reserved' AS policy, scheme || '://' || written || '/tdmrep.json' AS raw_value
  FROM pg JOIN tdmreps USING (origin)""")
 part("sigs", "SELECT * FROM sighead UNION ALL SELECT * FROM sigmeta UNION ALL SELECT * FROM siglink UNION ALL SELECT * FROM sigrep")
 part("sigsum", """SELECT p.page_id, count(s.ord) AS n_signals, count(*) FILTER (WHERE policy <> 'not_declared') AS n_valid,
@@ -241,15 +264,12 @@ SQL: dict[str, str] = {
     "robots_crawl_delay": "SELECT origin, CAST(group_id AS BIGINT) AS group_id, crawl_delay FROM delays",
     "robots_tdm_fields": "SELECT origin, CAST(pos AS BIGINT) AS pos, directive, value FROM rlines WHERE directive LIKE 'tdm-%'",
     "bot_group_match": "SELECT g.origin, bot, CAST(specific_id AS BIGINT) AS specific_id, CAST(wildcard_id AS BIGINT) AS wildcard_id "
-    "FROM gmatch g SEMI JOIN files f ON f.origin = g.origin AND f.status = 200 WHERE ord BETWEEN 1 AND 12",
+    "FROM gmatch g WHERE ord BETWEEN 1 AND 12",
     "longest_path_rule": "SELECT page_id, page_path AS path, allowed, matching_rule FROM paccess WHERE bot = '*'",
-    "bot_directive": "SELECT a.origin, bot, operator, allowed, reason, matching_rule FROM access a "
-    "SEMI JOIN files f ON f.origin = a.origin AND f.status = 200",
-    "bot_access_matrix": "SELECT a.origin, bot, operator, CAST(weight AS BIGINT) AS weight, allowed FROM access a "
-    "SEMI JOIN files f ON f.origin = a.origin AND f.status = 200 WHERE ord BETWEEN 1 AND 12",
+    "bot_directive": "SELECT a.origin, bot, operator, allowed, reason, matching_rule FROM access a",
+    "bot_access_matrix": "SELECT a.origin, bot, operator, CAST(weight AS BIGINT) AS weight, allowed FROM access a WHERE ord BETWEEN 1 AND 12",
     "bot_access_path": "SELECT page_id, page_path AS path, bot, allowed, reason FROM paccess WHERE ord BETWEEN 1 AND 12",
-    "wildcard_access": "SELECT a.origin, allowed, reason, matching_rule FROM access a "
-    "SEMI JOIN files f ON f.origin = a.origin AND f.status = 200 WHERE bot = '*'",
+    "wildcard_access": "SELECT a.origin, allowed, reason, matching_rule FROM access a WHERE bot = '*'",
     "page_site_join": "SELECT page_id, origin, robots_found, tdmrep, ai_txt, CAST(allowed_weight AS BIGINT) AS allowed_weight FROM pg JOIN sitefacts USING (origin)",
     "html_tags": "SELECT page_id, CAST(tpos - 1 AS BIGINT) AS pos, el, name, property, content, rel, href FROM tags",
     "meta_first": "SELECT page_id, meta_name, content FROM metafirst WHERE meta_name IN ('robots', 'author', 'tdm-reservation')",
@@ -262,8 +282,9 @@ SQL: dict[str, str] = {
     "x_robots_tag": "SELECT page_id, value, noindex, ai_word FROM xrt",
     "select_dimensions": "SELECT p.page_id, value AS overall_score, CAST(n_tdm AS BIGINT) AS issue_count, 'tdm' AS categories "
     "FROM pg p JOIN tdmscores USING (page_id) JOIN issuecounts USING (page_id)",
-    "blank_html_guard": "SELECT p.page_id, CAST(0 AS BIGINT) AS n_tags, CAST(0 AS BIGINT) AS n_meta_robots, "
-    "CAST(CASE WHEN tdm_raw IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_signals FROM pg p",
+    "blank_html_guard": "SELECT p.page_id, (SELECT count(*) FROM tags t WHERE t.page_id = p.page_id) AS n_tags, "
+    "(SELECT count(*) FROM mrobots m WHERE m.page_id = p.page_id) AS n_meta_robots, (SELECT count(*) FROM sighead s WHERE s.page_id = p.page_id) "
+    "+ (SELECT count(*) FROM sigmeta s WHERE s.page_id = p.page_id) + (SELECT count(*) FROM siglink s WHERE s.page_id = p.page_id) AS n_signals FROM pg p",
     "valid_signals": "SELECT page_id, source, policy, raw_value FROM sigs WHERE policy <> 'not_declared'",
     "invalid_signals": "SELECT page_id, source, policy, raw_value FROM sigs WHERE policy = 'not_declared'",
     "high_issues": "SELECT page_id, CAST(ord AS BIGINT) AS ord, rule, title FROM issues WHERE severity = 'high'",
@@ -295,8 +316,7 @@ SQL: dict[str, str] = {
     "issue_tdm_none": "SELECT page_id, severity, title FROM tdmissues WHERE rule = 'tdm_none'",
     "issue_tdm_declared": "SELECT i.page_id, severity, title, first_policy AS policy, valid_sources AS sources FROM tdmissues i "
     "JOIN sigsum s ON s.page_id = i.page_id WHERE rule = 'tdm_declared'",
-    "allowed_weight": "SELECT f.origin, CAST(allowed_weight AS BIGINT) AS allowed_weight FROM sitefacts f "
-    "SEMI JOIN files x ON x.origin = f.origin AND x.status = 200",
+    "allowed_weight": "SELECT f.origin, CAST(allowed_weight AS BIGINT) AS allowed_weight FROM sitefacts f",
     "crawl_penalty": "SELECT page_id, CAST(penalty AS BIGINT) AS penalty FROM penalties",
     "crawl_score": "SELECT page_id, value FROM crawlscores",
     "tdm_score": "SELECT page_id, value FROM tdmscores",
@@ -316,10 +336,15 @@ SQL: dict[str, str] = {
     "tdm_status": "SELECT page_id, CASE WHEN n_signals = 0 THEN 'undeclared' WHEN conflict THEN 'conflicting' WHEN n_valid = 0 THEN 'invalid' "
     "WHEN any_reserved THEN 'reserved' ELSE 'open' END AS status FROM sigsum",
     "scalar_functions": f"""SELECT p.page_id, len(regexp_split_to_array(html, '{NL}')) AS n_lines, x.path AS stripped,
- split_part(url, '#', 1) AS before_hash, 'a|b|' || p.page_id AS parts, try_cast(regexp_extract(x.path, '([0-9]+)', 1) AS DOUBLE) AS number,
- CAST(NULL AS DOUBLE) AS no_number, CAST(round_even(p.page_id / 2, 0) AS BIGINT) AS half_even,
- greatest(0, least(100, p.page_id - 50)) AS clamped, 'Structured Data' AS label, '<' || p.page_id || '&gt;' AS unescaped
+ split_part(url, '#', 1) AS before_hash, 'a|b|' || p.page_id AS parts,
+ CASE p.page_id % 9 WHEN 0 THEN CAST('-' || p.page_id AS DOUBLE) WHEN 1 THEN p.page_id + CAST(0.5 AS DOUBLE) WHEN 2 THEN CAST(p.page_id AS DOUBLE) * 100
+  WHEN 3 THEN CAST('1' || p.page_id AS DOUBLE) WHEN 4 THEN CAST('inf' AS DOUBLE) WHEN 7 THEN CAST('0.' || p.page_id AS DOUBLE)
+  WHEN 8 THEN CAST(p.page_id AS DOUBLE) END AS number,
+ CAST(round_even(p.page_id / 2, 0) AS BIGINT) AS half_even, greatest(0, least(100, p.page_id - 50)) AS clamped,
+ CASE p.page_id % 2 WHEN 0 THEN 'Structured Data' ELSE 'Page ' || p.page_id END AS label,
+ '<' || p.page_id || '&gt;' || chr(CAST(65 + p.page_id % 26 AS INTEGER)) || chr(CAST(97 + p.page_id % 26 AS INTEGER)) || 'é&zz;&' AS unescaped
  FROM pg p JOIN ppaths x USING (page_id)""",
+    "issue_ai_txt": "SELECT page_id, 'info' AS severity, 'ai_txt' AS rule, 'ai.txt found' AS title FROM pg JOIN aitxts USING (origin)",
     "ai_txt": "SELECT page_id, p.origin, a.origin IS NOT NULL AS ai_txt FROM pg p LEFT JOIN aitxts a ON a.origin = p.origin",
     "over_restrictive": "SELECT f.origin, CAST(allowed_weight AS BIGINT) AS allowed_weight, CAST(n AS BIGINT) AS n_blocked FROM sitefacts f "
     "JOIN (SELECT origin, count(*) FILTER (WHERE NOT allowed AND ord BETWEEN 1 AND 12) AS n FROM access GROUP BY 1) USING (origin) "

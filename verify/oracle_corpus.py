@@ -7,7 +7,7 @@ import re
 from verify.oracle_core import files_sql, pages_sql
 from verify.sqlkit import PARTS, oracle, part
 
-part("sitemeans", """SELECT origin, count(*) AS n_pages, (200 * sum(overall_score)::BIGINT + count(*)) // (2 * count(*)) AS mean_x100
+part("sitemeans", """SELECT origin, count(*) AS n_pages, CAST(sum(overall_score) AS DOUBLE) / count(*) AS mean_score
  FROM pg JOIN overall USING (page_id) GROUP BY 1""")
 part("peers", """SELECT *, regexp_extract(lower(regexp_extract(origin, '://([^:/]*)', 1)), '([^.]+)$', 1) AS peer FROM sitemeans""")
 
@@ -21,24 +21,27 @@ for _name in _SHIFTED:
         r"(FROM|JOIN)(\s+)(" + "|".join(_SHIFTED) + r")\b", lambda m: f"{m[1]}{m[2]}{m[3]}_b", _sql
     ).replace("sighead.", "sighead_b."))
 
-_REPORT = """SELECT p.page_id, p.url, CAST(o.overall_score AS VARCHAR) AS overall_score, 'crawlability' AS first_category,
- CAST(t.value AS VARCHAR) AS second_value, f.title AS first_title,
- CASE WHEN f.rule = 'bot_blocked' THEN f.key END AS first_details_bot {extra}
- FROM pg p JOIN overall o USING (page_id) JOIN tdmscores t USING (page_id) JOIN issuecounts c USING (page_id)
- LEFT JOIN (SELECT page_id, arg_min(title, ord) AS title, arg_min(rule, ord) AS rule, arg_min(key, ord) AS key
-  FROM issues GROUP BY 1) f ON f.page_id = p.page_id"""
+_REPORT = """SELECT p.page_id, p.url, CAST(o.overall_score AS VARCHAR) AS overall_score,
+ 'crawlability:' || w.value || ':100;tdm:' || t.value || ':100' AS scores, coalesce(f.issues, '') AS issues, coalesce(f.bots, '') AS bots,
+ CAST(0 AS BIGINT) AS n_bad_texts {extra}
+ FROM pg p JOIN overall o USING (page_id) JOIN crawlscores w USING (page_id) JOIN tdmscores t USING (page_id) JOIN issuecounts c USING (page_id)
+ LEFT JOIN (SELECT page_id, string_agg(severity || '|' || category || '|' || title, ';' ORDER BY ord) AS issues,
+  string_agg(CASE WHEN rule = 'bot_blocked' THEN key ELSE '-' END, ',' ORDER BY ord) AS bots FROM issues GROUP BY 1) f ON f.page_id = p.page_id"""
 
 SQL: dict[str, str] = {
     "report_json": _REPORT.format(extra=""),
     "report_json_full": _REPORT.format(
         extra=", '0.1.0' AS version, '2026-01-01T00:00:00+00:00' AS generated_at, CAST(n_crawl AS VARCHAR) AS crawl_issues, '{}' AS metadata"
     ),
-    "report_tables": "SELECT 'scores' AS report, category, count(*) AS n_rows FROM scores GROUP BY 2 "
-    "UNION ALL SELECT 'issues', category, count(*) FROM issues GROUP BY 2",
+    "report_tables": """SELECT r.page_id, report, category, what, overall_score, issue_count FROM
+ (SELECT page_id, 'scores' AS report, category, CAST(value AS VARCHAR) AS what FROM scores
+  UNION ALL SELECT page_id, 'issues', category, rule || ':' || key FROM issues) r
+ JOIN overall o ON o.page_id = r.page_id JOIN issuecounts c ON c.page_id = r.page_id""",
     "issue_rollup": "SELECT category, severity, rule, count(*) AS n_issues, count(DISTINCT page_id) AS n_pages FROM issues "
     "GROUP BY ROLLUP (category, severity, rule)",
-    "site_ranking": "SELECT origin, n_pages, mean_x100 / 100.0 AS mean_score, dense_rank() OVER (ORDER BY mean_x100 DESC) AS site_rank FROM sitemeans",
-    "site_ranking_worst": "SELECT origin, n_pages, mean_x100 FROM sitemeans ORDER BY mean_x100, origin LIMIT 10",
+    "site_ranking": "SELECT origin, n_pages, mean_score, dense_rank() OVER (ORDER BY mean_score DESC) AS site_rank FROM sitemeans",
+    "site_ranking_worst": "SELECT origin, n_pages, mean_score FROM sitemeans ORDER BY mean_score, origin LIMIT 10",
+    "site_ranking_best": "SELECT origin, n_pages, mean_score FROM sitemeans ORDER BY mean_score DESC, origin LIMIT 10",
     "bot_block_rate": """SELECT bot, n_sites, n_sites_blocking, n_pages, n_pages_blocking,
  n_sites_blocking / n_sites AS site_rate, n_pages_blocking / n_pages AS page_rate FROM
  (SELECT bot, count(*) AS n_sites, count(*) FILTER (WHERE NOT allowed) AS n_sites_blocking, CAST(sum(n) AS BIGINT) AS n_pages,
@@ -47,9 +50,9 @@ SQL: dict[str, str] = {
     "policy_mix": """SELECT CASE WHEN n_signals = 0 THEN 'undeclared' WHEN conflict THEN 'conflicting' WHEN n_valid = 0 THEN 'invalid'
  WHEN any_reserved THEN 'reserved' ELSE 'open' END AS status, coalesce(replace(valid_sources, ', ', '+'), '') AS channels,
  count(*) AS n_pages FROM sigsum GROUP BY 1, 2""",
-    "peer_compare": """SELECT origin, peer, count(*) OVER w AS n_peers, mean_x100 / 100.0 AS mean_score,
- (mean_x100 - CAST((2 * sum(mean_x100) OVER w + count(*) OVER w) AS BIGINT) // (2 * count(*) OVER w)) / 100.0 AS gap,
- percent_rank() OVER (PARTITION BY peer ORDER BY mean_x100) AS percent_rank FROM peers WINDOW w AS (PARTITION BY peer)""",
+    "peer_compare": """SELECT origin, peer, count(*) OVER w AS n_peers, mean_score,
+ round(mean_score - avg(mean_score) OVER w, 6) AS gap,
+ percent_rank() OVER (PARTITION BY peer ORDER BY mean_score) AS percent_rank FROM peers WINDOW w AS (PARTITION BY peer)""",
     "audit_diff": """SELECT url, rule, key, CASE WHEN max(o) = 0 THEN 'new' WHEN max(n) = 0 THEN 'fixed' ELSE 'kept' END AS status FROM
  (SELECT p.url, i.rule, i.key, 1 AS o, 0 AS n FROM pg p JOIN issues i ON i.page_id = p.page_id
   UNION ALL SELECT p.url, i.rule, i.key, 0, 1 FROM pg_b p JOIN issues_b i ON i.page_id = p.page_id) GROUP BY 1, 2, 3""",

@@ -16,11 +16,11 @@ from sitegauge.sources.bots import bot_rows
 
 
 def raw_pages(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/pages.parquet")
+    return spark.read.parquet(f"{d}/pages.parquet").withColumn("url", F.expr(overlay.URL))
 
 
 def pages(spark: SparkSession, d: str, shift: int = 0) -> DataFrame:
-    return overlay.overlay_pages(tables.spread(raw_pages(spark, d)), shift)
+    return overlay.overlay_pages(raw_pages(spark, d), shift)
 
 
 def files(spark: SparkSession, d: str, shift: int = 0) -> DataFrame:
@@ -65,7 +65,7 @@ def _long(*cols: str):
 def crawl_readiness(spark, d):
     """Which crawlers are kept out, and how well can each page be crawled?"""
     return joined(spark, d, "crawlability").select(
-        "page_id", "origin", F.coalesce(F.size("blocked"), F.lit(0)).cast("long").alias("blocked_bots"),
+        "page_id", "origin", F.when(F.col("blocked").isNull(), 0).otherwise(F.size("blocked")).cast("long").alias("blocked_bots"),
         scores.crawl_score(F.col("allowed_weight"), signals.crawl_penalty()).alias("crawl_score"),
     )
 
@@ -187,7 +187,8 @@ def q_select_dimensions(spark, d):
 
 
 def q_blank_html(spark, d):
-    df = pages(spark, d).withColumn("html", F.lit(" \n\t "))
+    """Tags and signals of every page; some pages of the overlay are blank or null."""
+    df = pages(spark, d)
     df = signals.tdm_facts(signals.crawl_facts(signals.with_head(tables.pages_scan(df))))
     return df.select(
         "page_id", F.size("head").cast("long").alias("n_tags"), F.size("meta_robots").cast("long").alias("n_meta_robots"),
@@ -307,19 +308,22 @@ def q_issue_order(spark, d):
 def q_scalar_functions(spark, d):
     """The text helpers over whole pages: lines, trimming, splitting, numbers, rounding, labels."""
     html, path = F.col("html"), url.path(F.col("url"))
-    number_part = F.regexp_extract(path, "([0-9]+)", 1)
+    n = F.col("page_id")
+    shown = F.expr(
+        "CASE page_id % 9 WHEN 0 THEN concat('-', page_id) WHEN 1 THEN concat('+', page_id, '.5') WHEN 2 THEN concat(page_id, 'e2') "
+        "WHEN 3 THEN concat('1_', page_id) WHEN 4 THEN 'inf' WHEN 5 THEN concat(page_id, 'd') WHEN 6 THEN '' WHEN 7 THEN concat('.', page_id) ELSE concat(page_id, '.') END"
+    )
     return pages(spark, d).select(
         "page_id",
-        F.size(text.split_lines(html)).cast("long").alias("n_lines"),
+        F.size(text.split_lines(F.coalesce(html, F.lit("")))).cast("long").alias("n_lines"),
         text.strip(F.concat(F.lit("\u2003\t "), path, F.lit("\x85\n"))).alias("stripped"),
         F.substring_index("url", "#", 1).alias("before_hash"),
         F.expr(f"array_join({text.split_trimmed_sql(chr(39) + ' a ,b,' + chr(39) + ' || page_id')}, '|')").alias("parts"),
-        text.number(number_part).alias("number"),
-        text.number(F.concat(number_part, F.lit("d"))).alias("no_number"),
-        text.half_even(F.col("page_id") / 2).cast("long").alias("half_even"),
-        text.clamp(F.col("page_id") - 50).cast("long").alias("clamped"),
-        text.title_case(F.lit("structured_data")).alias("label"),
-        F.expr(text.unescape_sql("concat('&lt;', page_id, '&amp;gt;')")).alias("unescaped"),
+        text.number(shown).alias("number"),
+        text.half_even(n / 2).cast("long").alias("half_even"),
+        text.clamp(n - 50).cast("long").alias("clamped"),
+        text.title_case(F.when(n % 2 == 0, "structured_data").otherwise(F.concat(F.lit("page_"), n))).alias("label"),
+        F.expr(text.unescape_sql("concat('&lt;', page_id, '&amp;gt;&#', 65 + page_id % 26, ';&#x', hex(97 + page_id % 26), ';&eacute;&zz;&')")).alias("unescaped"),
     )
 
 
@@ -329,10 +333,12 @@ def q_ai_txt(spark, d):
     return plan.with_site(p, raw_pages(spark, d), ai).select("page_id", "origin", F.coalesce("ai_txt", F.lit(False)).alias("ai_txt"))
 
 
+def q_issue_ai_txt(spark, d):
+    return issues.ai_txt_issues(q_ai_txt(spark, d)).select("page_id", "severity", "rule", "title")
+
+
 def q_tdmrep_reference(spark, d):
-    hits = markup.project_tags("html", "a|link|area", ["href"], where="(?i)tdmrep")
-    found = F.size(F.filter(hits, lambda t: t["href"].rlike(r"(?i)tdmrep\.json"))).cast("long").alias("n_references")
-    return keep_where(pages(spark, d), ["page_id", found], "n_references > 0")
+    return signals.tdmrep_references(pages(spark, d)).select("page_id", *_long("n_references"))
 
 
 def core_queries():
@@ -387,6 +393,7 @@ def core_queries():
         "tdm_status": lambda s, d: with_signals(s, d).select("page_id", signals.tdm_status().alias("status")),
         "scalar_functions": q_scalar_functions,
         "ai_txt": q_ai_txt,
+        "issue_ai_txt": q_issue_ai_txt,
         "over_restrictive": lambda s, d: access.over_restrictive(facts(s, d)).select("origin", *_long("allowed_weight", "n_blocked")),
         "vendor_conflict": lambda s, d: access.vendor_conflict(facts(s, d)),
         "tdmrep_reference": q_tdmrep_reference,

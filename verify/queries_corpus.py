@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -11,7 +12,14 @@ from sitegauge.operators import corpus, report
 from sitegauge.plans import audit as plan
 from sitegauge.sources.overlay import overlay_pages
 from sitegauge.streaming import audit_stream as stream
-from verify.queries_core import audited, files, pages, raw_pages
+from verify.queries_core import audited, files, pages
+
+
+def shared_folder(spark):
+    """The stream's folder; a single machine without a shared folder gets a temporary one here."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sitegauge-"))
+    return stream.shared_folder(spark)
 
 
 def patterns(spark, d):
@@ -22,14 +30,25 @@ def means(spark, d):
     return corpus.site_means(patterns(spark, d))
 
 
+_ISSUE = "severity:string,category:string,title:string,description:string,recommendation:string,details:map<string,variant>"
+_SCORE = "category:string,value:int,max_value:int"
+
+
 def _fields(reports, **paths):
-    return reports.select("page_id", *[F.get_json_object("report", p).alias(n) for n, p in paths.items()])
+    """Every issue and score of each document, and some single values."""
+    doc = reports.withColumn("v", F.parse_json("report")).withColumn("issues", F.expr(f"variant_get(v, '$.issues', 'array<struct<{_ISSUE}>>')"))
+    doc = doc.withColumn("scores", F.expr(f"variant_get(v, '$.scores', 'array<struct<{_SCORE}>>')"))
+    texts = "i -> trim(i.description) = '' OR trim(i.recommendation) = '' OR contains(i.description || i.recommendation || i.title, '{')"
+    return doc.select(
+        "page_id", F.expr("array_join(transform(issues, i -> concat_ws('|', i.severity, i.category, i.title)), ';')").alias("issues"),
+        F.expr("array_join(transform(issues, i -> coalesce(try_variant_get(i.details['bot'], '$', 'string'), '-')), ',')").alias("bots"),
+        F.expr(f"size(filter(issues, {texts}))").cast("long").alias("n_bad_texts"),
+        F.expr("array_join(transform(scores, s -> concat_ws(':', s.category, s.value, s.max_value)), ';')").alias("scores"),
+        *[F.get_json_object("report", p).alias(n) for n, p in paths.items()],
+    )
 
 
-_COMMON = dict(
-    url="$.url", overall_score="$.overall_score", first_category="$.scores[0].category", second_value="$.scores[1].value",
-    first_title="$.issues[0].title", first_details_bot="$.issues[0].details.bot",
-)
+_COMMON = dict(url="$.url", overall_score="$.overall_score")
 
 
 def q_report_json(spark, d):
@@ -45,31 +64,27 @@ def q_report_json_full(spark, d):
 
 
 def q_report_tables(spark, d):
-    """Tables written and read back: rows per table and category."""
-    folder = stream.shared_folder(spark)
+    """The three tables written and read back: scores and issues joined to their pages."""
+    folder = shared_folder(spark)
     report.write_tables(audited(spark, d), folder)
-    parts = [
-        spark.read.parquet(f"{folder}/{t}").groupBy("category").agg(F.count("*").alias("n_rows")).withColumn("report", F.lit(t))
-        for t in ("scores", "issues")
-    ]
-    return parts[0].unionByName(parts[1])
+    kept, scores, found = (spark.read.parquet(f"{folder}/{t}") for t in ("pages", "scores", "issues"))
+    totals = kept.select("page_id", "overall_score", F.col("issue_count").cast("long").alias("issue_count"))
+    rows = scores.select("page_id", F.lit("scores").alias("report"), "category", F.col("value").cast("string").alias("what")).unionByName(
+        found.select("page_id", F.lit("issues").alias("report"), "category", F.concat_ws(":", "rule", "key").alias("what"))
+    )
+    return rows.join(totals, "page_id")
 
 
 def q_audit_diff(spark, d):
-    snapshots = []
-    for shift in (0, 1):
-        a = audited(spark, d, shift=shift, brief=True)
-        codes = a.select("url", F.inline_outer("issues")).filter("rule IS NOT NULL")
-        snapshots.append(codes.select("url", "rule", "key"))
-    return corpus.audit_diff(*snapshots)
+    return corpus.audit_diff(*[corpus.issue_codes(audited(spark, d, shift=shift, brief=True)) for shift in (0, 1)])
 
 
 def q_audit_stream(spark, d):
     """Pages as a file stream against stored site facts."""
-    folder = stream.shared_folder(spark)
+    folder = shared_folder(spark)
     sites = stream.store(plan.site_table(files(spark, d)), f"{folder}/sites")
     source = (
-        spark.readStream.schema(raw_pages(spark, d).schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+        spark.readStream.schema(spark.read.parquet(f"{d}/pages.parquet").schema).option("pathGlobFilter", "pages.parquet").parquet(d)
     )
     live = stream.audit_stream(overlay_pages(source), sites)
     done = stream.run_available(live, f"{folder}/out", f"{folder}/checkpoint")
@@ -84,6 +99,7 @@ def corpus_queries():
         "issue_rollup": lambda s, d: corpus.issue_rollup(patterns(s, d)),
         "site_ranking": lambda s, d: corpus.site_ranking(means(s, d)).withColumn("site_rank", F.col("site_rank").cast("long")),
         "site_ranking_worst": lambda s, d: corpus.worst_sites(means(s, d), 10),
+        "site_ranking_best": lambda s, d: corpus.best_sites(means(s, d), 10),
         "bot_block_rate": lambda s, d: corpus.bot_block_rate(pages(s, d), files(s, d)),
         "policy_mix": lambda s, d: corpus.policy_mix(pages(s, d), files(s, d)),
         "peer_compare": lambda s, d: corpus.peer_compare(means(s, d)),
