@@ -15,8 +15,10 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -27,33 +29,41 @@ from sitegauge.llm.common import row_key, stored
 
 _STABLE = " \t\n\r"
 _PARTS = re.compile(rf"[^{_STABLE}]+")
-_KEPT, _LONGEST = 400_000, 64
+_KEPT, _LONGEST, _AT_ONCE = 150_000, 64, 2_000
 
 
+@lru_cache(maxsize=1)
 def _encoder(path: str):
+    """The encoder of this worker process; its tasks are the parallelism, so it starts no threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
 def word_counter(path: str) -> Callable[[list[str]], list[int]]:
     """Token counts of texts; parts between proven boundaries are encoded once and remembered."""
     encoder, known = _encoder(path), {}
 
+    def sizes_of(new: list[str]) -> Iterator[tuple[str, int]]:
+        for low in range(0, len(new), _AT_ONCE):
+            some = new[low : low + _AT_ONCE]
+            for p, e in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                yield p, len(e.ids)
+
     def count(texts: list[str]) -> list[int]:
-        parts = [_PARTS.findall(t) for t in texts]
-        new = list({p for some in parts for p in some if p not in known})
-        if len(known) + len(new) > _KEPT:
-            known.clear()
-            new = list({p for some in parts for p in some})
-        sizes = {p: len(e.ids) for p, e in zip(new, encoder.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        seen = known | sizes if len(new) > _KEPT else known
-        if seen is known:
-            known.update(sizes)
-        out = [sum(map(seen.__getitem__, some)) for some in parts]
-        for p in new:
-            if len(p) > _LONGEST:
-                known.pop(p, None)
+        out = []
+        for text in texts:
+            if len(known) > _KEPT:
+                known.clear()
+            parts = _PARTS.findall(text)
+            new = list({p for p in parts if p not in known})
+            known.update(sizes_of(new))
+            out.append(sum(map(known.__getitem__, parts)))
+            for p in new:
+                if len(p) > _LONGEST:
+                    del known[p]
         return out
 
     return count
@@ -64,8 +74,7 @@ def count_column(path: str, text: str):
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = word_counter(path)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch]
-            yield pd.Series([n for low in range(0, len(texts), 200) for n in counter(texts[low : low + 200])], dtype="int64")
+            yield pd.Series(counter(["" if t is None else t for t in batch]), dtype="int64")
 
     return count(F.col(text))
 
