@@ -107,15 +107,27 @@ def wildcard_access(policies: DataFrame) -> DataFrame:
     )
 
 
-def access_for(df: DataFrame, bots: str | None = None, path: str = "'/'") -> DataFrame:
+def _requests(bots: str | None) -> str:
+    return bot_array_sql() if bots is None else named_requests_sql(bots)
+
+
+def needed_groups(policies: DataFrame, bots: str | None = None) -> DataFrame:
+    """(origin, groups) with only the groups that one of the bots is held to, chosen once per origin."""
+    ids = f"transform({group_match_sql(_requests(bots))}, m -> coalesce(m.specific_id, m.wildcard_id))"
+    chosen = policies.select("origin", "groups", F.expr(ids).alias("_ids"))
+    return chosen.select("origin", F.expr("filter(groups, g -> array_contains(_ids, g.group_id))").alias("groups"))
+
+
+def access_for(df: DataFrame, bots: str | None = None, path: str = "'/'", nested: bool = False) -> DataFrame:
     """Access for any bots and any path over rows that carry ``groups``.
 
-    ``bots`` (array of string) and ``path`` are SQL; without ``bots`` the registry is asked.
+    ``bots`` (array of string) and ``path`` are SQL; without ``bots`` the registry is asked. With
+    ``nested`` the answers stay in one array column, ``access``.
     """
-    requests = bot_array_sql() if bots is None else named_requests_sql(bots)
     keep = [c for c in df.columns if c != "groups"]
     ready = df.withColumn("groups", F.expr(f"coalesce(groups, CAST(array() AS {GROUP_TYPE}))"))
-    return ready.select(*keep, F.expr(resolve_sql(requests, path)).alias("_r")).select(*keep, F.inline_outer("_r"))
+    answered = ready.select(*keep, F.expr(resolve_sql(_requests(bots), path)).alias("access"))
+    return answered if nested else answered.select(*keep, F.inline_outer("access"))
 
 
 def over_restrictive(facts: DataFrame, allowed_at_most: int = 50) -> DataFrame:

@@ -119,6 +119,22 @@ def with_site(facts: DataFrame, pages: DataFrame, sites: DataFrame, rows_per_tas
     return join_one_per_key(facts, sites, "origin", "page_id", keys, rows_per_task)
 
 
+def path_access(
+    paths: DataFrame, policies: DataFrame, bots: str | None = None, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Access of each page (page_id, origin, path) for the registry's bots, or for ``bots`` (SQL array of names).
+
+    Each site's groups are cut down to those that some bot is held to, before they meet any path.
+    Rules are resolved once per distinct path of a site; pages get back the narrow answer only.
+    """
+    key = F.concat_ws(" ", "origin", "path").alias("_key")
+    pairs = paths.select("origin", "path").distinct()
+    ruled = join_one_per_key(pairs, access.needed_groups(policies, bots), "origin", "path", rows_per_task=rows_per_task)
+    answers = access.access_for(ruled, bots, "path", nested=True).select(key, "access")
+    joined = join_one_per_key(paths.select("page_id", "origin", "path", key), answers, "_key", "page_id", rows_per_task=rows_per_task)
+    return joined.select("page_id", "origin", "path", F.inline_outer("access"))
+
+
 def evaluate(
     joined: DataFrame,
     dimensions: Sequence[Dimension],

@@ -103,20 +103,17 @@ def q_bot_directive(spark, d):
     )
 
 
-def page_paths(spark, d):
+def _path_access(spark, d, bots=None):
     p = tables.pages_scan(raw_pages(spark, d)).select("page_id", "origin", url.path(F.col("url")).alias("path"))
-    return plan.with_site(p, raw_pages(spark, d), policies(spark, d).select("origin", "groups"))
+    return plan.path_access(p, policies(spark, d).select("origin", "groups"), bots)
 
 
 def q_longest_path_rule(spark, d):
-    got = access.access_for(page_paths(spark, d), "array('*')", "path")
-    return got.select("page_id", "path", "allowed", "matching_rule")
+    return _path_access(spark, d, "array('*')").select("page_id", "path", "allowed", "matching_rule")
 
 
 def q_bot_access_path(spark, d):
-    return access.access_for(page_paths(spark, d), None, "path").select(
-        "page_id", "path", "bot", "allowed", "reason"
-    )
+    return _path_access(spark, d).select("page_id", "path", "bot", "allowed", "reason")
 
 
 def q_page_site_join(spark, d):
