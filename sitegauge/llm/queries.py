@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitegauge.llm.chat import fit, raw_transcripts, recover
 from sitegauge.llm.decontamination import matches
 from sitegauge.llm.nearest import search
+from sitegauge.llm.oracles import ORACLES
 from sitegauge.llm.packing import pack
 from sitegauge.llm.pii import find_pii, pii_digest
 from sitegauge.llm.repeats import find_repeats
@@ -46,7 +47,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("n_words", F.col("n_words").cast("long"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +79,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same; tests/llm compares the others with brute force."""
+    return dict(ORACLES)
