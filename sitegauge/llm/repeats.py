@@ -13,8 +13,9 @@ in question lies in whole inside one phrase: it is a suffix of that phrase, cut
 Dictionary. Equal phrases are one entry. A phrase that occurs twice is repeated with all its
 strings, without looking at them. The others can share strings only with entries that agree with
 them on a stretch at the trigger, to its right or to its left, which all strings of that side hold;
-only those are opened. Their cut suffixes are brought in order over the whole corpus and equal ones
-meet. Equality is all that is asked, so the order is that of 128-bit fingerprints, not of letters.
+only those are opened. Their cut suffixes, in blocks where many are alike, are brought in order over
+the whole corpus and equal ones meet. Equality is all that is asked, so the order is that of 128-bit
+fingerprints, not of letters.
 
 Texts that occur in several rows are repeated in full if they have ``length`` bytes. Null counts as
 empty; texts shorter than ``length`` lose nothing. Extra columns are ignored. An empty table gives
@@ -36,7 +37,8 @@ from sitegauge.llm.common import row_key, small_side, stored
 
 TEXT, PHRASE = ["_h1", "_h2"], ["d1", "d2"]
 GRAM = 32
-_BLOCK = 1 << 20
+BLOCK = 16  # places by distance to the trigger that are first looked at together
+_PART = 1 << 20
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -59,8 +61,8 @@ def parse(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
         return (np.zeros(0, np.int64),) * 3
     span = length - GRAM + 1
     firsts, triggers, seen = [], [], -1
-    for low in range(0, count, _BLOCK):
-        high = min(count, low + _BLOCK)
+    for low in range(0, count, _PART):
+        high = min(count, low + _PART)
         hashes = rolling(data[low : high + length - 1])
         least = (hashes.astype(np.uint64) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
         width = 1
@@ -78,12 +80,17 @@ def parse(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return first, np.concatenate((first[1:], [count])) - 1, trigger
 
 
-def _digests(parts: Iterator[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _digests(parts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
     digest = xxhash.xxh3_128_digest
-    both = np.frombuffer(b"".join([digest(p, seed) for p in parts]), dtype="<i8").reshape(-1, 2)
+    both = np.frombuffer(b"".join([digest(p) for p in parts]), dtype="<i8").reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
 
+def _screens(parts: Iterator[bytes], seed: int) -> np.ndarray:
+    digest = xxhash.xxh3_64_digest
+    return np.frombuffer(b"".join([digest(p, seed)[::-1] for p in parts]), dtype="<i8")
+
+
 def _phrase_rows(length: int):
     """Maps (_h1, _h2, text) to phrases with digests of the whole, and of what stands right and left of the trigger."""
     half = (length - GRAM) // 2
@@ -98,39 +105,82 @@ def _phrase_rows(length: int):
                     a, b, t = first[some].tolist(), last[some].tolist(), trigger[some].tolist()
                     n = len(a)
                     d1, d2 = _digests(data[x : y + length] for x, y in zip(a, b, strict=True))
-                    r1, r2 = _digests((data[z : z + length - half] for z in t), 1)
-                    l1, l2 = _digests((data[max(0, z - half - 1) : z + GRAM] for z in t), 2)
+                    right = _screens((data[z : z + length - half] for z in t), 1)
+                    left = _screens((data[max(0, z - half - 1) : z + GRAM] for z in t), 2)
                     no_right, no_left = trigger[some] - last[some] > half, trigger[some] - first[some] <= half
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, h1)), pa.array(np.full(n, h2)), pa.array(first[some]), pa.array(last[some]), pa.array(trigger[some]), pa.array(d1), pa.array(d2),
-                         pa.array(r1, mask=no_right), pa.array(r2, mask=no_right), pa.array(l1, mask=no_left), pa.array(l2, mask=no_left)],
-                        ["_h1", "_h2", "first", "last", "trigger", "d1", "d2", "r1", "r2", "l1", "l2"],
+                        [pa.array(np.full(n, h1)), pa.array(np.full(n, h2)), *(pa.array(x[some], pa.int32()) for x in (first, last, trigger)),
+                         pa.array(d1), pa.array(d2), pa.array(right, mask=no_right), pa.array(left, mask=no_left)],
+                        ["_h1", "_h2", "first", "last", "trigger", "d1", "d2", "right", "left"],
                     )
 
     return made
 
 
-def _suffix_rows(length: int):
-    """Maps (_h1, _h2, text, opened: array of (d1, d2, once, low, high)) to a digest of every string that starts at low to high."""
-    names = ["f1", "f2", "d1", "d2", "once", "_h1", "_h2", "at"]
+def _opened_rows(length: int):
+    """Maps (_h1, _h2, text, opened: array of (d1, d2, side, once, low, high, trigger)) to rows with the bytes around."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["d1", "d2", "side", "once", "_h1", "_h2", "low", "high", "trigger", "base", "s"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             for h1, h2, text, opened in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = (text or "").encode()
-                for low in range(0, len(opened), 256):
-                    some = opened[low : low + 256]
-                    at = np.concatenate([np.arange(o["low"], o["high"] + 1) for o in some])
-                    sizes = [o["high"] - o["low"] + 1 for o in some]
-                    f1, f2 = _digests(data[p : p + length] for p in at.tolist())
-                    repeat = lambda k, kind: pa.array(np.repeat(np.array([o[k] for o in some], dtype=kind), sizes))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(f1), pa.array(f2), repeat("d1", "i8"), repeat("d2", "i8"), repeat("once", bool), pa.array(np.full(len(at), h1)), pa.array(np.full(len(at), h2)), pa.array(at)], names
-                    )
+                for at in range(0, len(opened), 4096):
+                    rows = []
+                    for o in opened[at : at + 4096]:
+                        base = max(0, o["low"] - BLOCK)
+                        rows.append((o["d1"], o["d2"], o["side"], o["once"], h1, h2, o["low"], o["high"], o["trigger"], base, data[base : o["high"] + length + BLOCK]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return made
 
 
+def _met(rows: DataFrame, keys: list[str], *more) -> DataFrame:
+    """Keys that two different phrases share."""
+    pair = F.struct(*PHRASE)
+    return rows.groupBy(*keys).agg(F.min(pair).alias("a"), F.max(pair).alias("b"), *more).filter(F.col("a") != F.col("b")).drop("a", "b")
+
+
+def shared_strings(opened: DataFrame, length: int) -> DataFrame:
+    """(_h1, _h2, low, high): strings of phrases that occur once which another opened phrase holds too.
+
+    The places of a side are taken in blocks by their distance to the trigger. If all that the
+    strings of a block cover together is shared, so are all of them; if what they have in common is
+    not, none is. Only blocks in between are looked at string by string, against one phrase of each
+    kind that shares the common part.
+    """
+
+    def digest(kind: int, sub: str) -> str:
+        return ", ".join(f"'{n}{i}', xxhash64({kind + i}, k, {sub})" for n, i in (("f", 1), ("f", 2)))
+
+    first = f"(trigger - {BLOCK} * k - {BLOCK - 1})"
+    whole = f"substring(s, {first} - base + 1, {length + BLOCK - 1})"
+    common = f"substring(s, trigger - {BLOCK} * k - base + 1, {length - BLOCK + 1})"
+    there = f"{first} >= base and {first} + {length + BLOCK - 1} <= base + octet_length(s)"
+    blocks = opened.select("d1", "d2", "side", "once", *TEXT, "low", "high", "trigger", F.expr(f"""explode(transform(
+        sequence((trigger - high) div {BLOCK}, (trigger - low) div {BLOCK}), k -> named_struct('k', k,
+        'u', if({there}, named_struct({digest(10, whole)}), null), 'c', named_struct({digest(20, common)}))))""").alias("x"))
+    blocks = stored(blocks.select("d1", "d2", "side", "once", *TEXT, "low", "high", "trigger", "x.*"))
+    unions = _met(blocks.filter("u is not null"), ["u"])
+    marked = stored(blocks.join(unions.withColumn("all", F.lit(True)), "u", "left").withColumn("all", F.coalesce("all", F.lit(False))))
+    clipped = [F.greatest("low", F.expr(first)).alias("low"), F.least("high", F.expr(f"trigger - {BLOCK} * k")).alias("high")]
+    whole_blocks = marked.filter("once and all").select(*TEXT, *clipped)
+    cores = stored(_met(marked, ["c"], F.bool_or(F.expr("once and not all")).alias("ask")).filter("ask").drop("ask"))
+    near = marked.join(small_side(cores, cores.count()), "c", "left_semi")
+    ask = near.filter("once and not all").select("d1", "d2", "side", "k", F.lit(True).alias("asks"))
+    # phrases that share a whole block stand for each other; at the ends of texts there is no whole block
+    own = F.when(F.col("u").isNull(), F.struct(*PHRASE)).alias("own")
+    known = near.filter("not once or all").groupBy("c", "u", "side", own).agg(F.min(F.struct("d1", "d2", "side", "k")).alias("r"))
+    wanted = ask.unionByName(known.select("r.*", F.lit(False).alias("asks")))
+    strings = wanted.join(opened, [*PHRASE, "side"]).select("d1", "d2", "asks", *TEXT, "s", "base", *clipped)
+    places = strings.select("d1", "d2", "asks", *TEXT, F.expr(f"""explode(transform(sequence(low, high), k -> named_struct('at', k,
+        'f', named_struct({digest(30, f'substring(s, k - base + 1, {length})').replace(', k, ', ', ')}))))""").alias("x"))
+    places = stored(places.select("d1", "d2", "asks", *TEXT, "x.*"))
+    single = places.filter("asks").join(_met(places, ["f"]), "f").select(*TEXT, F.col("at").alias("low"), F.col("at").alias("high"))
+    return whole_blocks.unionByName(single)
+
+
 def covered(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal runs [a, b) covered by the strings that start at low to high."""
     out: list[tuple[int, int]] = []
@@ -172,30 +222,31 @@ def find_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id",
     source = source.select("doc_id", *row_key("text"), "text")
     rows = source.select("doc_id", *TEXT, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     copies = stored(rows.groupBy(*TEXT).agg(F.count("*").alias("copies"), F.max("n_bytes").alias("size")).filter((F.col("copies") > 1) & (F.col("size") >= length)).select(*TEXT))
-    schema = "_h1 long, _h2 long, first long, last long, trigger long, d1 long, d2 long, r1 long, r2 long, l1 long, l2 long"
+    schema = "_h1 long, _h2 long, first int, last int, trigger int, d1 long, d2 long, right long, left long"
     phrases = stored(source.select(*TEXT, "text").filter(F.octet_length("text") >= length).mapInArrow(_phrase_rows(length), schema))
 
     # dictionary: one entry per distinct phrase, with one place where it stands
-    place = F.struct(*TEXT, "first", "last", "trigger", "r1", "r2", "l1", "l2")
+    place = F.struct(*TEXT, "first", "last", "trigger", "right", "left")
     entries = phrases.groupBy(*PHRASE).agg(F.min(place).alias("at"), F.max(F.struct(*TEXT, "first")).alias("other"))
     once = (F.col("at._h1") == F.col("other._h1")) & (F.col("at._h2") == F.col("other._h2")) & (F.col("at.first") == F.col("other.first"))
     dictionary = stored(entries.select(*PHRASE, "at.*", once.alias("once")))
 
     # sides of entries that agree with another entry on the stretch at the trigger
-    right = F.struct(F.lit(1).alias("side"), F.col("r1").alias("k1"), F.col("r2").alias("k2"), F.greatest("first", F.col("trigger") - half).alias("low"), F.col("last").alias("high"))
-    left = F.struct(F.lit(2).alias("side"), F.col("l1").alias("k1"), F.col("l2").alias("k2"), F.col("first").alias("low"), F.least("last", F.col("trigger") - half - 1).alias("high"))
-    sides = dictionary.select(*PHRASE, *TEXT, "once", F.explode(F.array(right, left)).alias("s")).select(*PHRASE, *TEXT, "once", "s.*").filter("k1 is not null")
-    met = sides.groupBy("side", "k1", "k2").agg(F.min(F.struct(*PHRASE)).alias("a"), F.max(F.struct(*PHRASE)).alias("b"), F.bool_or("once").alias("open"))
-    opened = sides.join(met.filter((F.col("a") != F.col("b")) & F.col("open")).select("side", "k1", "k2"), ["side", "k1", "k2"])
-    by_text = stored(opened.groupBy(*TEXT).agg(F.collect_list(F.struct(*PHRASE, "once", "low", "high")).alias("opened")))
+    right = F.struct(F.lit(1).alias("side"), F.col("right").alias("key"), F.greatest("first", F.col("trigger") - half).alias("low"), F.col("last").alias("high"))
+    left = F.struct(F.lit(2).alias("side"), F.col("left").alias("key"), F.col("first").alias("low"), F.least("last", F.col("trigger") - half - 1).alias("high"))
+    sides = dictionary.select(*PHRASE, *TEXT, "once", "trigger", F.explode(F.array(right, left)).alias("s")).select(*PHRASE, *TEXT, "once", "trigger", "s.*").filter("key is not null")
+    met = stored(_met(sides, ["side", "key"], F.bool_or("once").alias("open")).filter("open").drop("open"))
+    found = sides.join(small_side(met, met.count()), ["side", "key"], "left_semi")
+    by_text = stored(found.groupBy(*TEXT).agg(F.collect_list(F.struct(*PHRASE, "side", "once", "low", "high", "trigger")).alias("opened")))
     texts = source.select(*TEXT, "text").join(small_side(by_text.select(*TEXT), by_text.count()), TEXT, "left_semi").groupBy(*TEXT).agg(F.first("text").alias("text"))
-    suffixes = stored(
-        texts.join(by_text, TEXT).select(*TEXT, "text", "opened")
-        .mapInArrow(_suffix_rows(length), "f1 long, f2 long, d1 long, d2 long, once boolean, _h1 long, _h2 long, at long")
+    opened = stored(
+        texts.join(by_text, TEXT).select(*TEXT, "text", "opened").mapInArrow(
+            _opened_rows(length), "d1 long, d2 long, side int, once boolean, _h1 long, _h2 long, low int, high int, trigger int, base int, s binary"
+        )
     )
-    shared = suffixes.groupBy("f1", "f2").agg(F.min(F.struct(*PHRASE)).alias("a"), F.max(F.struct(*PHRASE)).alias("b")).filter(F.col("a") != F.col("b")).select("f1", "f2")
-    single = suffixes.filter("once").join(shared, ["f1", "f2"]).select(*TEXT, F.col("at").alias("low"), F.col("at").alias("high"))
-    known = phrases.join(dictionary.filter("not once").select(*PHRASE), PHRASE).select(*TEXT, F.col("first").alias("low"), F.col("last").alias("high"))
+    single = shared_strings(opened, length)
+    repeated = dictionary.filter("not once").select(*PHRASE)
+    known = phrases.join(small_side(repeated, repeated.count()), PHRASE, "left_semi").select(*TEXT, F.col("first").alias("low"), F.col("last").alias("high"))
     starts = single.unionByName(known).join(copies, TEXT, "left_anti").distinct()
     grouped = stored(starts.groupBy(*TEXT).agg(F.collect_list(F.struct("low", "high")).alias("starts")))
     some = source.select(*TEXT, "text").join(small_side(grouped.select(*TEXT), grouped.count()), TEXT, "left_semi")

@@ -304,7 +304,7 @@ def test_repeats(docs, rows, length):
 def test_phrases_do_not_depend_on_blocks(monkeypatch):
     data = np.frombuffer(prose(__import__("random").Random(4), 3000).encode(), dtype=np.uint8)
     whole = repeats.parse(data, 400)
-    monkeypatch.setattr(repeats, "_BLOCK", 1000)
+    monkeypatch.setattr(repeats, "_PART", 1000)
     assert all((a == b).all() for a, b in zip(whole, repeats.parse(data, 400), strict=True))
 
 
