@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.llm.common import stored
+
 _WORD = re.compile(r"[^\W_]+")
 _SPACE = 1 << 22
 _STARTS = (4, 5, 6, 7)
@@ -129,29 +131,36 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, l
                     out.append((int(toxic), n, list(whole), list(whole.values()), list(part), list(part.values())))
                 yield pd.DataFrame(out, columns=["toxic", "n", "words", "wn", "parts", "pn"])
 
-    made = sampled.mapInPandas(extract, "toxic int, n int, words array<int>, wn array<int>, parts array<int>, pn array<int>").toPandas()
-    toxic = made["toxic"].to_numpy() if len(made) else np.zeros(0, dtype=int)
-    if not len(made) or toxic.min() == toxic.max():
+    made = stored(sampled.mapInPandas(extract, "toxic int, n int, words array<int>, wn array<int>, parts array<int>, pn array<int>"))
+    size, bad_share = made.agg(F.count("*"), F.avg("toxic")).first()
+    if not size or bad_share in (0, 1):
         return Severity({}, (50.0, 51.0, 52.0))
-    columns = [np.concatenate((np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64))) for a, b in zip(made["words"], made["parts"], strict=True)]
-    counts = [np.concatenate((np.asarray(a, dtype=float), np.asarray(b, dtype=float))) for a, b in zip(made["wn"], made["pn"], strict=True)]
-    rows = np.repeat(np.arange(len(made)), [len(c) for c in columns])
-    cols, vals = np.concatenate(columns), np.concatenate(counts)
-    seen = np.bincount(cols, minlength=_SPACE)
-    bad = np.bincount(cols[toxic[rows] == 1], minlength=_SPACE)
-    base = toxic.mean()
-    told = (seen >= 4) & (bad >= np.minimum(2 * base, 0.5 + base / 2) * seen)  # at least twice as usual in toxic texts
-    strong = (seen >= 4) & (bad >= 0.8 * seen)
-    words = np.zeros(_SPACE, dtype=bool)
-    words[np.concatenate([np.asarray(a, dtype=np.int64) for a in made["words"]] or [np.zeros(0, np.int64)])] = True
-    n = np.maximum(made["n"].to_numpy(), 1)
-    dense = np.bincount(rows, weights=vals * (strong & words)[cols], minlength=len(made)) / n
+    # features at least twice as usual in toxic texts; the sample bounds how many there can be
+    bar = min(2 * bad_share, 0.5 + bad_share / 2)
+    counted = made.select("toxic", F.explode(F.concat("words", "parts")).alias("f")).groupBy("f").agg(F.count("*").alias("seen"), F.sum("toxic").alias("bad"))
+    told = counted.filter((F.col("seen") >= 4) & (F.col("bad") >= bar * F.col("seen"))).toPandas()
+    ids = np.sort(told["f"].to_numpy(dtype=np.int64))
+    strong = np.sort(told.loc[told["bad"] >= 0.8 * told["seen"], "f"].to_numpy(dtype=np.int64))
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for toxic, n, words, wn, parts, pn in b.itertuples(index=False):
+                features, counts = np.concatenate((words, parts)).astype(np.int64), np.concatenate((wn, pn)).astype(np.int32)
+                keep = np.isin(features, ids)
+                severe = int(np.asarray(wn)[np.isin(words, strong)].sum())
+                out.append((toxic, n, severe, np.searchsorted(ids, features[keep]).astype(np.int32), counts[keep]))
+            yield pd.DataFrame(out, columns=["toxic", "n", "severe", "at", "count"])
+
+    rest = made.mapInPandas(narrow, "toxic int, n int, severe int, at array<int>, count array<int>").toPandas()
+    toxic, n = rest["toxic"].to_numpy(), np.maximum(rest["n"].to_numpy(), 1)
+    dense = rest["severe"].to_numpy() / n
     thirds = np.quantile(dense[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (dense > thirds[0]) + (dense > thirds[1]), 0)
-    keep = told[cols]
-    ids, at = np.unique(cols[keep], return_inverse=True)
-    x = np.log1p(1000.0 * vals[keep] / np.maximum(n[rows[keep]], 20))
-    w, theta = _fit_ordinal(rows[keep], at, x, grade, len(ids), l1, steps)
+    rows = np.repeat(np.arange(len(rest)), rest["at"].map(len).to_numpy())
+    at = np.concatenate(rest["at"].to_list() or [np.zeros(0, int)]).astype(np.int64)
+    x = np.log1p(1000.0 * np.concatenate(rest["count"].to_list() or [np.zeros(0)]) / np.maximum(n[rows], 20))
+    w, theta = _fit_ordinal(rows, at, x, grade, len(ids), l1, steps)
     return Severity({int(f): float(v) for f, v in zip(ids, w, strict=True) if v != 0}, tuple(map(float, theta)))
 
 
