@@ -163,7 +163,10 @@ def shared_strings(opened: DataFrame, length: int) -> DataFrame:
         'u', if({there}, named_struct({digest(10, whole)}), null), 'c', named_struct({digest(20, common)}))))""").alias("x"))
     blocks = stored(blocks.select("d1", "d2", "side", "once", *TEXT, "low", "high", "trigger", "x.*"))
     unions = _met(blocks.filter("u is not null"), ["u"])
-    marked = stored(blocks.join(unions.withColumn("all", F.lit(True)), "u", "left").withColumn("all", F.coalesce("all", F.lit(False))))
+    # blocks at the ends of texts have no u; they would all meet in one task of the join
+    inner, ends = blocks.filter("u is not null"), blocks.filter("u is null").withColumn("all", F.lit(False))
+    inner = inner.join(unions.withColumn("all", F.lit(True)), "u", "left").withColumn("all", F.coalesce("all", F.lit(False)))
+    marked = stored(inner.unionByName(ends))
     clipped = [F.greatest("low", F.expr(first)).alias("low"), F.least("high", F.expr(f"trigger - {BLOCK} * k")).alias("high")]
     whole_blocks = marked.filter("once and all").select(*TEXT, *clipped)
     cores = stored(_met(marked, ["c"], F.bool_or(F.expr("once and not all")).alias("ask")).filter("ask").drop("ask"))
