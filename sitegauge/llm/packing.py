@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
 def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
     """Ids as ``tokenizers`` gives them for a byte-level BPE file whose ids are in merge order.
 
@@ -41,7 +43,10 @@ def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
+    @lru_cache(maxsize=1)
+    def exact() -> Tokenizer:
+        return Tokenizer.from_file(path)
+
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -51,7 +56,7 @@ def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
 
     def encode(text: str) -> np.ndarray:
         if _LONG_RUN.search(text):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(exact().encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
 
     return encode
