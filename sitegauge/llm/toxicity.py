@@ -33,7 +33,7 @@ from sitegauge.llm.common import stored
 _WORD = re.compile(r"[^\W_]+")
 _SPACE = 1 << 22
 _STARTS = (4, 5, 6, 7)
-_KEPT = 300_000
+_KEPT = 100_000
 GRADES = 4
 
 
