@@ -18,6 +18,8 @@ text count once. Extra columns are ignored. An empty table gives an empty result
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,12 +94,19 @@ def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
     return {"moves": log_moves, "marker": table("marker", len(ROLES) + 1), "size": table("size", len(_LENGTHS) + 1), "asks": table("asks", 2)}
 
 
-def emissions(model: dict[str, np.ndarray], lines: pd.DataFrame) -> np.ndarray:
-    return sum(model[f][:, lines[f].to_numpy()].T for f in ("marker", "size", "asks"))
+FEATURES = ("marker", "size", "asks")
+
 
+def observed(lines: DataFrame) -> DataFrame:
+    """(ck, seg, keys, marker, size, asks): the lines of each segment in order, as arrays."""
+    row = F.struct(F.col("pos").isNull().alias("late"), "pos", "_h1", "_h2", "line_no", *FEATURES)
+    rows = lines.groupBy("ck", "seg").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    keys = F.transform("rows", lambda r: F.struct(r["_h1"].alias("_h1"), r["_h2"].alias("_h2"), r["line_no"].alias("line_no")))
+    return rows.select("ck", "seg", keys.alias("keys"), *[F.expr(f"transform(rows, r -> r.{f})").alias(f) for f in FEATURES])
 
-def ordered(lines: pd.DataFrame) -> pd.DataFrame:
-    return lines.sort_values(["pos", "_h1", "_h2", "line_no"], na_position="last", kind="stable").reset_index(drop=True)
+
+def emissions(model: dict[str, np.ndarray], *features) -> np.ndarray:
+    return sum(model[name][:, np.asarray(values)].T for name, values in zip(FEATURES, features, strict=True))
 
 
 def path_matrix(model: dict[str, np.ndarray], seen: np.ndarray) -> np.ndarray:
@@ -122,13 +131,14 @@ def best_path(model: dict[str, np.ndarray], seen: np.ndarray, enter: int, leave:
     return path
 
 
-def _joints(model: dict[str, np.ndarray], lines: DataFrame) -> DataFrame:
+def _joints(model: dict[str, np.ndarray], segments: DataFrame) -> DataFrame:
     """(ck, seg, enter, leave): the states before and at the end of each segment."""
     shape = (STATES + 1, STATES)
 
-    def reduce_lines(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        made = path_matrix(model, emissions(model, ordered(group)))
-        return pd.DataFrame({"ck": [key[0]], "seg": [key[1]], "m": [made.ravel()]})
+    def reduce_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [path_matrix(model, emissions(model, *row)).ravel() for row in zip(*(b[f] for f in FEATURES), strict=True)]
+            yield pd.DataFrame({"ck": b["ck"], "seg": b["seg"], "m": made})
 
     def matrices(group: pd.DataFrame) -> list[np.ndarray]:
         return [np.asarray(m).reshape(shape) for m in group.sort_values("seg")["m"]]
@@ -154,14 +164,25 @@ def _joints(model: dict[str, np.ndarray], lines: DataFrame) -> DataFrame:
         leaves.reverse()
         return pd.DataFrame({"ck": group["ck"].to_numpy(), "seg": group["seg"].to_numpy(), "enter": [enter, *leaves[:-1]], "leave": leaves})
 
-    levels = [stored(lines.select("ck", "seg", "pos", "_h1", "_h2", "line_no", "marker", "size", "asks").groupBy("ck", "seg").applyInPandas(reduce_lines, "ck string, seg long, m array<double>"))]
-    while (levels[-1].groupBy("ck").count().agg(F.max("count")).first()[0] or 0) > 1:
-        levels.append(stored(levels[-1].withColumn("seg", F.floor(F.col("seg") / FAN).cast("long")).groupBy("ck", "seg").applyInPandas(combine, "ck string, seg long, m array<double>")))
-    row = F.slice("m", START * STATES + 1, STATES)
-    chosen = levels[-1].select("ck", "seg", F.lit(START).alias("enter"), (F.array_position(row, F.array_max(row)) - 1).cast("int").alias("leave"))
-    for level in reversed(levels[:-1]):
+    def choose(whole: DataFrame) -> DataFrame:
+        row = F.slice("m", START * STATES + 1, STATES)
+        return whole.select("ck", "seg", F.lit(START).alias("enter"), (F.array_position(row, F.array_max(row)) - 1).cast("int").alias("leave"))
+
+    # conversations of one piece are settled at once; only the others go up the tree
+    rest = stored(segments.select("ck", "seg", *FEATURES).mapInPandas(reduce_lines, "ck string, seg long, m array<double>"))
+    settled, levels = [], []
+    while True:
+        split_up = stored(rest.groupBy("ck").count().filter("count > 1").select("ck"))
+        settled.append(rest.join(split_up, "ck", "left_anti"))
+        if split_up.isEmpty():
+            break
+        levels.append(stored(rest.join(split_up, "ck", "left_semi")))
+        parents = levels[-1].withColumn("seg", F.floor(F.col("seg") / FAN).cast("long"))
+        rest = stored(parents.groupBy("ck", "seg").applyInPandas(combine, "ck string, seg long, m array<double>"))
+    chosen = choose(settled.pop())
+    for level in reversed(levels):
         both = level.withColumn("up", F.floor(F.col("seg") / FAN).cast("long")).join(chosen.withColumnRenamed("seg", "up"), ["ck", "up"])
-        chosen = stored(both.groupBy("ck", "up").applyInPandas(split, "ck string, seg long, enter int, leave int"))
+        chosen = choose(settled.pop()).unionByName(stored(both.groupBy("ck", "up").applyInPandas(split, "ck string, seg long, enter int, leave int")))
     return chosen
 
 
@@ -169,15 +190,18 @@ def recover(blocks: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """conv_id, turn and line at which a turn starts, its role, number of lines, text and rendering."""
     lines = stored(lines_of(blocks))
 
-    def decode(group: pd.DataFrame) -> pd.DataFrame:
-        group = ordered(group)
-        path = best_path(model, emissions(model, group), int(group["enter"].iloc[0]), int(group["leave"].iloc[0]))
-        at = np.arange(len(path))
-        starts = np.maximum.accumulate(np.where(path % 2 == 0, at, -1))
-        return group[["ck", "seg", "_h1", "_h2", "line_no"]].assign(at=at, role_no=path // 2, start=starts)
-
-    small = lines.select("ck", "seg", "pos", "_h1", "_h2", "line_no", "marker", "size", "asks").join(_joints(model, lines), ["ck", "seg"])
-    states = stored(small.groupBy("ck", "seg").applyInPandas(decode, "ck string, seg long, _h1 long, _h2 long, line_no int, at long, role_no int, start long"))
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ends, seen = zip(b["enter"], b["leave"], strict=True), zip(*(b[f] for f in FEATURES), strict=True)
+            paths = [best_path(model, emissions(model, *row), enter, leave) for (enter, leave), row in zip(ends, seen, strict=True)]
+            starts = [np.maximum.accumulate(np.where(p % 2 == 0, np.arange(len(p)), -1)) for p in paths]
+            yield pd.DataFrame({"ck": b["ck"], "seg": b["seg"], "roles": [p // 2 for p in paths], "starts": starts})
+
+    segments = stored(observed(lines))
+    known = segments.join(_joints(model, segments), ["ck", "seg"]).select("ck", "seg", "enter", "leave", *FEATURES)
+    paths = known.mapInPandas(decode, "ck string, seg long, roles array<int>, starts array<long>")
+    zipped = segments.select("ck", "seg", "keys").join(paths, ["ck", "seg"]).select("ck", "seg", F.posexplode(F.arrays_zip("keys", "roles", "starts")).alias("at", "x"))
+    states = stored(zipped.select("ck", "seg", "x.keys.*", F.col("at").cast("long").alias("at"), F.col("x.roles").alias("role_no"), F.col("x.starts").alias("start")))
     ends = states.groupBy("ck", "seg").agg(F.max("start").alias("start"))
     earlier = Window.partitionBy("ck").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("ck", "seg", F.last(F.when(F.col("start") >= 0, F.struct(F.col("seg").alias("s"), F.col("start").alias("i"))), ignorenulls=True).over(earlier).alias("open"))

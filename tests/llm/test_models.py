@@ -73,7 +73,7 @@ def test_viterbi_equals_all_paths():
     n = chat.STATES
     model = {"moves": np.log(rng.dirichlet(np.ones(n), n + 1)), "marker": np.log(rng.dirichlet(np.ones(4), n)), "size": np.log(rng.dirichlet(np.ones(8), n)), "asks": np.log(rng.dirichlet(np.ones(2), n))}
     lines = pd.DataFrame({"marker": rng.integers(0, 4, 5), "size": rng.integers(0, 8, 5), "asks": rng.integers(0, 2, 5)})
-    seen = chat.emissions(model, lines)
+    seen = chat.emissions(model, lines.marker, lines["size"], lines.asks)
 
     def weight(path):
         return model["moves"][chat.START, path[0]] + sum(model["moves"][a, b] for a, b in itertools.pairwise(path)) + sum(seen[t, s] for t, s in enumerate(path))
