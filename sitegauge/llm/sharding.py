@@ -2,9 +2,11 @@
 
 Documents with equal texts are linked. Every linked document starts in a hash shard. In each round
 the copies of a text that lie in one shard look at their neighbours' shards and move to the one
-that holds most of them, as far as the quota of that shard (an even share of all bytes) has room;
-moves with more neighbours come first. Copies that outgrow one shard gather in several, each filled
-in turn. Documents without links cut no edge wherever they lie, so they even out the sizes: they
+that holds most of them (first of all one with room for the whole group), as far as the quota of that shard (an even share of all bytes) has room;
+moves with more neighbours come first. A move larger than the room is not asked for and takes none
+of it, so the copies of a hot text do not block others. Rounds go on until no move fits; each move
+leaves a text in one shard less, so they end. Copies that outgrow one shard gather in several, each
+filled in turn. Documents without links cut no edge wherever they lie, so they even out the sizes: they
 fill the shards up to a common level, the long ones first and the short ones last.
 
 Only DataFrame functions are used. Rows move as numbers; no text is shuffled. Null texts count zero
@@ -32,19 +34,24 @@ def _by_shard(values: list[int], shard: str = "shard") -> Column:
     return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col(shard))
 
 
-def propagate(cells: DataFrame, shards: int, share: int, rounds: int) -> DataFrame:
+def propagate(cells: DataFrame, shards: int, share: int) -> DataFrame:
     """Cells (group, home shard, n copies) with the shard that each ends in, as ``shard``."""
     state = stored(cells.withColumn("shard", F.col("home")))
-    for _ in range(rounds):
+    while True:
         units = state.groupBy(*GROUP, "shard").agg(F.sum("n").alias("w")).withColumn("bytes", F.col("w") * F.col("size"))
         units = stored(units)
         room = [share - x for x in _loads(units, shards, "bytes")]
-        order = Window.partitionBy(*GROUP).orderBy((_by_shard(room) >= F.col("size")).desc(), F.col("w").desc(), "shard")
+        # a shard with room for all the rest of the group, else for the least move, else none; ties spread over the shards
+        whole = Window.partitionBy(*GROUP)
+        rest, least = F.sum("bytes").over(whole) - F.col("bytes"), F.min("bytes").over(whole)
+        units = units.withColumn("fit", F.when(_by_shard(room) >= rest, 2).when(_by_shard(room) >= least, 1).otherwise(0)).withColumn("tie", F.xxhash64("g", "shard"))
+        leaders = [F.desc("fit"), F.desc("w"), "tie", "shard"]
+        order = whole.orderBy(*leaders)
         before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         # neighbours that fit one shard together; the first of them leads
         placed = units.withColumn("block", F.floor(before / F.lit(max(1, share))))
-        lead = Window.partitionBy(*GROUP, "block").orderBy((_by_shard(room) >= F.col("size")).desc(), F.col("w").desc(), "shard")
-        moves = placed.withColumn("to", F.first("shard").over(lead)).withColumn("gain", F.col("w") * F.first("w").over(lead)).filter("to <> shard")
+        lead = Window.partitionBy(*GROUP, "block").orderBy(*leaders)
+        moves = placed.withColumn("to", F.first("shard").over(lead)).withColumn("gain", F.col("w") * F.first("w").over(lead)).filter("to <> shard").filter(F.col("bytes") <= _by_shard(room, "to"))
         asked = running_total(moves, "bytes", [*GROUP, "shard"], "asked", by=["to"], first=F.lit(63) - F.floor(F.log2(F.col("gain"))).cast("int"))
         accepted = stored(asked.filter(F.col("asked") + F.col("bytes") <= _by_shard(room, "to")).select(*GROUP, "shard", "to"))
         if accepted.isEmpty():
@@ -89,7 +96,7 @@ def fill_up(free: DataFrame, loads: list[int], parts: tuple[float, ...] = (0.5,
     return free.withColumn("shard", F.lit(0)) if out is None else out
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) for every row."""
     raw = F.col(text).cast("binary")
     rows = stored(
@@ -101,7 +108,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, id_column: str = "
     share = int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) // shards
     counted = rows.groupBy(*GROUP, "home").agg(F.count("*").alias("n"))
     cells = stored(counted.withColumn("copies", F.sum("n").over(Window.partitionBy(*GROUP))).filter("copies > 1").drop("copies"))
-    linked = propagate(cells, shards, share, rounds)
+    linked = propagate(cells, shards, share)
     placed = stored(rows.join(linked, [*GROUP, "home"], "left"))
     alone, tied = placed.filter("shard is null").drop("shard"), placed.filter("shard is not null")
     loads = _loads(tied, shards)

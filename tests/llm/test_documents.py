@@ -354,6 +354,27 @@ def test_sharding_of_copies_only(spark):
     check_shards(sharding.shard(frame(spark, rows), shards=5).collect(), rows, 5, 0.1)
 
 
+def test_sharding_gathers_small_groups_beside_a_hot_one(spark):
+    import random
+
+    rng = random.Random(1)
+
+    def text():
+        return f"{rng.getrandbits(64):016x}" + "x" * rng.randint(184, 2984)
+
+    groups = [[text()] * 1000] + [[text()] * rng.randint(2, 8) for _ in range(120)]
+    rows = list(enumerate([t for g in groups for t in g] + [text() for _ in range(1400)]))
+    got = sharding.shard(frame(spark, rows), shards=10).collect()
+    check_shards(got, rows, 10, 0.02)
+    by = defaultdict(Counter)
+    for r in got:
+        by[r.text_crc32, r.size][r.shard] += 1
+    hot = max(by, key=lambda k: sum(by[k].values()))
+    assert [k for k, c in by.items() if k != hot and len(c) > 1] == []  # no cut edge but those of the hot text
+    least = -(-1000 * hot[1] * 10 // sum(r.size for r in got))  # shards that it needs at least
+    assert least > 1 and len(by[hot]) <= least + 1
+
+
 # --- empty tables -------------------------------------------------------------------------------
 
 
