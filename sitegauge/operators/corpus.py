@@ -185,15 +185,14 @@ def issue_codes(audited: DataFrame) -> DataFrame:
 def audit_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Issues of two snapshots, each (url, codes): new, fixed or kept.
 
-    One row per page and snapshot is shuffled by url. Pages that share a url pool their codes,
-    of which there are as many as the audit has rules and bots. The sets are compared in place
-    and only the outcome is exploded.
+    Codes go one by one into a set per url and snapshot, first within each task: the shuffle carries
+    one row per url and task, and no set outgrows the codes there are, as many as the audit has
+    rules and bots, even if all pages share a url or have none. The sets are compared in place and
+    only the outcome is exploded.
     """
-    kind = old.schema["codes"].dataType.simpleString()
-    none = F.lit(None).cast(kind)
-    seen = old.select("url", F.col("codes").alias("o"), none.alias("n")).unionByName(new.select("url", none.alias("o"), F.col("codes").alias("n")))
-    pooled = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("o", "n")]
-    both = seen.groupBy("url").agg(*pooled)
+    sides = [snapshot.select("url", F.lit(side).alias("side"), F.explode_outer("codes").alias("code")) for side, snapshot in (("o", old), ("n", new))]
+    pooled = [F.collect_set(F.when(F.col("side") == side, F.col("code"))).alias(side) for side in ("o", "n")]
+    both = sides[0].unionByName(sides[1]).groupBy("url").agg(*pooled)
     outcome = ", ".join(
         f"transform({codes}, x -> struct(x.rule AS rule, x.key AS key, '{status}' AS status))"
         for codes, status in (("array_except(n, o)", "new"), ("array_except(o, n)", "fixed"), ("array_intersect(o, n)", "kept"))

@@ -321,3 +321,30 @@ def test_audit_diff_pools_pages_of_one_address(spark):
     assert {tuple(r) for r in corpus.audit_diff(old, new).collect()} == {
         ("u", "a", "", "fixed"), ("u", "c", "", "fixed"), ("u", "b", "x", "kept"), ("u", "d", "", "new"), ("gone", "a", "", "fixed"), ("came", "a", "", "new"),
     }
+
+
+def shuffled_bytes(df):
+    """Result rows, and the bytes that all exchanges of the plan wrote for them."""
+    rows, todo, total = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("dataSize").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows, total
+
+
+def test_audit_diff_of_pages_without_address_stays_small(spark):
+    def snap(first):
+        code = "struct(concat('r', (id + {0}) % 20) AS rule, '' AS key)"
+        codes = ", ".join(code.format(first + i) for i in range(5))
+        return spark.range(0, 40_000, 1, 4).selectExpr("IF(id % 4000 = 1, concat('u', id), NULL) AS url", f"array({codes}) AS codes")
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows, size = shuffled_bytes(corpus.audit_diff(snap(0), snap(1)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert {(r.rule, r.status) for r in rows if r.url is None} == {(f"r{i}", "kept") for i in range(20)}
+    assert len(rows) == 20 + 10 * 6 and size < 100_000  # 80,000 pages of 5 codes come down to sets of 20
