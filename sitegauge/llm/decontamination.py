@@ -9,8 +9,9 @@ similarity (weights: how often a shingle occurs) of at least ``similarity``. In
 2. The words of each such window are hashed to a 64-bit SimHash, and so is every item.
 3. Multi-index Hamming search. With a radius of r bits, fingerprints are cut into r + 1 blocks; two
    within the radius agree in one block at least, so a join on (item size, block, value) finds all.
-   The radius is wide: windows that pass differ in few words, and 20 bits are far beyond that.
-4. Exact weighted similarity of every pair found.
+   Windows that pass mostly lie within 20 bits, but not where repeated words outweigh the others.
+4. Exact weighted similarity of every pair found, and of the pairs of the screen that lie outside
+   the radius, so nothing is lost.
 
 Words are runs of letters and digits in lower case. Items of fewer than five words have the whole
 item as their one shingle; items and texts without words match nothing; a text shorter than an
@@ -89,7 +90,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     starts = F.expr("""array_union(
         filter(transform(hits, (h, i) -> if(h <= last and get(hits, i + need - 1) <= h + size - k, h, -1)), h -> h >= 0),
         if(get(hits, size(hits) - need) >= last, array(last), cast(array() as array<int>)))""")
-    windows = stored(screened.select(*TEXT, "n", "k", "size", F.explode(starts).alias("start")).distinct())
+    asked = stored(screened.select(*TEXT, "n", "k", "size", "item_id", F.explode(starts).alias("start")).distinct())
+    windows = stored(asked.drop("item_id").distinct())
     texts = windows.select(*TEXT).distinct()
     found = source.join(small_side(texts, windows.count()), TEXT, "left_semi").dropDuplicates(TEXT)
     cut = stored(windows.join(found, TEXT).select(*WINDOW, "k", "size", F.slice("w", F.col("start") + 1, F.col("size")).alias("w")))
@@ -98,7 +100,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     left = prints.select(*WINDOW, "fp", F.explode(_blocks(radius)).alias("b")).select(*WINDOW, "fp", "b.*")
     right = item_prints.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(_blocks(radius)).alias("b")).select("item_id", "n", "item_fp", "b.*")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
-    pairs = left.join(right, ["n", "block", "value"]).filter(near).select(*WINDOW, "item_id").distinct()
+    within = left.join(right, ["n", "block", "value"]).filter(near).select(*WINDOW, "item_id")
+    pairs = within.unionByName(asked.select(*WINDOW, "item_id")).distinct()
     window_shingles = cut.select(*WINDOW, "k", "size", F.explode(_all_shingles("w", lengths)).alias("x")).filter("x.k = k").groupBy(
         *WINDOW, "k", "size", F.col("x.sh").alias("sh")
     ).agg(F.count("*").alias("cw"))

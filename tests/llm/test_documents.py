@@ -276,6 +276,18 @@ def test_decontamination(spark):
     assert sortable((r.doc_id, r.text) for r in left.collect()) == sortable(x for x in rows if x not in bad)
 
 
+def test_decontamination_of_items_with_repeated_words(spark):
+    import random
+
+    rng = random.Random(11)
+    bodies = [prose(rng, 49) for _ in range(6)] + [prose(rng, 90) for _ in range(6)]
+    bench = spark.createDataFrame([(i, t + " the" * 10) for i, t in enumerate(bodies)], "item_id long, text string")
+    rows = [(i, t if i < 6 else t + "".join(f" other{j}" for j in range(10))) for i, t in enumerate(bodies)]
+    got = [(r.doc_id, r.item_id, r.n_words, round(r.similarity, 9)) for r in decontamination.matches(frame(spark, rows), bench).collect()]
+    want = slow_matches(rows, [(r.item_id, r.text) for r in bench.collect()])
+    assert sortable(got) == sortable(want) and len(want) == 12
+
+
 # --- repeated bytes -----------------------------------------------------------------------------
 
 
