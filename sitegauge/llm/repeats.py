@@ -13,9 +13,9 @@ in question lies in whole inside one phrase: it is a suffix of that phrase, cut
 Dictionary. Equal phrases are one entry. A phrase that occurs twice is repeated with all its
 strings, without looking at them. The others can share strings only with entries that agree with
 them on a stretch at the trigger, to its right or to its left, which all strings of that side hold;
-only those are opened. Their cut suffixes, in blocks where many are alike, are brought in order over
-the whole corpus and equal ones meet. Equality is all that is asked, so the order is that of 128-bit
-fingerprints, not of letters.
+only those are opened. Their cut suffixes, in blocks where many are alike, are grouped over the whole
+corpus by 128-bit fingerprints, where equal ones meet. They are not sorted, and no suffix array of
+dictionary or parse is built: equality is all that is asked.
 
 Texts that occur in several rows are repeated in full if they have ``length`` bytes. Null counts as
 empty; texts shorter than ``length`` lose nothing. Extra columns are ignored. An empty table gives
