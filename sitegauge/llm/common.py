@@ -35,6 +35,20 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def join_one_per_key(big: DataFrame, small: DataFrame, keys: list[str], rows_per_task: int = 2_000_000) -> DataFrame:
+    """``big`` left join ``small``, which has one row per key; safe for keys that hold a large share of ``big``.
+
+    A small side is broadcast by its counted rows. Beyond that, the entries of keys with more than
+    ``rows_per_task`` rows (at most rows / ``rows_per_task`` of them) are broadcast and the others shuffled.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys, "left")
+    hot = stored(big.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows_per_task).select(*keys, F.lit(True).alias("_hot")))
+    marked = big.join(F.broadcast(hot), keys, "left")
+    often = marked.filter("_hot").drop("_hot").join(F.broadcast(small.join(F.broadcast(hot), keys, "left_semi")), keys, "left")
+    return often.unionByName(marked.filter("_hot is null").drop("_hot").join(small, keys, "left"))
+
+
 def row_key(*names: str) -> list[Column]:
     """Two independent 64-bit hashes of some columns, as ``_h1`` and ``_h2``."""
     columns = [F.col(n) for n in names]

@@ -1,7 +1,8 @@
-"""DuckDB statements for the operators that SQL can express: personal data and decontamination.
+"""DuckDB statements for the operators that SQL can express.
 
 They go by the definitions, not by the method: patterns as they are given and rows instead of
-arrays; every window that shares a shingle with an item instead of fingerprints.
+arrays; every window that shares a shingle with an item instead of fingerprints; every line and
+every phrase counted as text; every entry of a codebook compared.
 """
 
 from __future__ import annotations
@@ -65,4 +66,69 @@ scored AS (SELECT rid, item_id, n, x, CAST(sum(least(ci, cw)) AS BIGINT) AS c, a
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_words, max(c / (both_sizes - c)) AS similarity FROM scored JOIN dw USING (rid)
  GROUP BY rid, doc_id, item_id, n HAVING max(c / (both_sizes - c)) >= 0.8 - 1e-12"""
 
-ORACLES = {"op4_pii": PII, "op6_decontamination": DECONTAMINATION}
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, unnest(x) AS word, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS x FROM d)),
+win AS (SELECT rid, i, string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS s, i + 7 <= n AS whole FROM w),
+twice AS (SELECT rid, i, whole AND count(*) OVER (PARTITION BY rid, whole, s) > 1 AS again FROM win),
+spread AS (SELECT rid, bool_or(again) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM twice),
+rep AS (SELECT rid, count(*) FILTER (WHERE covered) AS n_repeat_words FROM spread GROUP BY rid),
+cnt AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY rid),
+l AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+n AS (SELECT rid, source, t, line, trim(regexp_replace(regexp_replace(translate(line, {_AZ}), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS x
+ FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM n GROUP BY rid),
+over_limit AS (SELECT source, x FROM n GROUP BY source, x HAVING count(DISTINCT t) > 10),
+gone AS (SELECT n.rid, CAST(sum(len(string_split(n.x, ' '))) AS BIGINT) AS removed_words, count(*) AS removed_lines
+ FROM n JOIN over_limit o ON n.x = o.x AND n.source IS NOT DISTINCT FROM o.source GROUP BY n.rid),
+f AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+ CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+ coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words, coalesce(removed_lines, 0) AS removed_lines
+ FROM d LEFT JOIN cnt USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+ NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_words - removed_words < 20 OR 2 * removed_words > n_words) AS kept FROM f"""
+
+
+def _codes(rounds: int = 6) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""t{i} AS MATERIALIZED (SELECT rid, p, x, min_by(e, (d, e)) AS e, min(d) AS d FROM (
+ SELECT q.rid, q.p, q.x, b.e, CAST(list_sum(list_transform(list_zip(q.x, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+ FROM parts q JOIN b{i} b ON q.p = b.p) GROUP BY rid, p, x)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM b{i} b LEFT JOIN (SELECT p, e, list(v ORDER BY o) AS y FROM (
+ SELECT p, e, o, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS v
+ FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS o FROM t{i}) GROUP BY p, e, o) GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+            )
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+ list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM kept, range(8) r(p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS y FROM parts WHERE rid <= 16),
+{", ".join(steps)},
+book AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, o)) AS codebooks_sha256 FROM (SELECT p, e, unnest(y) AS v, generate_subscripts(y, 1) AS o FROM b{rounds})),
+coded AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM t{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (rid) CROSS JOIN book"""
+
+
+PHRASES = rf"""WITH w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+ SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM (
+ SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) r(k) WHERE len(w) >= k)
+ GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+longer AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS b FROM c, range(2, 4) r(s), range(1, 4) q(i) WHERE s < k AND i + s - 1 <= k GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE b IS NULL OR 100 * b < 80 * a),
+cuts AS (SELECT c.lang, c.phrase, c.a, j, l.a AS l, r.a AS r, CAST((2000000 * CAST(c.a AS HUGEINT)) // (l.a + r.a) AS BIGINT) AS score
+ FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) c
+ JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+ FROM weakest JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+ORACLES = {"op4_pii": PII, "op6_decontamination": DECONTAMINATION, "op11_quality_rules": QUALITY, "op12_vector_codes": _codes(), "op13_collocations": PHRASES}

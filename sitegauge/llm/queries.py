@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from sitegauge.llm.chat import fit, raw_transcripts, recover
 from sitegauge.llm.decontamination import matches
+from sitegauge.llm.line_quality import judge
 from sitegauge.llm.nearest import search
 from sitegauge.llm.oracles import ORACLES
 from sitegauge.llm.packing import pack
+from sitegauge.llm.phrases import collocations, frequent_phrases
 from sitegauge.llm.pii import find_pii, pii_digest
 from sitegauge.llm.repeats import find_repeats
 from sitegauge.llm.sharding import shard
 from sitegauge.llm.simhash_dedup import fingerprint_hex, near_duplicates
 from sitegauge.llm.token_counts import token_counts
 from sitegauge.llm.toxicity import fit_severity, severity
+from sitegauge.llm.vector_codes import compress
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,10 +73,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(frequent_phrases(_table(spark, sf_dir, "documents")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity, op2_sharding, op3_repeated_bytes, op4_pii, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_packing,
-        op9_nearest_neighbours, op10_simhash_near_dedup,
+        op9_nearest_neighbours, op10_simhash_near_dedup, op11_quality_rules, op12_vector_codes, op13_collocations,
     )
     return {f.__name__: f for f in found}
 

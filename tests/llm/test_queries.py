@@ -16,11 +16,14 @@ CONTRACT = {
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_nearest_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
     "op10_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, removed_words bigint, removed_lines bigint",
+    "op12_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
+    "op13_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
 }
 
 
 def test_one_query_of_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(llm_queries()))
@@ -30,7 +33,7 @@ def test_columns_and_rows(spark, name):
         assert ", ".join(f"{c} {t}" for c, t in found.dtypes) == CONTRACT[name]
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
     rows = found.count()
-    if name in ("op1_toxicity", "op2_sharding", "op3_repeated_bytes", "op4_pii", "op5_token_counts", "op10_simhash_near_dedup"):
+    if name in ("op1_toxicity", "op2_sharding", "op3_repeated_bytes", "op4_pii", "op5_token_counts", "op10_simhash_near_dedup", "op11_quality_rules"):
         assert rows == documents
     else:
         assert rows > 0
