@@ -44,9 +44,9 @@ def repeated_words(words: list[str], window: int = WINDOW) -> int:
     width = 1
     while width < window:  # numbers of windows of twice the width, from pairs of numbers
         step = min(width, window - width)
-        _, row, counts = np.unique((row[:-step] << 32) | row[step:], return_inverse=True, return_counts=True)
+        _, row = np.unique((row[:-step] << 32) | row[step:], return_inverse=True)
         width += step
-    starts = np.flatnonzero(counts[row] > 1)
+    starts = np.flatnonzero(np.bincount(row)[row] > 1)
     change = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + window, -1)

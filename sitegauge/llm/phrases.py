@@ -126,6 +126,8 @@ def _summaries(partitions: int, threshold: int, most: int):
                 found.append(f)
                 counts.append(np.minimum(c, threshold))
             found, counts = np.concatenate(found), np.concatenate(counts)
+            if not len(found):
+                continue
             order = np.argsort(found)  # by hash, hence by partition and place
             parts, keys = place(found[order], partitions)
             counts = counts[order]

@@ -1,13 +1,17 @@
 """Token counts (5) by overlap resynchronisation, for a lower-casing word BPE that drops white space.
 
 Texts of up to ``chunk`` code points are counted where they are. Longer ones are cut into chunks
-that overlap, the chunks are dealt over all tasks and encoded with offsets, and two neighbours are
-spliced at a boundary inside their overlap. A boundary is proven stable if it is a plain white-space
-character: the encoder splits there before any merge, no added token holds one, and neither
-normalisation nor lower-casing looks across it; so what stands on either side is encoded alike in
-the chunk and in the whole text. Both encodings must also show no token across it. Texts for which
-an overlap holds no such boundary are cut again with chunks and overlaps four times as wide, until
-all neighbours align or the text is one chunk.
+that overlap, the chunks are dealt over all tasks, their overlaps are encoded with offsets, and two
+neighbours are spliced at a boundary inside their overlap. A boundary is proven stable if it is a
+plain white-space character: the encoder splits there before any merge, no added token holds one,
+and neither normalisation nor lower-casing looks across it; so what stands on either side is encoded
+alike in the chunk and in the whole text. The offsets of both chunks must also show no token there.
+Between its splices a chunk is counted like a short text, part by part. Texts for which an overlap
+holds no such boundary are cut again with chunks and overlaps four times as wide, until all
+neighbours align or the text is one chunk.
+
+Parts seen before are remembered in two generations, so that a full memory forgets only what was not
+met lately. New parts are encoded together, with a character between them that is a token of its own.
 
 Null counts as empty: zero bytes, zero tokens. Rows with equal texts count alike. Extra columns are
 ignored. An empty table gives an empty result.
@@ -20,6 +24,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +34,8 @@ from sitegauge.llm.common import row_key, stored
 
 _STABLE = " \t\n\r"
 _PARTS = re.compile(rf"[^{_STABLE}]+")
-_KEPT, _LONGEST, _AT_ONCE = 150_000, 64, 2_000
+_MARK = "\x01"
+_KEPT, _LONGEST, _AT_ONCE = 150_000, 64, 256
 
 
 @lru_cache(maxsize=1)
@@ -44,22 +50,33 @@ def _encoder(path: str):
 @lru_cache(maxsize=1)
 def word_counter(path: str) -> Callable[[list[str]], list[int]]:
     """Token counts of texts; parts between proven boundaries are encoded once and remembered."""
-    encoder, known = _encoder(path), {}
-
-    def sizes_of(new: list[str]) -> Iterator[tuple[str, int]]:
-        for low in range(0, len(new), _AT_ONCE):
-            some = new[low : low + _AT_ONCE]
-            for p, e in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                yield p, len(e.ids)
+    encoder = _encoder(path)
+    between = encoder.encode(f"a {_MARK} b", add_special_tokens=False).ids[1:-1]
+    known: dict[str, int] = {}
+    older: dict[str, int] = {}
+
+    def sizes_of(new: list[str]) -> dict[str, int]:
+        alone = [p for p in new if len(between) != 1 or _MARK in p]
+        out = {p: len(e) for p, e in zip(alone, encoder.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+        together = [p for p in new if p not in out]
+        for low in range(0, len(together), _AT_ONCE):
+            some = together[low : low + _AT_ONCE]
+            joined = f" {_MARK} ".join([*some, ""])
+            ids = np.array(encoder.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(ids == between[0])
+            out |= zip(some, (np.diff(ends, prepend=-1) - 1).tolist(), strict=True)
+        return out
 
     def count(texts: list[str]) -> list[int]:
+        nonlocal known, older
         out = []
         for text in texts:
             if len(known) > _KEPT:
-                known.clear()
+                known, older = {}, known
             parts = _PARTS.findall(text)
-            new = list({p for p in parts if p not in known})
-            known.update(sizes_of(new))
+            new = {p for p in parts if p not in known}
+            known |= {p: older[p] for p in new if p in older}
+            known |= sizes_of([p for p in new if p not in older])
             out.append(sum(map(known.__getitem__, parts)))
             for p in new:
                 if len(p) > _LONGEST:
@@ -94,19 +111,23 @@ def cut(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, bool, str]]:
         yield k, low + chunk >= len(text), text[max(0, low - overlap) : low + chunk + overlap]
 
 
-def spliced_count(encoder, k: int, last: bool, piece: str, chunk: int, overlap: int) -> tuple[int | None, int | None, int]:
+def trusted(encoder, piece: str, middle: int, low: int, high: int) -> int | None:
+    """The splice in [low, high), if the offsets of that stretch show no token on it."""
+    at = splice(piece, middle, low, high)
+    if at is None or encoder.encode(piece[low:high], add_special_tokens=False).char_to_token(at - low) is not None:
+        return None
+    return at
+
+
+def spliced_count(encoder, counter: Callable[[list[str]], list[int]], k: int, last: bool, piece: str, chunk: int, overlap: int) -> tuple[int | None, int | None, int]:
     """Both splices of a piece as places in the whole text (None: no boundary both sides can trust), and the tokens between."""
     start = max(0, k * chunk - overlap)
-    left = 0 if k == 0 else splice(piece, overlap, 1, min(2 * overlap, len(piece) - 1))
     at = (k + 1) * chunk - start
-    right = len(piece) if last else splice(piece, at, at - overlap + 1, min(at + overlap, len(piece) - 1))
-    spans = encoder.encode(piece, add_special_tokens=False).offsets
-    ends = [q for q, edge in ((left, k == 0), (right, last)) if q is not None and not edge]
-    if any(a < q < b for q in ends for a, b in spans):
-        left = right = None
+    left = 0 if k == 0 else trusted(encoder, piece, overlap, 1, min(2 * overlap, len(piece) - 1))
+    right = len(piece) if last else trusted(encoder, piece, at, at - overlap + 1, min(at + overlap, len(piece) - 1))
     if left is None or right is None:
         return None, None, 0
-    return start + left, start + right, sum(left <= a < right for a, _ in spans)
+    return start + left, start + right, counter([piece[left:right]])[0]
 
 
 def huge_counts(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
@@ -125,10 +146,10 @@ def huge_counts(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFr
                         rows, held = [], 0
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder, counter = _encoder(path), word_counter(path)
         for batch in batches:
             h1, h2, k, last, piece = (batch.column(i).to_pylist() for i in range(5))
-            found = [spliced_count(encoder, *x, chunk, overlap) for x in zip(k, last, piece, strict=True)]
+            found = [spliced_count(encoder, counter, *x, chunk, overlap) for x in zip(k, last, piece, strict=True)]
             left, right, n = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(k, pa.int64()), pa.array(last, pa.bool_()), *(pa.array(c, pa.int64()) for c in (left, right, n))], ["_h1", "_h2", "k", "last", "lo", "hi", "n"])
 
