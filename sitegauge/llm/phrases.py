@@ -81,19 +81,18 @@ def batches(rows: Iterator[tuple[str, str | None]], most: int) -> Iterator[Batch
     yield from opened.values()
 
 
-def hashed(row: np.ndarray, words: list[bytes], lang: str) -> list[tuple[np.ndarray, np.ndarray]]:
+def hashed(row: np.ndarray, words: list[bytes], lang: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length from one word on: a hash of the n-gram at every place, and whether there is one."""
     seed = xxhash.xxh64_intdigest(lang.encode())
     one = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
     single, there = one[row], row >= 0
-    out, chain, valid = [], single, there
+    chain, valid = single, there
     for n in range(1, LONGEST + 1):
         if n > 1:
             chain = (chain[:-1] ^ (chain[:-1] >> np.uint64(29))) * _FACTOR + single[n - 1 :]
             valid = valid[:-1] & there[n - 1 :]
         mixed = (chain ^ (chain >> _32)) * _OTHER + np.uint64(n)
-        out.append((mixed ^ (mixed >> np.uint64(31)), valid))
-    return out
+        yield mixed ^ (mixed >> np.uint64(31)), valid
 
 
 def place(hashes: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,24 +118,24 @@ def _summaries(partitions: int, threshold: int, most: int):
         schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("mass", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
         for batch in batches(_texts(arrow), most):
             row, words = batch.closed()
-            grams = hashed(row, words, batch.lang)
             found, counts = [], []
-            for h, valid in grams:
+            for h, valid in hashed(row, words, batch.lang):
                 f, c = np.unique(h[valid], return_counts=True)
                 found.append(f)
-                counts.append(np.minimum(c, threshold))
+                counts.append(np.minimum(c, threshold).astype(_count_type(threshold)))
             found, counts = np.concatenate(found), np.concatenate(counts)
             if not len(found):
                 continue
             order = np.argsort(found)  # by hash, hence by partition and place
-            parts, keys = place(found[order], partitions)
-            counts = counts[order]
+            found, counts = found[order], counts[order]
+            del order
+            parts, keys = place(found, partitions)
             ps, at = np.unique(parts, return_index=True)
             ends = np.append(at[1:], len(parts))
             rows = []
             for p, a, b in zip(ps.tolist(), at.tolist(), ends.tolist(), strict=True):
-                rows.append((p, 0, int(counts[a:b].sum()), None, None))
-                rows.append((p, 1, 0, keys[a:b].astype("<u4").tobytes(), counts[a:b].astype(_count_type(threshold)).tobytes()))
+                rows.append((p, 0, int(counts[a:b].sum(dtype=np.int64)), None, None))
+                rows.append((p, 1, 0, keys[a:b].astype("<u4").tobytes(), counts[a:b].tobytes()))
                 if len(rows) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
@@ -244,7 +243,7 @@ def _exact_counts(partitions: int, slice_bits: int, table, most: int):
 
 
 def frequent_phrases(
-    docs: DataFrame, threshold: int = 30, text: str = "text", lang: str = "lang", partition_bytes: int = 1 << 25, table_bits: int = 1 << 27, batch_words: int = 2_000_000
+    docs: DataFrame, threshold: int = 30, text: str = "text", lang: str = "lang", partition_bytes: int = 1 << 25, table_bits: int = 1 << 27, batch_words: int = 1_000_000
 ) -> DataFrame:
     """(lang, phrase, words, a): exact counts of all n-grams that occur ``threshold`` times; words 0: all words of the language."""
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
