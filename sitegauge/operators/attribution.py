@@ -118,23 +118,24 @@ def eeat_markers(df: DataFrame) -> DataFrame:
     return t.select("page_id", "author", F.expr(f"array_join({found}, ',')").alias("credentials"))
 
 
-def _canonical(df: DataFrame) -> DataFrame:
+def with_canonical(df: DataFrame) -> DataFrame:
+    """Adds ``canonical``: the address the page names as its own, in normal form."""
     df = df.withColumn("_href", F.expr(f"trim({markup.link_first_sql('canonical')}.href)"))
-    full = F.when(F.col("_href") != "", U.resolve(F.col("_href"), F.col("url")))
+    full = F.when(F.col("_href") != "", U.resolve("_href", "url"))
     return df.withColumn("canonical", full).drop("_href")
 
 
 def canonical_status() -> Column:
-    own = F.substring_index("url", "#", 1)
+    """Whether a page names itself; spelling of scheme, host, port and dot segments aside."""
     return (
         F.when(F.col("canonical").isNull(), "missing")
-        .when(F.substring_index("canonical", "#", 1) == own, "self")
+        .when(F.substring_index("canonical", "#", 1) == U.address("url"), "self")
         .otherwise("other")
     )
 
 
 def canonical_check(df: DataFrame) -> DataFrame:
-    return _canonical(with_head(df)).select("page_id", "canonical", canonical_status().alias("status"))
+    return with_canonical(with_head(df)).select("page_id", "canonical", canonical_status().alias("status"))
 
 
 def _social(name: str) -> str:
@@ -179,7 +180,7 @@ def attribution_facts(df: DataFrame) -> DataFrame:
     """Adds ``at``: everything the attribution score and issues need."""
     had = set(df.columns)
     df = with_link_texts(with_tags(df if "items" in had else with_jsonld(df)))
-    df = _canonical(df).withColumn("_status", canonical_status()).withColumn("_scheme", U.scheme(F.col("url")))
+    df = with_canonical(df).withColumn("_status", canonical_status()).withColumn("_scheme", U.scheme(F.col("url")))
     dated = " OR ".join(f"({sql}) IS NOT NULL" for sql in _DATES.values())
     social = " + ".join(f"if({_social(n)}, 1, 0)" for n in SOCIAL)
     at = struct(

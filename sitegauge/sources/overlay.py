@@ -68,6 +68,12 @@ HEAD = (
  WHEN 1 THEN '<link rel="canonical" href="https://www.example.org/other">'
  WHEN 2 THEN '<link rel="canonical" href="/same-host">'
  WHEN 3 THEN '<link rel="canonical" href="//cdn.example.net/x">'
+ WHEN 4 THEN '<link rel="canonical" href="?q=1&amp;p=2#part">'
+ WHEN 5 THEN '<link rel="canonical" href="../up/./x/../y?z">'
+ WHEN 6 THEN '<link rel="canonical" href="./%2E%2e/a/..">'
+ WHEN 7 THEN '<link rel="canonical" href="#part">'
+ WHEN 8 THEN concat('<link rel="canonical" href="', upper(regexp_extract(url, '^(https?://[^/?#]*)', 1)), ':443/../a//b/">')
+ WHEN 9 THEN concat('<link rel="canonical" href="', regexp_replace(url, '#.*$', ''), '#section">')
  ELSE '' END""",
     """CASE {n} % 6
  WHEN 0 THEN '<meta property="og:title" content="T"><meta property="og:description" content="D"><meta property="og:image" content="i.png"><meta property="og:url" content="/u"><meta name="twitter:card" content="summary">'
@@ -75,6 +81,11 @@ HEAD = (
  WHEN 2 THEN '<meta name="twitter:card" content="summary"><meta property="OG:Title" content="">'
  ELSE '' END""",
 )
+# ---- canonical links from page to page: chains of up to ten, which end, lead out, meet at page 0 or run in a circle
+NEXT_PAGE = """CASE WHEN page_id % 10 < 9 THEN page_id + 1
+ WHEN page_id % 40 = 19 THEN page_id - 6 WHEN page_id % 40 = 39 THEN 0 END"""
+NEXT_LINK = """concat('<link rel="canonical" href="', CASE WHEN page_id % 40 = 29 THEN 'https://outside.example/x' ELSE replace(next_url, '&', '&amp;') END, '">')"""
+
 # ---- markup put after every <br> ------------------------------------------------------
 AFTER_BREAK = """CASE {n} % 3
  WHEN 0 THEN '<h3>Deep point</h3>'
@@ -164,6 +175,14 @@ def overlay_pages(pages: DataFrame, shift: int = 0) -> DataFrame:
     return named.select("page_id", "url", F.expr(html_sql(n)).alias("html"), headers.alias("headers"))
 
 
+def overlay_chains(pages: DataFrame) -> DataFrame:
+    """Pages whose first canonical link leads to another page of the table."""
+    named = pages.select("page_id", F.expr(NEXT_PAGE).alias("next_page"), F.expr(URL).alias("url"), "html")
+    others = pages.select(F.col("page_id").alias("next_page"), F.col("url").alias("next_url"))
+    linked = named.join(others, "next_page", "left")
+    return linked.select("page_id", "url", F.expr(f"concat(coalesce({NEXT_LINK}, ''), coalesce(html, ''))").alias("html"))
+
+
 def overlay_site_files(pages: DataFrame, shift: int = 0) -> DataFrame:
     """Up to three files per origin, from one narrow aggregate over the page addresses."""
     sites = pages.groupBy(origin(F.expr(URL)).alias("origin")).agg(F.min("page_id").alias("site_no"))

@@ -7,27 +7,15 @@ all robots files again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from sitegauge.plans.audit import DEFAULT, evaluate, page_facts, select_dimensions
 from sitegauge.plans.skew import join_in_slices
+from sitegauge.plans.stored import shared_folder, store
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, path: str) -> DataFrame:
-    """Write a table and read it back: cuts the lineage and survives lost executors."""
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+__all__ = ["audit_stream", "run_available", "shared_folder", "store"]
 
 
 def audit_stream(

@@ -228,6 +228,9 @@ def test_shared_folder_is_not_made_up():
     class Session:
         conf = {}
 
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         stream.shared_folder(Session())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sitegauge.sources import overlay as ov
 from verify.oracle_core import ATTR, BARE, SKIP, strip, tag_pattern, unescape, unquote
 from verify.sqlkit import oracle, part
 
@@ -163,12 +164,56 @@ part("authortags", r"""SELECT page_id, string_agg(x, ' ' ORDER BY n) AS named FR
 part("authortexts", """SELECT p.page_id, concat_ws(' ', m.content, coalesce(a.named, '')) AS author
  FROM pg p LEFT JOIN metas m ON m.page_id = p.page_id AND m.kind = 'name' AND m.name = 'author'
  LEFT JOIN authortags a ON a.page_id = p.page_id""")
+REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def resolved(name: str, sql: str) -> None:
+    """Part ``name`` (id, whole, bare) from rows (id, ref, base): references resolved by rows of path parts, not over a stack.
+
+    Heights of the stack after each part are running sums that stop at zero; a part stays if no later height is lower.
+    """
+    fields = ", ".join(f"regexp_extract(x, '{REFERENCE}', {i}) AS {f}" for i, f in enumerate(("scheme", "slashes", "host", "path", "query", "frag"), 1))
+    clean = "trim(regexp_replace({}, '[\\t\\r\\n]', '', 'g'), '" + "".join(map(chr, range(1, 33))) + "')"
+    part(name + "ref", f"SELECT id, {fields} FROM (SELECT id, {clean.format('ref')} AS x FROM ({sql}) WHERE ref IS NOT NULL)")
+    part(name + "base", f"SELECT id, {fields} FROM (SELECT id, {clean.format("coalesce(base, '')")} AS x FROM ({sql}))")
+    part(name + "to", f"""SELECT id, scheme, slashes, query, frag, CASE WHEN slashes <> '' AND path = '' THEN '/' ELSE path END AS path,
+ regexp_replace(coalesce(regexp_extract(host, '^(.*@)', 1), '') || lower(regexp_replace(host, '^.*@', '')),
+  CASE scheme WHEN 'http' THEN ':(80)?$' WHEN 'https' THEN ':(443)?$' ELSE ':$' END, '') AS host FROM
+ (SELECT r.id, lower(r.scheme) AS scheme, r.slashes, r.host, r.path, r.query, r.frag FROM {name}ref r WHERE r.scheme <> ''
+ UNION ALL SELECT r.id, lower(b.scheme), r.slashes, r.host, r.path, r.query, r.frag FROM {name}ref r JOIN {name}base b USING (id) WHERE r.scheme = '' AND r.slashes <> ''
+ UNION ALL SELECT r.id, lower(b.scheme), b.slashes, b.host, CASE WHEN starts_with(r.path, '/') THEN r.path WHEN r.path = '' THEN b.path
+   WHEN b.slashes <> '' AND b.path = '' THEN '/' || r.path ELSE left(b.path, length(b.path) - length(string_split(b.path, '/')[-1])) || r.path END,
+  CASE WHEN r.path = '' AND r.query = '' THEN b.query ELSE r.query END, r.frag FROM {name}ref r JOIN {name}base b USING (id) WHERE r.scheme = '' AND r.slashes = '')""")
+    part(name + "segs", f"""SELECT id, seg, i, CASE WHEN lower(replace(lower(seg), '%2e', '.')) = '.' THEN 0 WHEN replace(lower(seg), '%2e', '.') = '..' THEN -1 ELSE 1 END AS way
+ FROM (SELECT id, unnest(string_split(substr(path, 2), '/')) AS seg, generate_subscripts(string_split(substr(path, 2), '/'), 1) AS i FROM {name}to WHERE starts_with(path, '/'))""")
+    part(name + "sums", f"SELECT *, sum(way) OVER (PARTITION BY id ORDER BY i) AS total FROM {name}segs")
+    part(name + "tops", f"SELECT *, total - least(0, min(total) OVER (PARTITION BY id ORDER BY i)) AS height FROM {name}sums")
+    part(name + "stay", f"""SELECT *, way = 1 AND coalesce(min(height) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), height) >= height AS stays FROM {name}tops""")
+    part(name + "paths", f"""SELECT id, '/' || coalesce(string_agg(seg, '/' ORDER BY i) FILTER (WHERE stays), '')
+ || CASE WHEN arg_max(way, i) < 1 AND bool_or(stays) THEN '/' ELSE '' END AS folded FROM {name}stay GROUP BY id""")
+    part(name, f"""SELECT *, split_part(whole, '#', 1) AS bare FROM (SELECT t.id, CASE WHEN scheme <> '' THEN scheme || ':' ELSE '' END
+ || CASE WHEN slashes <> '' THEN '//' || host ELSE '' END || coalesce(folded, path) || query || frag AS whole FROM {name}to t LEFT JOIN {name}paths p ON p.id = t.id)""")
+
+
 part("canon", f"""SELECT page_id, trim(arg_min(href, tpos)) AS href FROM tags WHERE el = 'link' AND {token('rel', 'canonical')} GROUP BY 1""")
-part("canonicals", """SELECT page_id, canonical, CASE WHEN canonical IS NULL THEN 'missing'
-  WHEN split_part(canonical, '#', 1) = split_part(url, '#', 1) THEN 'self' ELSE 'other' END AS status FROM
- (SELECT p.page_id, p.url, CASE WHEN regexp_matches(c.href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN c.href
-   WHEN starts_with(c.href, '//') THEN p.scheme || ':' || c.href WHEN starts_with(c.href, '/') THEN p.origin || c.href END AS canonical
-  FROM pg p LEFT JOIN canon c ON c.page_id = p.page_id AND c.href <> '')""")
+resolved("named", "SELECT p.page_id AS id, nullif(c.href, '') AS ref, p.url AS base FROM pg p LEFT JOIN canon c ON c.page_id = p.page_id")
+resolved("ownurl", "SELECT page_id AS id, url AS ref, NULL AS base FROM pg")
+part("canonicals", """SELECT o.id AS page_id, n.whole AS canonical, CASE WHEN n.whole IS NULL THEN 'missing' WHEN n.bare = o.bare THEN 'self' ELSE 'other' END AS status
+ FROM ownurl o LEFT JOIN named n ON n.id = o.id""")
+# canonical chains: one step at a time, with the addresses met so far
+part("nexts", f"""SELECT page_id, {ov.URL} AS url, CASE WHEN page_id % 40 = 29 THEN 'https://outside.example/x' ELSE next_url END AS href
+ FROM pages LEFT JOIN (SELECT page_id AS next_page, url AS next_url FROM pages) q ON q.next_page = {ov.NEXT_PAGE}""")
+resolved("nextat", "SELECT page_id AS id, url AS ref, NULL AS base FROM nexts")
+resolved("nextto", "SELECT page_id AS id, href AS ref, url AS base FROM nexts")
+part("chainlinks", "SELECT o.id AS page_id, o.bare AS address, n.bare AS target FROM nextat o LEFT JOIN nextto n ON n.id = o.id")
+part("chainnodes", "SELECT address, min(target) FILTER (WHERE target <> address) AS target FROM chainlinks GROUP BY 1")
+part("walks", """WITH RECURSIVE w AS (SELECT address AS start, address AS here, [address] AS met FROM chainnodes
+ UNION ALL SELECT start, target, list_append(met, target) FROM w JOIN chainnodes n ON n.address = w.here WHERE target IS NOT NULL AND NOT list_contains(met, target))
+SELECT start, arg_max(here, len(met)) AS here, arg_max(met, len(met)) AS met FROM w GROUP BY start""")
+part("ends", """SELECT start, n.address IS NULL AS outside, n.target IS NOT NULL AS in_cycle, met,
+ CASE WHEN n.target IS NULL THEN here ELSE list_min(met[list_position(met, n.target):]) END AS final FROM walks w LEFT JOIN chainnodes n ON n.address = w.here""")
+part("chainends", """SELECT page_id, address, final, CAST(list_position(met, final) - 1 AS BIGINT) AS hops, in_cycle, outside
+ FROM chainlinks l LEFT JOIN ends e ON e.start = l.address""")
 part("social", "SELECT p.page_id, " + ", ".join(
     f"coalesce(bool_or(m.name = '{n}'), false) AS {n.replace(':', '_')}" for n in SOCIAL
 ) + " FROM pg p LEFT JOIN metas m ON m.page_id = p.page_id GROUP BY 1")
@@ -277,6 +322,9 @@ SQL: dict[str, str] = {
     "eeat_markers": f"""SELECT page_id, author, array_to_string(list_sort(list_filter([{CREDENTIAL}],
  lambda c: regexp_matches(author, '(?:^|[^\\p{{L}}\\p{{N}}])' || replace(c, '.', '[.]') || '(?:[^\\p{{L}}\\p{{N}}]|$)'))), ',') AS credentials FROM authortexts""",
     "canonical_check": "SELECT page_id, canonical, status FROM canonicals",
+    "canonical_chains": "SELECT * FROM chainends",
+    "canonical_clusters": """SELECT final, count(*) AS n_pages, count(DISTINCT address) AS n_addresses, max(hops) AS max_hops, bool_or(in_cycle) AS in_cycle
+ FROM chainends WHERE final IS NOT NULL GROUP BY 1""",
     "social_meta": "SELECT * FROM social",
     "contact_info": "SELECT * FROM contacts",
     "trust_signals": "SELECT * FROM trust",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegauge.operators import attribution, content, structured
+from sitegauge.operators import attribution, canonical, content, structured
+from sitegauge.sources.overlay import overlay_chains
 from verify.queries_core import audited, pages
 
 AS_OF = "2026-01-01"
@@ -45,6 +46,9 @@ def content_queries():
     out = {n: _on_pages(getattr(module, n)) for module, names in named.items() for n in names.split()}
     out["jsonld_valid"] = lambda s, d: _widen(structured.jsonld_valid(structured.jsonld_blocks(pages(s, d))))
     out["date_signals"] = _on_pages(attribution.date_signals, as_of=AS_OF)
+    chained = lambda s, d: overlay_chains(s.read.parquet(f"{d}/pages.parquet"))
+    out["canonical_chains"] = lambda s, d: canonical.page_canonicals(chained(s, d))
+    out["canonical_clusters"] = lambda s, d: canonical.canonical_clusters(chained(s, d))
     out["structured_score"] = _score("structured-data")
     out["extractability_score"] = _score("extractability")
     out["attribution_score"] = _score("attribution")
