@@ -123,20 +123,47 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     return out.drop("t")
 
 
+_PIECE = 4096  # code points of a text that are looked at together when it is rebuilt
+
+
+def _between(a: str, b: str) -> str:
+    """SQL: the code points from a to b (exclusive) of a text cut into pieces ``k``, without walking over those before."""
+    some = f"array_join(slice(k, {a} div {_PIECE} + 1, ({b} - 1) div {_PIECE} - {a} div {_PIECE} + 1), '')"
+    return f"if({b} > {a}, substring({some}, {a} % {_PIECE} + 1, {b} - {a}), '')"
+
+
+def _rebuilt() -> str:
+    """SQL: the text of pieces ``k`` (``n`` code points) with the spans ``s``, in order of start, replaced; one for spans that overlap."""
+    text = "cast(array() as array<string>)"
+    step = (
+        f"if(x.start >= a.reach, named_struct('reach', x.end, 'parts', concat(a.parts, array({_between('a.reach', 'x.start')}, x.shown))), "
+        "named_struct('reach', greatest(a.reach, x.end), 'parts', a.parts))"
+    )
+    block = f"aggregate(slice(s, b * 256 + 1, 256), named_struct('reach', q.reach, 'parts', {text}), (a, x) -> {step})"
+    added = f"get(transform(array({block}), w -> named_struct('reach', w.reach, 'out', concat(q.out, array(array_join(w.parts, ''))))), 0)"
+    return f"aggregate(sequence(0, (size(s) - 1) div 256), named_struct('reach', 0, 'out', {text}), (q, b) -> {added}, q -> concat(array_join(q.out, ''), {_between('q.reach', 'n')}))"
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of a kind replaced by its name in brackets, kind after kind; ``n_chars`` follows.
+    """``docs`` with the spans of ``find_pii`` replaced by the name of their kind in brackets; ``n_chars`` follows.
 
-    Null texts stay null.
+    All spans are found on the text as it is. Spans that overlap are replaced as one, under the name of the one that
+    starts first (of ties the shorter), so nothing of the longer one is left. Null texts stay null.
     """
-    out = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("t"))
+    out = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("x"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    names = []
     for kind in KINDS:
         matches, around = _parts(kind)
-        out = out.select("_row", "t", F.expr(matches).alias("m"))
-        out = out.select("_row", "t", "m", F.expr(around).alias("g"))
-        found = f"({kind.valid})" if kind in BASE else f"({kind.valid} and {_scored(kind)} >= {THRESHOLD}D)"
-        shown = f"if({found}, '[{kind.name.upper()}]', v)"
-        rebuilt = f"array_join(flatten(transform(m, (v, i) -> array(g[i], {shown}))), '') || element_at(g, -1)"
-        out = out.select("_row", F.expr(f"if(t is not null and size(m) > 0, {rebuilt}, t)").alias("t"))
+        kept = ["_row", "x", "t", *names]
+        out = out.select(*kept, F.expr(matches).alias("m"))
+        out = out.select(*kept, "m", F.expr(around).alias("g"))
+        shown = f"transform({_spans(kind)}, x -> named_struct('start', x.start, 'end', x.end, 'shown', '[{kind.name.upper()}]'))"
+        out = out.select(*kept, F.expr(shown).alias(kind.name))
+        names.append(kind.name)
+    out = out.select("_row", "x", "t", F.expr(f"array_sort(concat({', '.join(names)}))").alias("s"))
+    pieces = f"if(size(s) > 0, regexp_extract_all(t, '(?s).{{1,{_PIECE}}}', 0), cast(array() as array<string>))"
+    out = out.select("_row", "x", "s", F.expr(pieces).alias("k"), F.char_length("t").alias("n"))
+    out = out.select("_row", F.expr(f"if(size(s) > 0, {_rebuilt()}, x)").alias("t"))
     columns = []
     for name in docs.columns:
         if name == "text":

@@ -221,6 +221,31 @@ def test_redact(spark, rows):
     assert not any(slow_spans(r.text or "") for r in out.values())
 
 
+def test_redact_leaves_nothing_of_overlapping_spans(spark):
+    texts = ["call +49.170.123.45.67 now", "tel +49 170 1234567@host.com", "+1.2.3.4@a.b and 1.2.3.4", "ü" * 5000 + " +49.170.123.45.67 " + "x" * 9000 + " a@b.c"]
+    out = {r.doc_id: r for r in pii.redact(frame(spark, list(enumerate(texts)))).collect()}
+    assert out[0].text == "call [PHONE] now" and out[0].n_chars == 16
+    assert out[1].text == "tel [PHONE]"
+    assert not any(c.isdigit() for i in range(3) for c in out[i].text)
+    assert out[3].text == "ü" * 5000 + " [PHONE] " + "x" * 9000 + " [EMAIL]"
+
+
+def test_redact_equals_merged_spans(spark, rows):
+    many = [(2000, " ".join(f"u{i}@h{i}.org 10.0.0.{i % 300}" + " é" * (i % 7) for i in range(900))), (2001, "+1 " * 3000 + "a@b.c")]
+    docs = frame(spark, list(enumerate(PLANTED, 1000)) + rows + many)
+    spans = {(r.doc_id, r.t): [x for k in pii.KINDS for x in r[k.name]] for r in pii.find_pii(docs.withColumn("both", F.struct("doc_id", "text")), id_column="both").select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.text").alias("t"), *[k.name for k in pii.KINDS]).collect()}
+    got = sorted(((r.doc_id, r.text) for r in pii.redact(docs).collect()), key=repr)
+    want = []
+    for r in docs.collect():
+        out, reach = [], 0
+        for x in sorted(spans[r.doc_id, r.text], key=lambda x: (x["start"], x["end"], f"[{x['kind'].upper()}]")):
+            if x["start"] >= reach:
+                out.append(r.text[reach : x["start"]] + f"[{x['kind'].upper()}]")
+            reach = max(reach, x["end"])
+        want.append((r.doc_id, None if r.text is None else "".join(out) + r.text[reach:]))
+    assert got == sorted(want, key=repr)
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 

@@ -38,6 +38,17 @@ def test_toxicity_on_held_out_labels(spark):
     assert got[got.y == 1].expected_severity.mean() > 1 > 0.1 > got[got.y == 0].expected_severity.mean()
 
 
+def test_a_repeated_labelled_id_is_one_row_of_the_fit(spark, monkeypatch):
+    fitted = []
+    real = toxicity._fit_ordinal
+    monkeypatch.setattr(toxicity, "_fit_ordinal", lambda rows, at, x, grade, *rest: (fitted.append(len(grade)), real(rows, at, x, grade, *rest))[1])
+    rows = [(i, f"plain words number {i} " * 10 + ("vile " if i % 4 == 0 else "")) for i in range(100)]
+    rows += [(7, f"other text of one id {i} " * 5) for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)], "doc_id long, toxic int")
+    toxicity.fit_severity(frame(spark, rows), labels, sample_rows=50)
+    assert fitted and fitted[0] <= 55
+
+
 def test_severity_grows_with_the_share_of_bad_words(spark):
     rows, labels = [], []
     for i in range(400):
