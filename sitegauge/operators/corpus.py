@@ -15,6 +15,7 @@ from sitegauge.functions.sqltext import struct
 from sitegauge.operators.signals import VALID, all_signals, tdm_status
 from sitegauge.plans.audit import evaluate, page_facts, select_dimensions, site_table
 from sitegauge.plans.skew import join_one_per_key
+from sitegauge.plans.stored import shared_folder, store
 from sitegauge.sources.bots import bot_array_sql
 from sitegauge.sources.tables import pages_scan
 
@@ -120,6 +121,11 @@ def _level() -> Column:
     return F.floor(F.col("mean_score") * 100).cast("int")
 
 
+def _once(means: DataFrame) -> DataFrame:
+    """The narrow table of means, stored: what follows reads it several times, and the crawl must be audited only once."""
+    return store(means, f"{shared_folder(means.sparkSession)}/means")
+
+
 def site_ranking(means: DataFrame) -> DataFrame:
     """Sites ranked by mean score (dense, best first).
 
@@ -127,6 +133,7 @@ def site_ranking(means: DataFrame) -> DataFrame:
     are added up before them, so no window holds all sites and no mean is rounded. The ranks go
     back to the sites by a join that splits means which many sites share.
     """
+    means = _once(means)
     values = means.select("mean_score").distinct().withColumn("level", _level())
     above = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
     starts = values.groupBy("level").agg(F.count("*").alias("n")).select(
@@ -156,6 +163,7 @@ def peer_compare(means: DataFrame) -> DataFrame:
     the same level and those of lower levels. No window holds more than one level of one group.
     The gap is rounded to millionths for display.
     """
+    means = _once(means)
     host = F.lower(F.regexp_extract("origin", r"://(?:[^@/]*@)?([^:/]*)", 1))
     sites = means.withColumn("peer", F.regexp_extract(host, r"([^.]+)$", 1))
     bars = sites.groupBy("peer", "mean_score").agg(F.count("*").alias("n")).withColumn("level", _level())

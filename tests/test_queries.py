@@ -36,3 +36,22 @@ def test_entry(spark):
 def test_query(spark, con, name):
     ok, note = compare(spark, con, SF, QUERIES[name], SQL.get(name))
     assert ok, note
+
+
+@pytest.mark.parametrize("hidden", ["sitegauge.llm", "public_tokenizers", "corpus_pipeline"])
+def test_entry_without_the_training_data_operators(monkeypatch, hidden):
+    import sys
+
+    import __spark_entry__
+
+    for name in [n for n in sys.modules if n.split(".")[0] in ("corpus_pipeline", "public_tokenizers") or n.startswith("sitegauge.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, hidden, None)
+    found = __spark_entry__.queries()
+    assert set(QUERIES) <= set(found) and "pipeline" not in found and set(SQL) <= set(__spark_entry__.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["site_ranking", "peer_compare"])
+def test_rankings_audit_the_crawl_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in plan
