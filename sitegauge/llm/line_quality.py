@@ -4,8 +4,8 @@ Base figures of a text come from one pass over it. Across documents, the lines o
 word are normalised (A-Z to lower case, every digit to 0, white space to single blanks) and hashed
 together with their host. A line that more than ``max_docs`` distinct texts of a host hold is over
 the limit and removed wherever it stands on that host; copies of a text count once, since whole
-copies are no boilerplate. A document is depleted, and rejected, if fewer than ``min_words`` words
-are left or more than ``max_removed`` of them went.
+copies are no boilerplate. A document is depleted, and rejected, if more than ``max_removed`` of its
+words went.
 
 Counting takes two steps, so that little is shuffled: rows per line first, with partial sums, then
 distinct texts of the few lines that pass. No group of a host or line is ever gathered.
@@ -116,15 +116,15 @@ def judge(
     zero, words = F.lit(0).cast("long"), F.col("n_words")
     gone = F.coalesce("removed_words", zero)
     base_failed = (words < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat) * words)
-    depleted = (words - gone < min_words) | (gone > F.lit(max_removed) * words)
+    depleted = gone > F.lit(max_removed) * words
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"),
         gone.alias("removed_words"), F.coalesce("removed_lines", zero).alias("removed_lines"),
     )
 
 
-def remove_lines(docs: DataFrame, max_docs: int = 10, min_words: int = 20, max_removed: float = 0.5, text: str = "text", host: str = "source") -> DataFrame:
-    """``docs`` without the lines over the limit and without depleted documents; a null text is empty, hence depleted."""
+def remove_lines(docs: DataFrame, max_docs: int = 10, max_removed: float = 0.5, text: str = "text", host: str = "source") -> DataFrame:
+    """``docs`` without the lines over the limit and without depleted documents; texts without such lines, null ones too, stay as they are."""
     packed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("is "), F.col(host).cast("string")), F.lit("none")).alias("host"))
     table = line_table(docs, docs.columns[0], text, host)
     over = lines_over(table, max_docs)
@@ -134,8 +134,8 @@ def remove_lines(docs: DataFrame, max_docs: int = 10, min_words: int = 20, max_r
     gone = stored(hit.groupBy(*BODY).agg(F.collect_list(F.struct(*LINE)).alias("gone")))
     keyed = packed.select("_row", "text", "host", *row_key("host", "text"))
     keep = f"filter(split(text, '\\n'), x -> not array_contains(gone, {_line_key('host', _normal('x'))}))"
-    cut = join_one_per_key(keyed, gone, BODY).select("_row", "text", F.expr(f"if(gone is null, text, array_join({keep}, '\\n'))").alias("left"))
+    cut = join_one_per_key(keyed, gone, BODY).select("_row", "text", "gone", F.expr(f"if(gone is null, text, array_join({keep}, '\\n'))").alias("left"))
     count = "size(regexp_extract_all({0}, '[^ \\\\t-\\\\r]+', 0))"
-    cut = cut.select("_row", "left", F.expr(count.format("text")).alias("n"), F.expr(count.format("left")).alias("m"))
-    kept = cut.filter((F.col("m") >= min_words) & (F.col("n") - F.col("m") <= F.lit(max_removed) * F.col("n")))
-    return kept.select(*(F.col("left").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    kept = cut.filter(F.expr(f"gone is null or {count.format('text')} - {count.format('left')} <= {max_removed}D * {count.format('text')}"))
+    new = F.when(F.col("gone").isNull(), F.col(f"_row.`{text}`")).otherwise(F.col("left"))
+    return kept.select(*(new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

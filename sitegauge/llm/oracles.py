@@ -87,7 +87,7 @@ f AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars,
  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words, coalesce(removed_lines, 0) AS removed_lines
  FROM d LEFT JOIN cnt USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
- NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_words - removed_words < 20 OR 2 * removed_words > n_words) AS kept FROM f"""
+ NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 2 * removed_words > n_words) AS kept FROM f"""
 
 
 def _codes(rounds: int = 6) -> str:
