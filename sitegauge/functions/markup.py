@@ -107,6 +107,29 @@ def clean_html(html: str = "html") -> Column:
     return F.regexp_replace(F.coalesce(F.expr(html), F.lit("")), NOT_CONTENT, " ")
 
 
+def outermost_sql(clean: str, name: str, first: bool = False) -> str:
+    """What the elements of that name hold, nested ones included; of the first one only if ``first``, else joined by blanks.
+
+    A running balance of opening and closing tags says where an outermost element ends; a closing tag without an opening one
+    is passed over. If the balance does not come back, the element ends at the page's last closing tag; elements behind that are never
+    closed and hold nothing. Tags are taken in blocks, so that a page of very many costs no more than its share.
+    """
+    token = lit(rf"(?is)<{name}(?:\s[^>]*+)?+(?:>|\z)|</{name}\s*+>")
+    closing = rf"(?i)</{name}\s*+>"
+    last = "size(t) + 1 - array_position(reverse(transform(t, x -> startswith(x, '</'))), true)"
+    depth = "CASE WHEN startswith(w.t[i], '</') THEN greatest(a.depth - 1, 0) WHEN endswith(w.t[i], '>') THEN a.depth + 1 ELSE a.depth END"
+    text = "if(a.depth > 0 AND d > 0, concat(w.t[i], w.p[i + 1]), if(d > 0, concat(' ', w.p[i + 1]), ''))"
+    wanted = "i < w.n - 1 AND a.closed = 0" if first else "i < w.n - 1"
+    step = f"get(transform(array({depth}), d -> {struct(depth='d', closed='a.closed + if(a.depth > 0 AND d = 0, 1, 0)', parts=f'if({wanted}, concat(a.parts, array({text})), a.parts)')}), 0)"
+    none = "CAST(array() AS ARRAY<STRING>)"
+    block = f"aggregate(sequence(b * 256, least(b * 256 + 255, w.n - 1)), {struct(depth='q.depth', closed='q.closed', parts=none)}, (a, i) -> {step})"
+    joined = struct(depth="r.depth", closed="r.closed", out="concat(q.out, array(array_join(r.parts, '')))")
+    added = f"get(transform(array({block}), r -> {joined}), 0)"
+    whole = f"aggregate(sequence(0, (w.n - 1) div 256), {struct(depth='0', closed='0', out=none)}, (q, b) -> {added}, q -> array_join(q.out, ''))"
+    tags = f"get(transform(array(regexp_extract_all({clean}, {token}, 0)), t -> {struct(t='t', n=f'CAST({last} AS INT)', p=f'split({clean}, {token}, -1)')}), 0)"
+    return f"if({clean} RLIKE {lit(closing)}, get(transform(array({tags}), w -> {whole}), 0), '')"
+
+
 def element_names(clean: str = "clean") -> Column:
     """Lower-cased names of all opening tags, in order."""
     return F.expr(f"transform(regexp_extract_all({clean}, '<([A-Za-z][A-Za-z0-9]*+)', 1), t -> lower(t))")

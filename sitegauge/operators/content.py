@@ -29,11 +29,6 @@ _HEADING_START = r"(?is)^<h[1-6][^>]*+>(.*?)(?:</h[1-6]\s*+>|\z)"
 _HEAD = r"(?is)<head(?:\s[^>]*+)?+(?:>(?:.*?</head\s*+>|(.*+))|\z)"
 
 
-def _element(name: str) -> str:
-    """A regex for an element; group 1 is what it holds, empty if it is never closed."""
-    return rf"(?is)<{name}(?:\s[^>]*+)?+(?:>(?:(.*?)</{name}\s*+>|.*+)|\z)"
-
-
 def pieces_sql(html: str) -> str:
     """The text cut before each heading; only the parts that begin with one."""
     return f"filter(split({html}, {lit(_BEFORE_HEADING)}), p -> p RLIKE {lit(_OPENS)})"
@@ -95,10 +90,8 @@ def with_body(df: DataFrame) -> DataFrame:
 
 
 def content_html_sql(clean: str = "clean") -> str:
-    """Inner html of ``main`` or, without one, of all ``article`` elements."""
-    main = f"regexp_extract({clean}, {lit(_element('main'))}, 1)"
-    article = f"array_join(regexp_extract_all({clean}, {lit(_element('article'))}, 1), ' ')"
-    return f"coalesce(nullif({main}, ''), {article})"
+    """Inner html of the first ``main`` or, if that holds nothing, of all ``article`` elements, nested ones to their right end."""
+    return f"coalesce(nullif({markup.outermost_sql(clean, 'main', first=True)}, ''), {markup.outermost_sql(clean, 'article')})"
 
 
 def with_text(df: DataFrame) -> DataFrame:

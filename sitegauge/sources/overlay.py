@@ -109,6 +109,11 @@ ARTICLE_END = (
     """CASE {n} % 4
  WHEN 1 THEN '<section><table><tr><td>1</td></tr></table><ol><li>one</li></ol></section><time datetime="2024-06-30">June</time>'
  WHEN 2 THEN '<aside>See also</aside><h1>Second title</h1>'
+ ELSE '' END""",
+    """CASE {n} % 8
+ WHEN 3 THEN '<article><p>A comment.</p><article class="reply">Its reply.</article></article><p>Words after the comments.</p>'
+ WHEN 4 THEN '</article></article><article>Never <main>closed <article>part</article> here'
+ WHEN 6 THEN '<MAIN >Inner <main id="x">main</main > text</main><article'
  ELSE '' END""",
 )
 MAIN_OPEN = "CASE {n} % 4 WHEN 0 THEN '<main>Lead in ' ELSE '' END"

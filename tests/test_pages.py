@@ -250,3 +250,36 @@ def test_every_rule_has_texts():
     assert set(rules.TITLES) == set(rules.ADVICE) == set(rules.CATEGORY)
     with pytest.raises(ValueError, match="severity"):
         rules.issue("fatal", "tdm", "t", "d", "r")
+
+
+def held(spark, html, name, first=False):
+    from sitegauge.functions.markup import outermost_sql
+
+    df = spark.createDataFrame([(html,)], "html string")
+    return df.select(F.expr(outermost_sql("html", name, first))).first()[0]
+
+
+@pytest.mark.parametrize(
+    "html, name, first, want",
+    [
+        ("<main>a<main>b</main>c</main>d", "main", True, " a<main>bc"),
+        ("<article>a</article>x<article>b<article>c</article></article>", "article", False, " a b<article>c"),
+        ("</article><article>a</article></article>b", "article", False, " a"),
+        ("<article>a<article>b</article>c", "article", False, " a<article>b"),
+        ("<article>a</article><article>b", "article", False, " a"),
+        ("<MAIN class='x'>a</Main >b<main>c</main>", "main", True, " a"),
+        ("<main>a", "main", True, ""),
+        ("<mainly>a</mainly>", "main", True, ""),
+        ("<main></main>", "main", True, " "),
+        (None, "main", True, ""),
+    ],
+)
+def test_outermost_elements(spark, html, name, first, want):
+    got = held(spark, html, name, first)
+    assert " ".join(got.replace("</main>", "").replace("</article>", "").split()) == " ".join(want.split())
+
+
+def test_very_many_nested_elements(spark):
+    depth = 20_000
+    assert held(spark, "<main>x" * depth + "</main>" * depth, "main", True).count("x") == depth
+    assert held(spark, "<main>x</main>" * depth, "main").count("x") == depth

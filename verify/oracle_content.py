@@ -106,9 +106,30 @@ part("hd", f"""SELECT page_id, pos, CAST(substr(p, 3, 1) AS INTEGER) AS level, {
 part("outline", """SELECT *, coalesce(level - lag(level) OVER (PARTITION BY page_id ORDER BY pos) > 1, false) AS skip FROM hd""")
 part("els", "SELECT page_id, lower(unnest(regexp_extract_all(clean, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS el FROM cl")
 part("bodies", "SELECT *, regexp_replace(clean, '(?is)<head(?:\\s[^>]*)?(?:>(?:.*?</head\\s*>|(.*))|\\z)', ' \\1', 'g') AS body FROM cl")
-part("texts", f"""SELECT page_id, {vis('body')} AS body_text, {vis('inner_html')} AS content_text FROM
- (SELECT page_id, body, coalesce(nullif(regexp_extract(clean, '(?is)<main(?:\\s[^>]*)?>(.*?)</main\\s*>', 1), ''),
-  array_to_string(regexp_extract_all(clean, '(?is)<article(?:\\s[^>]*)?>(.*?)</article\\s*>', 1), ' ')) AS inner_html FROM bodies)""")
+
+
+def regions(name: str) -> None:
+    """Part ``{name}s`` (page_id, element, inside): what outermost elements hold, from rows of tags and heights that stop at zero."""
+    token = rf"(?is)<{name}(?:\s[^>]*)?(?:>|\z)|</{name}\s*>"
+    part(name + "tags", f"""SELECT page_id, unnest(t) AS tag, unnest(p[2:]) AS behind, generate_subscripts(t, 1) AS i FROM
+ (SELECT page_id, regexp_extract_all(clean, '{token}') AS t, regexp_split_to_array(clean, '{token}') AS p FROM cl)""")
+    part(name + "ways", f"""SELECT *, CASE WHEN starts_with(tag, '</') THEN -1 WHEN ends_with(tag, '>') THEN 1 ELSE 0 END AS way,
+ max(i) FILTER (WHERE starts_with(tag, '</')) OVER (PARTITION BY page_id) AS last_close FROM {name}tags""")
+    part(name + "sums", f"SELECT *, sum(way) OVER (PARTITION BY page_id ORDER BY i) AS total FROM {name}ways")
+    part(name + "tops", f"SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY i)) AS height FROM {name}sums")
+    part(name + "befores", f"SELECT *, coalesce(lag(height) OVER (PARTITION BY page_id ORDER BY i), 0) AS was FROM {name}tops")
+    part(name + "parts", f"""SELECT *, coalesce(sum(CASE WHEN was > 0 AND height = 0 THEN 1 ELSE 0 END)
+ OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS element FROM {name}befores""")
+    part(name + "s", f"""SELECT page_id, element, string_agg(CASE WHEN was > 0 THEN tag ELSE '' END || behind, '' ORDER BY i) AS inside
+ FROM {name}parts WHERE height > 0 AND i < last_close GROUP BY 1, 2""")
+
+
+regions("main")
+regions("article")
+part("texts", f"""SELECT page_id, {vis('body')} AS body_text, {vis("coalesce(inner_html, '')")} AS content_text FROM
+ (SELECT b.page_id, body, coalesce(nullif(m.inside, ''), a.inside) AS inner_html FROM bodies b
+ LEFT JOIN mains m ON m.page_id = b.page_id AND m.element = 0
+ LEFT JOIN (SELECT page_id, string_agg(inside, ' ' ORDER BY element) AS inside FROM articles GROUP BY 1) a ON a.page_id = b.page_id)""")
 part("secs", f"""SELECT page_id, pos, CAST(substr(p, 3, 1) AS INTEGER) AS level, {vis(f"regexp_extract(p, '{HS}', 1)")} AS heading,
  {vis(f"regexp_replace(p, '{HS}', '')")} AS text FROM ({headed('bodies', 'body')})""")
 FIRST = "regexp_extract(text, '^[^.!?]*[.!?]')"

@@ -11,6 +11,7 @@ from sitegauge.operators import corpus, report
 from sitegauge.plans import audit as plan
 from sitegauge.sources.overlay import overlay_pages
 from sitegauge.streaming import audit_stream as stream
+from sitegauge.streaming.live_audit import LiveAudit, live_pages, live_rollup, live_site_means
 from verify.queries_core import audited, files, pages
 
 
@@ -83,8 +84,26 @@ def q_audit_stream(spark, d):
     return done.select("page_id", "overall_score", F.col("issue_count").cast("long").alias("issue_count"))
 
 
+def _live(spark, d):
+    """The pages as a stream in two triggers, odd page numbers later; returns the folder of the results."""
+    folder = stream.shared_folder(spark)
+    given = spark.read.parquet(f"{d}/pages.parquet")
+    live = LiveAudit(folder, lambda: files(spark, d))
+    for turn in (0, 1):
+        given.filter(F.col("page_id") % 2 == turn).write.mode("append").parquet(f"{folder}/arrived")
+        live.run_available(overlay_pages(spark.readStream.schema(given.schema).parquet(f"{folder}/arrived")))
+    return folder
+
+
+def q_live_audit(spark, d):
+    return live_pages(spark, _live(spark, d)).select("page_id", "overall_score", F.col("issue_count").cast("long").alias("issue_count"))
+
+
 def corpus_queries():
     return {
+        "live_audit": q_live_audit,
+        "live_rollup": lambda s, d: live_rollup(s, _live(s, d)),
+        "live_site_ranking": lambda s, d: corpus.site_ranking(live_site_means(s, _live(s, d))).withColumn("site_rank", F.col("site_rank").cast("long")),
         "report_json": q_report_json,
         "report_json_full": q_report_json_full,
         "report_tables": q_report_tables,
