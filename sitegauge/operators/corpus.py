@@ -190,6 +190,12 @@ def issue_codes(audited: DataFrame) -> DataFrame:
     return audited.select("url", F.expr("array_distinct(transform(issues, i -> struct(i.rule AS rule, i.key AS key)))").alias("codes"))
 
 
+OUTCOME_SQL = "concat(" + ", ".join(
+    f"transform({codes}, x -> struct(x.rule AS rule, x.key AS key, '{status}' AS status))"
+    for codes, status in (("array_except(n, o)", "new"), ("array_except(o, n)", "fixed"), ("array_intersect(o, n)", "kept"))
+) + ")"
+
+
 def audit_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Issues of two snapshots, each (url, codes): new, fixed or kept.
 
@@ -201,8 +207,4 @@ def audit_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     sides = [snapshot.select("url", F.lit(side).alias("side"), F.explode_outer("codes").alias("code")) for side, snapshot in (("o", old), ("n", new))]
     pooled = [F.collect_set(F.when(F.col("side") == side, F.col("code"))).alias(side) for side in ("o", "n")]
     both = sides[0].unionByName(sides[1]).groupBy("url").agg(*pooled)
-    outcome = ", ".join(
-        f"transform({codes}, x -> struct(x.rule AS rule, x.key AS key, '{status}' AS status))"
-        for codes, status in (("array_except(n, o)", "new"), ("array_except(o, n)", "fixed"), ("array_intersect(o, n)", "kept"))
-    )
-    return both.select("url", F.inline(F.expr(f"concat({outcome})")))
+    return both.select("url", F.inline(F.expr(OUTCOME_SQL)))

@@ -58,7 +58,7 @@ SQL: dict[str, str] = {
   UNION ALL SELECT p.url, i.rule, i.key, 0, 1 FROM pg_b p JOIN issues_b i ON i.page_id = p.page_id) GROUP BY 1, 2, 3""",
     "audit_stream": "SELECT page_id, overall_score, issue_count FROM overall JOIN issuecounts USING (page_id)",
 }
-SQL |= {"live_audit": SQL["audit_stream"], "live_rollup": SQL["issue_rollup"], "live_site_ranking": SQL["site_ranking"]}
+SQL |= {"live_audit": SQL["audit_stream"], "live_rollup": SQL["issue_rollup"], "live_site_ranking": SQL["site_ranking"], "audit_diff_stored": SQL["audit_diff"]}
 
 
 def corpus_oracles() -> dict[str, str]:

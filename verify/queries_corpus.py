@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 import sitegauge
-from sitegauge.operators import corpus, report
+from sitegauge.operators import corpus, report, snapshots
 from sitegauge.plans import audit as plan
 from sitegauge.sources.overlay import overlay_pages
 from sitegauge.streaming import audit_stream as stream
@@ -72,6 +72,17 @@ def q_audit_diff(spark, d):
     return corpus.audit_diff(*[corpus.issue_codes(audited(spark, d, shift=shift, brief=True)) for shift in (0, 1)])
 
 
+def q_audit_diff_stored(spark, d):
+    """The same from two bucketed tables, written first."""
+    folder = stream.shared_folder(spark)
+    name = f"snapshot_{folder.rsplit('/', 1)[1]}"
+    tables = [
+        snapshots.store_snapshot(corpus.issue_codes(audited(spark, d, shift=shift, brief=True)), f"{name}_{shift}", f"{folder}/{shift}", 16)
+        for shift in (0, 1)
+    ]
+    return snapshots.diff_snapshots(*tables)
+
+
 def q_audit_stream(spark, d):
     """Pages as a file stream against stored site facts."""
     folder = stream.shared_folder(spark)
@@ -115,5 +126,6 @@ def corpus_queries():
         "policy_mix": lambda s, d: corpus.policy_mix(pages(s, d), files(s, d)),
         "peer_compare": lambda s, d: corpus.peer_compare(means(s, d)),
         "audit_diff": q_audit_diff,
+        "audit_diff_stored": q_audit_diff_stored,
         "audit_stream": q_audit_stream,
     }
