@@ -19,8 +19,6 @@ STRUCTURE = ("ul", "ol", "li", "table")
 WORD = r"[\p{L}\p{N}]+"
 LONG_WORD = r"[\p{L}\p{N}]{7,}"
 SENTENCE_END = r"[.!?]+(?:\s|\z)"
-CAPITAL = r"(?:^|[^\p{L}\p{N}])\p{Lu}"
-CAPITAL_AT_START = r"(?:^|[.!?]\s)\p{Lu}"
 
 # Texts are cut before each heading; a heading ends at its closing tag or where the next one starts.
 _BEFORE_HEADING = r"(?i)(?=<h[1-6][\s>])"
@@ -163,19 +161,6 @@ def page_language(df: DataFrame) -> DataFrame:
     return df.select("page_id", language().alias("lang"))
 
 
-def entity_density(df: DataFrame) -> DataFrame:
-    """Capitalised words that do not start a sentence, per word: a stand-in for named entities.
-
-    Languages that capitalise nouns score higher; compare within a language.
-    """
-    t = with_text(with_clean(df.withColumn("lang", language())))
-    n = t.select(
-        "page_id", "lang", F.expr(words_sql("content_text")).alias("n_words"),
-        F.expr(f"{count_sql('content_text', CAPITAL)} - {count_sql('content_text', CAPITAL_AT_START)}").alias("n_entities"),
-    )
-    return n.withColumn("density", F.expr("if(n_words = 0, 0.0D, n_entities / n_words)"))
-
-
 def readability(df: DataFrame) -> DataFrame:
     """LIX: words per sentence plus the percentage of words over six letters."""
     t = with_text(with_clean(df)).select(

@@ -138,8 +138,20 @@ part("langs", """SELECT page_id, nullif(lower(split_part(trim(arg_min(lang, tpos
  WHERE el = 'html' GROUP BY 1""")
 SENT, LONG = r"[.!?]+(?:\s|\z)", r"[\p{L}\p{N}]{7,}"
 part("measures", f"""SELECT page_id, {words('content_text')} AS n_words, greatest(1, {count('content_text', SENT)}) AS n_sentences,
- {count('content_text', LONG)} AS n_long,
- {count('content_text', r'(?:^|[^\p{L}\p{N}])\p{Lu}')} - {count('content_text', r'(?:^|[.!?]\s)\p{Lu}')} AS n_entities FROM texts""")
+ {count('content_text', LONG)} AS n_long FROM texts""")
+part("entwords", rf"""SELECT *, lower(w) AS word, regexp_matches(w, '^\p{{Lu}}') AS cap,
+ row_number() OVER (PARTITION BY page_id, snr ORDER BY pnr, wnr) = 1 AS starts FROM
+ (SELECT page_id, snr, pnr, unnest(regexp_extract_all(piece, '{WORD}')) AS w, generate_subscripts(regexp_extract_all(piece, '{WORD}'), 1) AS wnr FROM
+  (SELECT page_id, snr, unnest(regexp_split_to_array(sentence, '[^\p{{L}}\p{{N}}\s]+')) AS piece,
+   generate_subscripts(regexp_split_to_array(sentence, '[^\p{{L}}\p{{N}}\s]+'), 1) AS pnr FROM
+   (SELECT page_id, unnest(l) AS sentence, generate_subscripts(l, 1) AS snr FROM
+    (SELECT page_id, string_split(regexp_replace(content_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM texts))))""")
+part("entplaces", """SELECT e.*, lang, NOT starts AND (coalesce(lag(cap AND NOT starts) OVER beside, false) OR coalesce(lead(cap) OVER beside, false)) AS run
+ FROM entwords e LEFT JOIN langs l ON l.page_id = e.page_id WINDOW beside AS (PARTITION BY e.page_id, snr, pnr ORDER BY wnr)""")
+part("entcases", """SELECT lang, word, avg(CAST(cap AS INT)) AS share, count(*) AS n FROM entplaces WHERE NOT starts GROUP BY 1, 2""")
+part("entlangs", """SELECT lang, avg(CAST(cap AS INT)) >= 0.25 AS nouns FROM entplaces WHERE NOT starts GROUP BY 1""")
+part("entities", """SELECT p.page_id, count(*) AS n_entities FROM entplaces p JOIN entcases c ON c.word = p.word AND c.lang IS NOT DISTINCT FROM p.lang
+ JOIN entlangs g ON g.lang IS NOT DISTINCT FROM p.lang WHERE cap AND share >= 0.8 AND length(p.word) > 1 AND (run OR NOT nouns) GROUP BY 1""")
 LIX = "CASE WHEN n_words = 0 THEN 0.0 ELSE n_words / n_sentences + 100 * n_long / n_words END"
 
 
@@ -328,8 +340,9 @@ SQL: dict[str, str] = {
     "answer_ready": """SELECT p.page_id, count(r.pos) AS n_sections, count(*) FILTER (WHERE is_ready) AS n_ready,
  CASE WHEN count(r.pos) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE is_ready) / count(r.pos) END AS share
  FROM pg p LEFT JOIN ready r ON r.page_id = p.page_id GROUP BY 1""",
-    "entity_density": """SELECT m.page_id, lang, n_words, n_entities, CASE WHEN n_words = 0 THEN 0.0 ELSE n_entities / n_words END AS density
- FROM measures m LEFT JOIN langs l ON l.page_id = m.page_id""",
+    "entity_density": """SELECT m.page_id, lang, n_words, coalesce(n_entities, 0) AS n_entities,
+ CASE WHEN n_words = 0 THEN 0.0 ELSE coalesce(n_entities, 0) / n_words END AS density
+ FROM measures m LEFT JOIN langs l ON l.page_id = m.page_id LEFT JOIN entities e ON e.page_id = m.page_id""",
     "readability": f"SELECT page_id, n_words, n_sentences, n_long, {LIX} AS lix FROM measures",
     "page_language": "SELECT p.page_id, lang FROM pg p LEFT JOIN langs l ON l.page_id = p.page_id",
     "language_summary": f"""SELECT *, {LIX} AS lix FROM (SELECT lang, count(*) AS n_pages, CAST(sum(n_words) AS BIGINT) AS n_words,

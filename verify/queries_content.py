@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegauge.operators import attribution, canonical, content, structured
+from sitegauge.operators import attribution, canonical, content, entities, structured
 from sitegauge.sources.overlay import overlay_chains
 from verify.queries_core import audited, pages
 
@@ -36,9 +36,10 @@ def content_queries():
     named = {
         structured: "jsonld_blocks jsonld_types microdata_items rdfa_items missing_schemas schema_completeness schema_nesting",
         content: (
-            "heading_outline h1_check content_ratio semantic_tags section_blocks answer_ready entity_density "
+            "heading_outline h1_check content_ratio semantic_tags section_blocks answer_ready "
             "list_table_usage section_depth readability page_language language_summary"
         ),
+        entities: "entity_density",
         attribution: (
             "author_markup outbound_links eeat_markers canonical_check social_meta contact_info trust_signals"
         ),
