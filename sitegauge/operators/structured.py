@@ -45,28 +45,68 @@ def _children(v: str, prefix: str, e: str = "e") -> str:
 VALID_JSON = "coalesce(size(from_json(concat('[', {0}, ']'), 'array<string>', map('allowSingleQuotes', 'false'))) = 1, false)"
 
 
-def with_jsonld(df: DataFrame) -> DataFrame:
-    """Adds ``jsonld`` (array of block texts) and ``items`` (array of struct) to rows with html.
+_TYPE = "try_variant_get({}, '$[\"@type\"]', 'variant')"
+_ID = "try_variant_get({}, '$[\"@id\"]', 'string')"
 
-    Items are the top-level objects, the members of a top-level array or those of ``@graph``.
-    """
+
+def _types(v: str) -> str:
+    """SQL: type names of a node."""
+    raw = f"coalesce(try_variant_get({v}, '$[\"@type\"]', 'array<string>'), array(try_variant_get({v}, '$[\"@type\"]', 'string')))"
+    return f"transform(filter({raw}, t -> t IS NOT NULL), t -> regexp_replace(t, {lit(_SCHEMA_PREFIX)}, ''))"
+
+
+def _nested(v: str) -> str:
+    """SQL: what item ``v`` holds, two levels deep, with the path of properties."""
+    first = _children(v, "''")
+    second = f"flatten(transform(filter({first}, c -> {_IS_OBJECT}), c -> {_children('c.v', 'concat(c.at, ' + lit('.') + ')', 'd')}))"
+    return f"concat({first}, {second})"
+
+
+def _typed_nodes() -> str:
+    """SQL: ``array<struct<id, types>>``, the nodes of a page's items that have both an ``@id`` and a type."""
+    whole = f"concat(array(struct('' AS at, i AS v)), {_nested('i')})"
+    node = struct(id=_ID.format("c.v"), types=_types("c.v"))
+    found = f"transform(filter({whole}, c -> {_IS_OBJECT} AND {_TYPE.format('c.v')} IS NOT NULL AND {_ID.format('c.v')} IS NOT NULL), c -> {node})"
+    some = f"flatten(transform(_v, i -> {found}))"
+    return f"if(exists(jsonld, b -> contains(b, '@id')), {some}, CAST(array() AS ARRAY<STRUCT<id: STRING, types: ARRAY<STRING>>>))"
+
+
+def _with_values(df: DataFrame) -> DataFrame:
+    """Adds ``jsonld`` (array of block texts) and ``_v`` (the items as variants)."""
     graph = "try_variant_get(v, '$[\"@graph\"]', 'array<variant>')"
     members = f"coalesce({graph}, try_variant_get(v, '$', 'array<variant>'), array(v))"
     parsed = "filter(transform(jsonld, b -> try_parse_json(b)), v -> v IS NOT NULL)"
-    raw_types = (
-        "filter(coalesce(try_variant_get(i, '$[\"@type\"]', 'array<string>'), "
-        "array(try_variant_get(i, '$[\"@type\"]', 'string'))), t -> t IS NOT NULL)"
-    )
-    types = f"transform({raw_types}, t -> regexp_replace(t, {lit(_SCHEMA_PREFIX)}, ''))"
-    first = _children("i", "''")
-    second = f"flatten(transform(filter({first}, c -> {_IS_OBJECT}), c -> {_children('c.v', 'concat(c.at, ' + lit('.') + ')', 'd')}))"
-    nested = f"concat({first}, {second})"
-    untyped = f"array_distinct(transform(filter({nested}, c -> {_IS_OBJECT} AND try_variant_get(c.v, '$[\"@type\"]', 'variant') IS NULL), c -> c.at))"
-    text = {k: f"try_variant_get(i, '$.{k}', 'string')" for k in ("datePublished", "dateModified")}
-    item = struct(types=types, keys="coalesce(json_object_keys(to_json(i)), array())", untyped=untyped, **text)
     df = df.withColumn("jsonld", markup.jsonld_blocks("html"))
-    df = df.withColumn("_v", F.expr(f"flatten(transform({parsed}, v -> {members}))"))
-    return df.withColumn("items", F.expr(f"transform(_v, i -> {item})")).drop("_v")
+    return df.withColumn("_v", F.expr(f"flatten(transform({parsed}, v -> {members}))"))
+
+
+def with_jsonld(df: DataFrame) -> DataFrame:
+    """Adds ``jsonld`` (array of block texts) and ``items`` (array of struct) to rows with html.
+
+    Items are the top-level objects, the members of a top-level array or those of ``@graph``. A nested object without a type is untyped
+    unless its ``@id`` is that of a typed node of the page, in whatever block that is.
+    """
+    known = f"coalesce(array_contains(ids, {_ID.format('c.v')}), false)"
+    untyped = f"array_distinct(transform(filter({_nested('i')}, c -> {_IS_OBJECT} AND {_TYPE.format('c.v')} IS NULL AND NOT {known}), c -> c.at))"
+    text = {k: f"try_variant_get(i, '$.{k}', 'string')" for k in ("datePublished", "dateModified")}
+    item = struct(types=_types("i"), keys="coalesce(json_object_keys(to_json(i)), array())", untyped=untyped, **text)
+    # ids are bound by a lambda: as a column they would be merged into the items and gathered for each of them
+    items = f"get(transform(array(transform({_typed_nodes()}, n -> n.id)), ids -> transform(_v, i -> {item})), 0)"
+    return _with_values(df).withColumn("items", F.expr(items)).drop("_v")
+
+
+def schema_references(df: DataFrame) -> DataFrame:
+    """(page_id, item, property, id, resolved, types): nested objects that stand for another node by its ``@id``.
+
+    ``resolved`` says whether the page has a typed node of that ``@id``; ``types`` are those of all such nodes, sorted. References
+    are followed for one step, so nodes that refer to each other or to themselves are no trouble.
+    """
+    refs = f"filter({_nested('i')}, c -> {_IS_OBJECT} AND {_TYPE.format('c.v')} IS NULL AND {_ID.format('c.v')} IS NOT NULL)"
+    hits = f"filter(nodes, n -> n.id = {_ID.format('c.v')})"
+    types = "array_join(array_sort(array_distinct(flatten(transform(h, n -> n.types)))), ',')"
+    one = f"get(transform(array({hits}), h -> {struct(item='k', property='c.at', id=_ID.format('c.v'), resolved='size(h) > 0', types=types)}), 0)"
+    rows = f"get(transform(array({_typed_nodes()}), nodes -> flatten(transform(_v, (i, k) -> transform({refs}, c -> {one})))), 0)"
+    return inline_rows(_with_values(df), ["page_id"], F.expr(rows), "item")
 
 
 def jsonld_blocks(df: DataFrame) -> DataFrame:

@@ -188,6 +188,33 @@ def overlay_chains(pages: DataFrame) -> DataFrame:
     return linked.select("page_id", "url", F.expr(f"concat(coalesce({NEXT_LINK}, ''), coalesce(html, ''))").alias("html"))
 
 
+# Items of five kinds by page number, nested ones, void elements and text in parts among them; SQL of both engines.
+ITEMS = """CASE page_id % 5
+ WHEN 0 THEN concat('<div itemscope itemtype="https://schema.org/Article"><h2 itemprop="headline">Page <b>', CAST(page_id AS VARCHAR(20)), '</b></h2><p>x<div itemprop="author creator" itemscope itemtype="https://schema.org/Person"><span itemprop="name">Ann &amp; Co</span><a itemprop="url" href="/a/', CAST(page_id % 7 AS VARCHAR(20)), '">me</a></div><meta itemprop="datePublished" content="2025-01-0', CAST(page_id % 9 + 1 AS VARCHAR(20)), '"></div>')
+ WHEN 1 THEN concat('<ol vocab="https://schema.org/" typeof="BreadcrumbList"><li property="itemListElement" typeof="ListItem"><a property="item" typeof="WebPage" href="/x"><span property="name">Start</span></a><meta property="position" content="', CAST(page_id AS VARCHAR(20)), '"></li><li property="itemListElement" typeof="ListItem Thing"><span property="name alternateName">Two</span></li></ol><meta property="og:title" content="T">')
+ WHEN 2 THEN concat('<!-- <div itemscope> --><section itemscope><time itemprop="start" datetime="2025">now</time><time itemprop="end">later <i>on</i></time><img itemprop="image" src="/', CAST(page_id AS VARCHAR(20)), '.png"><div itemscope itemtype="A  B"></div><script>"<div itemscope>"</script></section><b itemprop="lost">z</b>')
+ WHEN 3 THEN concat('<div itemscope><div><div itemprop="a"><div>in', CAST(page_id AS VARCHAR(20)), '</div> out</div></div><data itemprop="n" value="5">five</data><link itemprop="no-address"></div><div typeof="Thing"><time property="at">1</time><a property="to" resource="#r" href="/h">x</a></div>')
+ ELSE '' END"""
+
+
+# JSON-LD whose nodes refer to each other: across blocks, in circles, to nowhere, to several nodes of one name.
+REFERENCES = """CASE page_id % 4
+ WHEN 0 THEN concat('<script type="application/ld+json">{"@type":"Article","@id":"#a","author":{"@id":"#p', CAST(page_id AS VARCHAR(20)), '"},"publisher":{"@id":"#gone"},"image":{"url":"i.png"}}</script><script type="application/ld+json">{"@type":["Person","Thing"],"@id":"#p', CAST(page_id AS VARCHAR(20)), '","worksFor":{"@type":"Organization","@id":"#o","member":{"@id":"#a"}}}</script>')
+ WHEN 1 THEN '<script type="application/ld+json">{"@graph":[{"@id":"#x","@type":"https://schema.org/WebPage","isPartOf":[{"@id":"#x"},{"@id":"#y"}]},{"@id":"#y","@type":"WebSite"},{"@id":"#y","@type":"CreativeWork"},{"@id":"#z","name":"bare"},{"@type":"Thing","about":{"@id":"#z"}}]}</script>'
+ WHEN 2 THEN '<script type="application/ld+json">{"@type":"Thing","a":{"b":{"@id":"#deep"},"@id":"#deep"},"c":{"@type":"Place","@id":"#deep"}}</script>'
+ ELSE '' END"""
+
+
+def overlay_references(pages: DataFrame) -> DataFrame:
+    """Pages that begin with JSON-LD whose nodes refer to each other."""
+    return pages.select("page_id", F.concat(F.expr(REFERENCES.replace("VARCHAR(20)", "STRING")), F.coalesce("html", F.lit(""))).alias("html"))
+
+
+def overlay_items(pages: DataFrame) -> DataFrame:
+    """Pages that begin with items of Microdata or RDFa."""
+    return pages.select("page_id", F.concat(F.expr(ITEMS.replace("VARCHAR(20)", "STRING")), F.coalesce("html", F.lit(""))).alias("html"))
+
+
 def overlay_site_files(pages: DataFrame, shift: int = 0) -> DataFrame:
     """Up to three files per origin, from one narrow aggregate over the page addresses."""
     sites = pages.groupBy(origin(F.expr(URL)).alias("origin")).agg(F.min("page_id").alias("site_no"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from sitegauge.sources import overlay as ov
-from verify.oracle_core import ATTR, BARE, SKIP, strip, tag_pattern, unescape, unquote
-from verify.sqlkit import oracle, part
+from verify.oracle_core import ATTR, BARE, INNER, SKIP, strip, tag_pattern, unescape, unquote
+from verify.sqlkit import PARTS, oracle, part
 
 # The library's own tables, stated here once more so that a slip there shows.
 CRITICAL_TYPES = ('FAQPage', 'HowTo', 'Article', 'Organization')
@@ -84,8 +86,22 @@ part("nested1", """SELECT page_id, item, k AS property, unnest(CASE WHEN json_ty
 part("keys2", """SELECT page_id, item, property, v, unnest(json_keys(v)) AS k FROM nested1 WHERE json_type(v) = 'OBJECT'""")
 part("nested2", """SELECT page_id, item, property || '.' || k AS property, unnest(CASE WHEN json_type(v, '$."' || k || '"') = 'ARRAY'
  THEN CAST(json_extract(v, '$."' || k || '"') AS JSON[]) ELSE [json_extract(v, '$."' || k || '"')] END) AS v FROM keys2""")
-part("untyped", """SELECT DISTINCT page_id, item, property FROM (SELECT * FROM nested1 UNION ALL SELECT * FROM nested2)
- WHERE json_type(v) = 'OBJECT' AND json_type(v, '$."@type"') IS NULL""")
+part("ldnodes", """SELECT page_id, item, '' AS property, i AS v FROM lditems UNION ALL SELECT * FROM nested1 UNION ALL SELECT * FROM nested2""")
+part("ldobjects", """SELECT page_id, item, property, v, json_extract_string(v, '$."@id"') AS id, json_type(v, '$."@type"') AS typed FROM ldnodes WHERE json_type(v) = 'OBJECT'""")
+part("ldknown", """SELECT page_id, id, unnest(CASE WHEN typed = 'ARRAY' THEN json_extract_string(v, '$."@type"[*]') ELSE [json_extract_string(v, '$."@type"')] END) AS type
+ FROM ldobjects WHERE id IS NOT NULL AND typed IS NOT NULL""")
+part("untyped", """SELECT DISTINCT o.page_id, item, property FROM ldobjects o ANTI JOIN ldknown k ON k.page_id = o.page_id AND k.id = o.id
+ WHERE property <> '' AND typed IS NULL""")
+part("ldrefs", """SELECT o.page_id, item, property, o.id, count(k.id) > 0 AS resolved,
+ coalesce(string_agg(DISTINCT regexp_replace(k.type, '^(?:https?://schema[.]org/|schema:)', ''), ','
+  ORDER BY regexp_replace(k.type, '^(?:https?://schema[.]org/|schema:)', '')), '') AS types
+ FROM (SELECT *, row_number() OVER () AS n FROM ldobjects WHERE property <> '' AND typed IS NULL AND id IS NOT NULL) o
+ LEFT JOIN ldknown k ON k.page_id = o.page_id AND k.id = o.id GROUP BY o.n, o.page_id, item, property, o.id""")
+# the same over pages whose nodes refer to each other
+part("refpg", f"SELECT page_id, concat({ov.REFERENCES}, coalesce(html, '')) AS html FROM pages")
+LD_PARTS = "blocks parsedblocks ldraw lditems ldkeys nested1 keys2 nested2 ldnodes ldobjects ldknown untyped ldrefs".split()
+for _name in LD_PARTS:
+    part("ref" + _name, re.sub(r"\b(FROM|JOIN) (pg|" + "|".join(LD_PARTS) + r")\b", r"\1 ref\2", PARTS[_name]))
 
 # ---- content --------------------------------------------------------------------------------
 part("cl", f"SELECT page_id, url, html, regexp_replace(html, '(?s)<(?:{SKIP})', ' ', 'g') AS clean FROM pg")
@@ -312,6 +328,71 @@ def scored(prefix: str) -> str:
     )
 
 
+# ---- items: elements by the heights of their tags, owners by the span around them ----------
+part("itpg", f"SELECT page_id, concat({ov.ITEMS}, coalesce(html, '')) AS html FROM pages")
+ITEM_TOKEN = rf"(?s)<(?:{SKIP}|/?(?i:{ANY})(?:[\s/]{INNER})?(?:>|\z))"
+part("ittokens", f"""SELECT page_id, unnest(t) AS tag, unnest(p[2:]) AS behind, generate_subscripts(t, 1) AS i, len(t) + 1 AS ends FROM
+ (SELECT page_id, regexp_extract_all(html, '{ITEM_TOKEN}') AS t, regexp_split_to_array(html, '{ITEM_TOKEN}') AS p FROM itpg)""")
+part("ittags", """SELECT page_id, tag, i, ends, lower(regexp_extract(tag, '^</?([^\\s/>]+)', 1)) AS el, CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END AS way
+ FROM ittokens WHERE ends_with(tag, '>') AND NOT starts_with(tag, '<!') AND NOT regexp_matches(tag, '(?i)^<(?:script|style)[\\s/>]')""")
+VOID_SQL = "('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr')"
+
+
+def item_parts(prefix: str, scope: str, kind: str, prop: str, fields: str, value: str, outside: bool) -> str:
+    """Parts of one syntax; gives the statement of its table of properties."""
+    x = prefix
+    part(x + "attr", f"""SELECT page_id, i, lower(k) AS k, arg_max({unescape(unquote(BARE))}, apos) AS v FROM
+ (SELECT page_id, i, unnest(regexp_extract_all(body, '{ATTR}', 1)) AS k, unnest(regexp_extract_all(body, '{ATTR}', 2)) AS v,
+  generate_subscripts(regexp_extract_all(body, '{ATTR}', 1), 1) AS apos FROM
+  (SELECT page_id, i, regexp_extract(tag, '(?s)^<[^\\s/>]+(.*)>$', 1) AS body FROM ittags WHERE way = 1
+   AND regexp_matches(tag, '(?i)\\s(?:{scope}|{prop})[\\s=/>]'))) GROUP BY 1, 2, 3""")
+    cols = ", ".join(f"max(v) FILTER (WHERE k = '{f}') AS a_{f}" for f in fields.split())
+    part(x + "marked", f"SELECT t.page_id, t.i, any_value(t.el) AS el, any_value(t.ends) AS ends, {cols} FROM ittags t JOIN {x}attr a ON a.page_id = t.page_id AND a.i = t.i GROUP BY 1, 2")
+    part(x + "names", f"SELECT DISTINCT page_id, el FROM {x}marked WHERE el NOT IN {VOID_SQL}")
+    part(x + "sums", f"SELECT t.*, sum(way) OVER (PARTITION BY t.page_id, t.el ORDER BY i) AS total FROM ittags t JOIN {x}names n ON n.page_id = t.page_id AND n.el = t.el")
+    part(x + "tops", f"SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id, el ORDER BY i)) AS height FROM {x}sums")
+    part(x + "steps", f"SELECT *, coalesce(lag(height) OVER (PARTITION BY page_id, el ORDER BY i), 0) AS was FROM {x}tops")
+    part(x + "stops", f"SELECT page_id, i, way, lead(i) OVER (PARTITION BY page_id, el, greatest(height, was) ORDER BY i) AS stop FROM {x}steps WHERE height <> was")
+    part(x + "spans", f"""SELECT m.*, CASE WHEN m.el IN {VOID_SQL} THEN m.i ELSE coalesce(s.stop, m.ends) END AS stop
+ FROM {x}marked m LEFT JOIN {x}stops s ON s.page_id = m.page_id AND s.i = m.i AND s.way = 1""")
+    part(x + "items", f"SELECT page_id, i, stop, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS item, a_{kind} AS kind FROM {x}spans WHERE a_{scope} IS NOT NULL")
+    part(x + "owned", f"""SELECT s.page_id, s.i, arg_max(o.item, o.i) AS owner FROM {x}spans s
+ LEFT JOIN {x}items o ON o.page_id = s.page_id AND o.i < s.i AND o.stop > s.i GROUP BY 1, 2""")
+    part(x + "texts", f"""SELECT s.page_id, s.i, string_agg(t.behind, ' ' ORDER BY t.i) AS inside FROM {x}spans s
+ JOIN ittokens t ON t.page_id = s.page_id AND t.i >= s.i AND t.i < s.stop GROUP BY 1, 2""")
+
+    def words_of(source: str, column: str) -> str:
+        return f"""SELECT page_id, i, w, min(n) AS n FROM (SELECT page_id, i, unnest(string_split_regex({column}, '\\s+')) AS w,
+ generate_subscripts(string_split_regex({column}, '\\s+'), 1) AS n FROM {source} WHERE {column} IS NOT NULL) WHERE w <> '' GROUP BY 1, 2, 3"""
+
+    part(x + "words", words_of(x + "spans", f"a_{prop}"))
+    part(x + "kindwords", words_of(x + "items", "kind"))
+    part(x + "kinds", f"SELECT page_id, i, string_agg(w, ' ' ORDER BY n) AS type FROM {x}kindwords GROUP BY 1, 2")
+    part(x + "full", f"""SELECT o.page_id, o.item, k.type, CASE WHEN w.i IS NOT NULL THEN b.owner END AS parent FROM {x}items o
+ LEFT JOIN {x}kinds k ON k.page_id = o.page_id AND k.i = o.i LEFT JOIN (SELECT DISTINCT page_id, i FROM {x}words) w ON w.page_id = o.page_id AND w.i = o.i
+ JOIN {x}owned b ON b.page_id = o.page_id AND b.i = o.i""")
+    part(x + "props", f"""SELECT s.page_id, b.owner AS item, row_number() OVER (PARTITION BY s.page_id ORDER BY s.i, w.n) - 1 AS pos, w.w AS property,
+ CASE WHEN o.item IS NULL THEN coalesce({value}, trim(regexp_replace({unescape("coalesce(t.inside, '')")}, '[\\s\\x{{a0}}]+', ' ', 'g'), ' ')) END AS value, o.item AS child
+ FROM {x}spans s JOIN {x}words w ON w.page_id = s.page_id AND w.i = s.i JOIN {x}owned b ON b.page_id = s.page_id AND b.i = s.i
+ LEFT JOIN {x}items o ON o.page_id = s.page_id AND o.i = s.i LEFT JOIN {x}texts t ON t.page_id = s.page_id AND t.i = s.i
+ {"" if outside else "WHERE b.owner IS NOT NULL"}""")
+    return f"""SELECT p.page_id, p.item, f.type, f.parent, p.pos, p.property, p.value, p.child FROM {x}props p
+ LEFT JOIN {x}full f ON f.page_id = p.page_id AND f.item = p.item UNION ALL
+ SELECT f.page_id, f.item, f.type, f.parent, NULL, NULL, NULL, NULL FROM {x}full f ANTI JOIN {x}props p ON p.page_id = f.page_id AND p.item = f.item"""
+
+
+MICRODATA_SQL = item_parts(
+    "mi", "itemscope", "itemtype", "itemprop", "itemscope itemtype itemprop content src href data value datetime",
+    """CASE WHEN s.el = 'meta' THEN coalesce(a_content, '') WHEN s.el IN ('audio', 'embed', 'iframe', 'img', 'source', 'track', 'video') THEN coalesce(a_src, '')
+ WHEN s.el IN ('a', 'area', 'link') THEN coalesce(a_href, '') WHEN s.el = 'object' THEN coalesce(a_data, '')
+ WHEN s.el IN ('data', 'meter') THEN coalesce(a_value, '') WHEN s.el = 'time' THEN a_datetime END""", False,
+)
+RDFA_SQL = item_parts(
+    "rf", "typeof", "typeof", "property", "typeof property content datetime resource href src",
+    "coalesce(a_content, CASE WHEN s.el = 'time' THEN a_datetime END, a_resource, a_href, a_src)", True,
+)
+
+
 SQL: dict[str, str] = {
     "jsonld_blocks": "SELECT page_id, pos, block FROM blocks",
     "jsonld_valid": "SELECT page_id, pos, json_valid(block) AS valid FROM blocks",
@@ -322,6 +403,10 @@ SQL: dict[str, str] = {
  FROM rdtags r LEFT JOIN (SELECT page_id, string_agg(DISTINCT t, ',' ORDER BY t) AS types FROM (SELECT page_id,
  unnest(string_split_regex(trim(typeof), '\\s+')) AS t FROM rdtags WHERE typeof IS NOT NULL) WHERE t <> '' GROUP BY 1) n
  ON n.page_id = r.page_id GROUP BY 1""",
+    "schema_references": "SELECT page_id, item, property, id, resolved, types FROM refldrefs",
+    "schema_nesting_by_id": "SELECT page_id, item, property FROM refuntyped",
+    "microdata_properties": MICRODATA_SQL,
+    "rdfa_properties": RDFA_SQL,
     "missing_schemas": "SELECT page_id, schema FROM missing",
     "schema_completeness": """SELECT t.page_id, t.item, t.type, w.level, count(k.k) AS n_present, count(*) AS n_expected,
  count(k.k) / count(*) AS ratio FROM ldtypes t JOIN wanted w ON w.type = t.type

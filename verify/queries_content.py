@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegauge.operators import attribution, canonical, content, entities, structured
-from sitegauge.sources.overlay import overlay_chains
+from sitegauge.operators import attribution, canonical, content, entities, items, structured
+from sitegauge.sources.overlay import overlay_chains, overlay_items, overlay_references
 from verify.queries_core import audited, pages
 
 AS_OF = "2026-01-01"
@@ -50,6 +50,12 @@ def content_queries():
     chained = lambda s, d: overlay_chains(s.read.parquet(f"{d}/pages.parquet"))
     out["canonical_chains"] = lambda s, d: canonical.page_canonicals(chained(s, d))
     out["canonical_clusters"] = lambda s, d: canonical.canonical_clusters(chained(s, d))
+    referring = lambda s, d: overlay_references(s.read.parquet(f"{d}/pages.parquet"))
+    out["schema_references"] = lambda s, d: _widen(structured.schema_references(referring(s, d)))
+    out["schema_nesting_by_id"] = lambda s, d: _widen(structured.schema_nesting(referring(s, d)))
+    marked = lambda s, d: overlay_items(s.read.parquet(f"{d}/pages.parquet"))
+    out["microdata_properties"] = lambda s, d: _widen(items.microdata_properties(marked(s, d)))
+    out["rdfa_properties"] = lambda s, d: _widen(items.rdfa_properties(marked(s, d)))
     out["structured_score"] = _score("structured-data")
     out["extractability_score"] = _score("extractability")
     out["attribution_score"] = _score("attribution")
