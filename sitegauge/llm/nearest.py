@@ -6,8 +6,8 @@ columns: after each block a candidate whose partial distance, scaled to all dime
 (1 + epsilon / sqrt(d)) times the current k-th distance is given up. What survives is ranked by the
 exact distance of the original vectors in double precision.
 
-Lists are cut into blocks of at most twice the mean list, and their queries likewise, so a crowded
-list is many tasks. Vectors that are null or zero, hold null or non-finite components, have no id,
+Lists are cut into blocks of at most twice the mean list and of ``most_rows`` rows, and their queries
+likewise, so a crowded list is many tasks and no group grows with the table. Vectors that are null or zero, hold null or non-finite components, have no id,
 or have another length than most take no part. Repeated rows are candidates each; repeated query
 rows are searched once. A query for which the probed lists hold fewer than k candidates is searched
 in all lists. Extra columns are ignored; an empty table gives an empty result.
@@ -79,7 +79,8 @@ def scan(q: np.ndarray, x: np.ndarray, turned_q: np.ndarray, turned: np.ndarray,
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: float = 0.65, least_probes: int = 8, sample_rows: int = 20_000,
-           most_lists: int = 1024, step: int = 16, epsilon: float = 2.1, id_column: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+           most_lists: int = 1024, step: int = 16, epsilon: float = 2.1, most_rows: int = 16_384,
+           id_column: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``."""
     data = usable(vectors, id_column, embedding)
     total = data.count()
@@ -101,7 +102,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: float
 
     placed = stored(data.mapInPandas(place, f"vec_id {kind}, v array<double>, list int, row long"))
     filled = {r["list"]: (r["n"], r["q"]) for r in placed.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.when(F.col("vec_id") % every == 0, 1).otherwise(0)).alias("q")).collect()}
-    block = max(64, math.ceil(2 * total / lists))
+    block = min(most_rows, max(64, math.ceil(2 * total / lists)))
     held = np.array([filled.get(i, (0, 0))[0] for i in range(lists)])
     blocks = np.maximum(1, -(-held // block))
     queries = placed.filter(F.col("vec_id") % every == 0).select("vec_id", "v").distinct().withColumn("of", F.xxhash64("v"))

@@ -176,6 +176,15 @@ def test_small_probes_fall_back_to_all_lists(spark):
     assert {r["count"] for r in got.groupBy("query_id").count().collect()} == {10}
 
 
+def test_blocks_of_few_rows_find_the_same(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(0, 9, 6) + (50 if i % 3 else 0)]) for i in range(400)] + [(600 + i, [1.0] * 6) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [(q, n, i, d) for q, near in brute(rows, 10, 100).items() for n, (d, i) in enumerate(near, 1)]
+    got = nearest.search(df, probe_share=1.0, most_rows=16).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 # --- the pipeline -------------------------------------------------------------------------------
 
 
